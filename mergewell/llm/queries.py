@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm import byte_bpe
+from mergewell.llm import byte_bpe, fingerprints, language_id, sampling, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(sampling.fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(sampling.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(sampling.fold("doc_id", 3) != 1))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        F.coalesce(sampling.fold("row.doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "ambiguous",
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE))
     return coded.select(
@@ -27,5 +50,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_byte_bpe": op6_byte_bpe}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op5_language_id": op5_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_fingerprints": op9_fingerprints,
+}
 ORACLES: dict[str, str] = {}
