@@ -151,17 +151,25 @@ def whole_grams(first: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def minimisers(values: np.ndarray, starts: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
-    """Indices that are the (leftmost) smallest of some w consecutive grams of one row.
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the entries from each start to its end, as gram_hashes has it."""
+    n = len(words)
+    up, down = _pow(0, n + 1)
+    prefix = np.zeros(n + 1, U64)
+    np.cumsum(words * up[:n], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * down[start])
 
-    `values[i]` is the hash of the gram at `starts[i]`; grams of one row are consecutive.
-    Rows with fewer than w grams yield none.
-    """
+
+def window_minima(values: np.ndarray, starts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each w consecutive grams of one row: index of the first gram, and index of the
+    (leftmost) smallest of `values`. `values[i]` belongs to the gram at word `starts[i]`; grams
+    of one row are consecutive, so rows with fewer than w grams have no such window."""
     n = len(starts)
     if n < w:
-        return np.zeros(0, np.int64)
+        z = np.zeros(0, np.int64)
+        return z, z
     low, reach, at = values.copy(), 1, np.arange(n)
-    while reach < w:  # doubling: smallest of `reach` entries from each start, leftmost on ties
+    while reach < w:  # doubling: smallest of `reach` entries from each start
         step = min(reach, w - reach)
         other, where = low[step:], at[step:]
         better = other < low[: n - step]
@@ -169,7 +177,10 @@ def minimisers(values: np.ndarray, starts: np.ndarray, first: np.ndarray, w: int
         at[: n - step] = np.where(better, where, at[: n - step])
         reach += step
     head = np.arange(n - w + 1)
-    whole = starts[head + w - 1] - starts[head] == w - 1
-    keep = np.zeros(n, bool)
-    keep[at[head[whole]]] = True
-    return np.flatnonzero(keep)
+    head = head[starts[head + w - 1] - starts[head] == w - 1]
+    return head, at[head]
+
+
+def minimisers(values: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """Indices of the grams that are the smallest of some w consecutive grams of one row."""
+    return np.unique(window_minima(values, starts, w)[1])
