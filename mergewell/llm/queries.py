@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm import byte_bpe, chat, fingerprints, language_id, pii, sampling, substring_dedup, toxicity
+from mergewell.llm import byte_bpe, chat, fingerprints, jaccard_join, language_id, pii, sampling, substring_dedup, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -72,6 +72,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 _OP4 = r"""
 WITH rows AS (
