@@ -107,23 +107,32 @@ def _tokens(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over the texts: `id`, `base` (array of start, kind order, end, kind) and
-    `tokens`, each token with the kind of the base span it overlaps, if any."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), *[base_spans(text, k).alias(k) for k in KINDS], _tokens(text).alias("tokens"))
+_BASE = "array<struct<start:bigint,nth:int,end:bigint,kind:string>>"
+
+
+def _merged(docs: DataFrame, text: Column, keep: list[Column], more: list[Column]) -> DataFrame:
+    """Kept columns, `base` (array of start, nth, end, kind in order) and more columns."""
+    found = docs.select(*keep, *[base_spans(text, k).alias(f"_{k}") for k in KINDS], *more)
 
     def tagged(i: int, k: str) -> Column:
-        return F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end"), F.lit(k).alias("kind")))
+        return F.transform(F.col(f"_{k}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end"), F.lit(k).alias("kind")))
 
     parts = [tagged(i, k) for i, k in enumerate(KINDS)]
-    merged = found.select("id", F.array_sort(F.concat(*parts)).alias("base"), "tokens")
+    rest = [c for c in found.columns if c not in {f"_{k}" for k in KINDS}]
+    return found.select(*rest, F.array_sort(F.concat(*parts)).cast(_BASE).alias("base"))
+
+
+def scan(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """One pass over the texts: the kept columns, `base` and `tokens`, each token with the kind
+    of the base span it overlaps, if any."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    merged = _merged(docs, text, keep, [_tokens(text).alias("tokens")])
 
     def with_kind(t: Column) -> Column:
         over = F.filter(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), t["left"].alias("left"), t["right"].alias("right"), F.get(over, F.lit(0))["kind"].alias("kind"))
 
-    return merged.select("id", "base", F.transform("tokens", with_kind).alias("tokens"))
+    return merged.withColumn("tokens", F.transform("tokens", with_kind))
 
 
 def _patterns(left: Column, right: Column) -> Column:
@@ -164,18 +173,36 @@ def bootstrap(tokens: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEED
     return patterns
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, base and spans (arrays of start, nth, end, kind) for every row."""
-    seen = shared.cut(scan(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
-    tokens = seen.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
+def _discover(seen: DataFrame, key: str) -> DataFrame:
+    """(key, found): spans that the bootstrapped patterns add to each key's base spans."""
+    tokens = seen.select(key, F.explode("tokens").alias("t")).select(key, "t.*")
     patterns = bootstrap(tokens)
-    free = tokens.where("kind is null").select("row", "start", "end", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
+    free = tokens.where("kind is null").select(key, "start", "end", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
     nth = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    hits = free.join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "of")).alias("top"))
-    more = hits.groupBy("row").agg(F.collect_list(F.struct("start", nth[F.col("top.of")].alias("nth"), "end", F.col("top.of").alias("kind"))).alias("found"))
-    return seen.join(more, "row", "left").select(
-        F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("found", F.array().cast("array<struct<start:bigint,nth:int,end:bigint,kind:string>>")))).alias("spans")
-    )
+    hits = free.join(patterns, "pattern").groupBy(key, "start", "end").agg(F.max(F.struct("confidence", "of")).alias("top"))
+    return hits.groupBy(key).agg(F.collect_list(F.struct("start", nth[F.col("top.of")].alias("nth"), "end", F.col("top.of").alias("kind"))).cast(_BASE).alias("found"))
+
+
+def _all_spans() -> Column:
+    return F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(_BASE))))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`id_col`, base and spans (arrays of start, nth, end, kind) for every row."""
+    seen = shared.cut(scan(docs, [F.col(id_col).alias("id")], text_col)).withColumn("row", F.monotonically_increasing_id())
+    return seen.join(_discover(seen, "row"), "row", "left").select(F.col("id").alias(id_col), "base", _all_spans().alias("spans"))
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`row` (a struct of all columns) and `clean`, the text with every span replaced by its kind.
+
+    What the patterns add is few rows, so the texts need not move: base spans are found again
+    where the text is, and the rest joins by a hash of id and text."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+    found = _discover(shared.cut(scan(docs, [key], text_col).dropDuplicates(["key"])), "key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    again = _merged(docs, text, [key, F.struct("*").alias("row"), text.alias("plain")], [])
+    return again.join(found, "key", "left").select("row", redact(F.col("plain"), _all_spans()).alias("clean"))
 
 
 def listing(spans: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm import byte_bpe, chat, fingerprints, jaccard_join, language_id, pii, sampling, substring_dedup, toxicity
+from mergewell.llm import byte_bpe, chat, decontamination, fingerprints, jaccard_join, language_id, pii, sampling, substring_dedup, suffix_dedup, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -33,6 +33,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.per_document(suffix_dedup.matches(table(spark, sf_dir, "documents")))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -62,6 +66,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("row.doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -79,9 +88,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_jaccard_join": op10_jaccard_join,
