@@ -39,7 +39,7 @@ def by_external_id(claim_ids: DataFrame, external_ids: DataFrame, closure: DataF
         hop = owners.select("namespace", F.col("value").alias("target_value"), "entity_type", F.col("entity_id").alias("_via"))
         direct = direct.join(via, ["namespace", "value"], "left").join(hop, ["namespace", "target_value", "entity_type"], "left").withColumn("entity_id", F.coalesce("entity_id", "_via"))
     hits = direct.where("entity_id is not null")
-    return hits.groupBy("claim_id").agg(F.min_by(F.struct("entity_id", "namespace", "value"), "pos").alias("m")).select("claim_id", "m.*")
+    return hits.groupBy("claim_id").agg(F.min_by(F.struct("entity_id", "namespace", "value"), F.struct("pos", "value")).alias("m")).select("claim_id", "m.*")
 
 
 def by_keys(keys: DataFrame, sidecar: DataFrame) -> DataFrame:
@@ -72,12 +72,11 @@ def classify(n_candidates: Column, conflict: Column, wrong_type: Column) -> tupl
 def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, external_ids: DataFrame, redirects: DataFrame, sidecar: DataFrame) -> DataFrame:
     """(claim_id, entity_type, status, target_id, candidate_ids, matched_key, match_kind, reason).
     An external id that has an owner goes before all keys."""
-    closure = checkpointed(redirect_closure(redirects))
+    closure = redirect_closure(redirects)
     ext = by_external_id(claim_ids, external_ids, closure).select("claim_id", F.col("entity_id").alias("ext"))
     met = claims.select("claim_id", "entity_type").join(ext, "claim_id", "left").join(by_keys(keys, sidecar), "claim_id", "left")
     found = F.when(F.col("ext").isNotNull(), F.array("ext")).otherwise(F.coalesce("candidates", F.array().cast("array<string>")))
     met = met.select("claim_id", "entity_type", found.alias("candidate_ids"), F.when(F.col("ext").isNull(), F.col("matched_key")).alias("matched_key"), F.when(F.col("ext").isNotNull(), "external_id").when(F.size(found) > 0, "key").alias("match_kind"))
-    met = checkpointed(met)
     pairs = met.select("claim_id", F.explode("candidate_ids").alias("entity_id"))
     bad = namespace_conflicts(claim_ids, pairs, external_ids, closure).withColumn("_conflict", F.lit(True))
     status, reason = classify(F.size("candidate_ids"), F.coalesce("_conflict", F.lit(False)), F.lit(False))
