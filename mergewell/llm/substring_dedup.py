@@ -139,7 +139,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
     run of them starts and the word after its last one. `docs` has doc_id, h and text."""
     if cells is None:
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        cells = min(MAX_CELLS, max(MIN_CELLS, 1 << math.ceil(math.log2(max(size, 1) / 8))))
+        cells = min(MAX_CELLS, max(MIN_CELLS, 1 << math.ceil(math.log2(max(size, 8) / 8))))
     bits = sketch(docs, cells, window, gram)
     full = segments(docs, bits, cells, window, gram)
     thin = segments(docs, bits, cells, window, gram, hashes=False)
@@ -152,7 +152,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
     earliest = apart.groupBy("anchor", "window").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).where("earliest < latest").drop("latest")
     single = apart.join(earliest, ["anchor", "window"]).where("earliest < least").groupBy("anchor", "seg").agg(F.collect_set("nth").alias("nths"))
     # Documents beyond the smallest lose the whole segment; the smallest loses single windows.
-    occurrences = thin.join(least.select("anchor", "seg", "least"), ["anchor", "seg"]).join(single, ["anchor", "seg"], "left")
+    # What is known of a segment is one row; it is put together before the occurrences meet it,
+    # so theirs is the only join on that key and a segment that is everywhere can be split.
+    known = least.join(single, ["anchor", "seg"], "left").where("least < most or nths is not null").select("anchor", "seg", "least", "nths")
+    occurrences = thin.join(known, ["anchor", "seg"])
     spans = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + window).alias("b")))).otherwise(
         F.transform("nths", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + window).alias("b")))
     )
