@@ -3,8 +3,8 @@
 A passage that repeats has MATCH words or more. Of every MATCH - GRAM + 1 consecutive GRAM-word
 sequences of a text the one with the smallest hash is selected, so any repeated passage holds a
 selected position at the same place in both texts. Only suffixes at selected positions are kept.
-They are sorted (by the hashed first GRAM words, then document and position) over the cluster
-in ranges, so a passage in a third of all documents is cut over many tasks; each suffix is
+They are sorted (by the hashed first GRAM words, then the hashed first MATCH words, then document
+and position) over the cluster in ranges, so a passage in a third of all documents is cut over many tasks; each suffix is
 compared with the one before it, also across range borders. Matches of one pair of documents at
 one distance join into runs, and each run is extended word by word to the left and to the
 right, MATCH words at most, on the words around it fetched from the texts.
@@ -36,23 +36,26 @@ def _suffixes(rows: DataFrame, match: int, gram: int) -> DataFrame:
             for part in vec.slices(batch, "text"):
                 data, off = vec.text_bytes(part.column(2))
                 starts, ends, first = vec.word_spans(data, off)
-                grams = vec.gram_hashes(vec.word_hashes(data, starts, ends), gram)
+                words = vec.word_hashes(data, starts, ends)
+                grams = vec.gram_hashes(words, gram)
                 whole = vec.whole_grams(first, gram)
                 at = whole[vec.minimisers(grams[whole], whole, match - gram + 1)] if len(whole) else whole
                 own = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))], ["h", "doc", "t", "at"])
+                ahead = vec.span_hashes(words, at, np.minimum(at + match, first[own + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ahead.view(np.int64)), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))], ["h", "ahead", "doc", "t", "at"])
 
-    return rows.select("doc", "t", "text").mapInArrow(run, "h long, doc long, t long, at int")
+    return rows.select("doc", "t", "text").mapInArrow(run, "h long, ahead long, doc long, t long, at int")
 
 
-def _links(h, doc, t, at):
+def _links(h, ahead, doc, t, at):
     """Neighbours with the same first words, of different documents."""
+    none = np.zeros(len(h), np.int64)  # hashes are needed at the borders of ranges alone
     tie = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))
     i = np.flatnonzero(tie)
-    return [pa.array(x) for x in (doc[i], t[i], doc[i + 1], t[i + 1], at[i] - at[i + 1], at[i], h[i])]
+    return [pa.array(x) for x in (doc[i], t[i], doc[i + 1], t[i + 1], at[i] - at[i + 1], at[i], none[i], none[i])]
 
 
-_NAMES = ["doc", "t", "doc2", "t2", "apart", "at", "h"]
+_NAMES = ["doc", "t", "doc2", "t2", "apart", "at", "h", "ahead"]
 
 
 def _neighbours(batches):
@@ -70,9 +73,9 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays(_links(*cols), _NAMES)
         before = [c[-1:] for c in cols]
     if head is not None:
-        h, doc, t, at = (np.concatenate(x) for x in zip(head, before, strict=True))
+        h, ahead, doc, t, at = (np.concatenate(x) for x in zip(head, before, strict=True))
         none = pa.nulls(2, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), none, none, pa.array(np.zeros(2, np.int32)), pa.array(at), pa.array(h)], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), none, none, pa.array(np.zeros(2, np.int32)), pa.array(at), pa.array(h), pa.array(ahead)], _NAMES)
 
 
 def _runs(gram: int):
@@ -83,8 +86,8 @@ def _runs(gram: int):
             out = []
             for doc, t, doc2, t2, apart, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc2 is None:  # the borders of the ranges, two rows a range
-                    edge = sorted((x["h"], x["doc"], x["t"], x["at"]) for x in found)
-                    for (h, d, s, a), (h2, d2, s2, b) in zip(edge, edge[1:], strict=False):
+                    edge = sorted((x["h"], x["ahead"], x["doc"], x["t"], x["at"]) for x in found)
+                    for (h, _, d, s, a), (h2, _, d2, s2, b) in zip(edge, edge[1:], strict=False):
                         if h == h2 and (d, s) != (d2, s2):
                             out.append((d, s, d2, s2, a - b, a, a + gram))
                     continue
@@ -147,11 +150,11 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mat
     words, in words from 0, each between a document and its neighbour in the order of suffixes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _suffixes(rows, match, gram).repartitionByRange(parts, "h", "doc", "t", "at").sortWithinPartitions("h", "doc", "t", "at")
-    links = ordered.mapInArrow(_neighbours, "doc long, t long, doc2 long, t2 long, apart int, at int, h long")
+    ordered = _suffixes(rows, match, gram).repartitionByRange(parts, "h", "ahead", "doc", "t", "at").sortWithinPartitions("h", "ahead", "doc", "t", "at")
+    links = ordered.mapInArrow(_neighbours, "doc long, t long, doc2 long, t2 long, apart int, at int, h long, ahead long")
     # The borders spread over the same aggregate: one group of two rows a range.
     border = F.when(F.col("doc2").isNull(), F.lit(0).cast("long"))
-    keyed = links.select(F.coalesce(border, "doc").alias("kd"), F.coalesce(border, "t").alias("kt"), "doc2", "t2", "apart", F.struct("h", "doc", "t", "at").alias("x"))
+    keyed = links.select(F.coalesce(border, "doc").alias("kd"), F.coalesce(border, "t").alias("kt"), "doc2", "t2", "apart", F.struct("h", "ahead", F.when(F.col("doc2").isNull(), F.col("doc")).alias("doc"), F.when(F.col("doc2").isNull(), F.col("t")).alias("t"), "at").alias("x"))
     grouped = keyed.groupBy("kd", "kt", "doc2", "t2", "apart").agg(F.collect_list("x").alias("found"))
     runs = grouped.mapInArrow(_runs(gram), "doc long, t long, doc2 long, t2 long, apart int, begin int, end int")
     run_id = F.xxhash64("doc", "t", "doc2", "t2", "apart", "begin")
