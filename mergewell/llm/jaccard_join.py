@@ -201,7 +201,7 @@ def _verify(similarity: float):
             part[row[a:b], col[a:b] - lo] = 1
             common += part @ part.T
         total = (size[:, None] + size[None, :]).astype(np.float64)
-        near = common * (1 + similarity) >= similarity * total - 1e-6
+        near = common.astype(np.float64) * (1 + similarity) >= similarity * total - 1e-6
         if len(np.unique(block)) > 1:
             near &= block[:, None] != block[None, :]
         np.fill_diagonal(near, False)
