@@ -22,7 +22,7 @@ from mergewell.llm import sampling, vec
 
 ORDERS = (2, 3, 4)
 BITS = 13
-PER_LANGUAGE, IN_ALL = 600, 4000
+PER_LANGUAGE, IN_ALL = 300, 2000
 LEAD = 0.05
 UNKNOWN = "und"
 U64 = np.uint64
@@ -59,8 +59,11 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def scaled(table: np.ndarray) -> np.ndarray:
-    x = np.log1p(table.astype(np.float32))
-    return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-9)
+    """Logarithms of the counts, of unit length. A float table is changed in place."""
+    x = table.astype(np.float32, copy=False)
+    np.log1p(x, out=x)
+    x /= (np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-9)[:, None]
+    return x
 
 
 def code(n: int) -> np.ndarray:
@@ -134,11 +137,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([some.column(1), *lists], ["lang", "at", "n"])
 
     got = picked.select("text", "lang").mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
-    table = np.zeros((got.num_rows, 1 << BITS), np.float32)
-    at, n = got.column("at").combine_chunks(), got.column("n").combine_chunks()
-    cuts, places, values = np.asarray(at.offsets), np.asarray(at.values), np.asarray(n.values)
-    table[np.repeat(np.arange(len(table)), np.diff(cuts)), places] = values
-    return Model(table, got.column("lang").to_pylist())
+    table, row = np.zeros((got.num_rows, 1 << BITS), np.float32), 0
+    for part in got.to_batches():  # piece by piece: the driver is small
+        for at, n in zip(part.column(1), part.column(2), strict=True):
+            table[row, np.asarray(at.values)] = np.asarray(n.values)
+            row += 1
+    langs = got.column("lang").to_pylist()
+    del got
+    return Model(table, langs)
 
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
