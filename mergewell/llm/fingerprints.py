@@ -28,6 +28,8 @@ P = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 SPAN, BUCKETS = 12, 64
 EMPTY = 0x10000
+#: Code points of text that a worker compares at a time.
+HELD = 1 << 19
 U64 = np.uint64
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -203,14 +205,14 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids, texts, held = [], [], 0
         bucket, closed = None, True
         for batch in batches:
-            for part in vec.slices(batch, "text"):
+            for part in vec.slices(batch, "text", HELD):
                 for b, i, tail, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if tail:
                         if not closed:  # the first tail is the successor of what came before
                             yield emit(ids, [*texts, text])
                             ids, texts, held, closed = [], [], 0, True
                         continue
-                    if b == bucket and held > vec.SLICE_BYTES // 2:
+                    if b == bucket and held > HELD:
                         yield emit(ids, [*texts, text])
                         ids, texts, held = [], [], 0
                     bucket, closed = b, False
