@@ -74,6 +74,24 @@ def library_claims(rows: DataFrame, source: str = "spotify") -> tuple[DataFrame,
     return credits, targets
 
 
+def url_ids(relations: Column) -> Column:
+    """Relations with a URL as external ids; the namespace names the relation and the host."""
+    held = F.filter(F.coalesce(relations, F.array().cast("array<struct<type:string,url:struct<id:string,resource:string>>>")), lambda r: r["url"]["resource"].isNotNull())
+    return F.transform(held, lambda r: F.struct(V.url_namespace(r["type"], r["url"]["resource"]).alias("namespace"), r["url"]["resource"].alias("value"))).cast(IDS)
+
+
+def artist_entity(a: Column) -> Column:
+    """Artist of a credit: kind, life span, areas by role, aliases and ids (one a namespace, the
+    first IPI and ISNI of several)."""
+    area = lambda x, role: F.when(x["name"].isNotNull(), F.struct(x["name"].alias("name"), V.from_vocabulary(x["type"], V.AREA_TYPES, "other").alias("area_type"), F.lit(role).alias("role"), x["iso-3166-1-codes"].alias("country_codes")))
+    life = F.when(a["life-span"].isNotNull(), F.struct(V.partial_date(a["life-span"]["begin"]).alias("begin"), V.partial_date(a["life-span"]["end"]).alias("end"), a["life-span"]["ended"].alias("ended")))
+    ids = F.concat(external_ids(("musicbrainz:artist", a["id"]), ("artist:ipi", F.get(a["ipis"], F.lit(0))), ("artist:isni", F.get(a["isnis"], F.lit(0)))), url_ids(a["relations"]))
+    return F.struct(
+        a["id"].alias("mbid"), a["name"].alias("name"), a["sort-name"].alias("sort_name"), a["country"].alias("country"), V.from_vocabulary(a["type"], V.ARTIST_KINDS).alias("kind"), life.alias("life_span"),
+        F.array_compact(F.array(area(a["area"], "primary"), area(a["begin-area"], "begin"), area(a["end-area"], "end"))).alias("areas"), F.transform(a["aliases"], lambda x: x["name"]).alias("aliases"), ids.alias("ids"),
+    )
+
+
 def release_graph(releases: DataFrame) -> dict[str, DataFrame]:
     """Metadata releases (as payloads.METADATA_RELEASE) to frames: release, release_set, label,
     credit (of the set and of each track's recording) and track."""
@@ -100,4 +118,6 @@ def release_graph(releases: DataFrame) -> dict[str, DataFrame]:
 
     set_credits = credits(releases, "release_set", F.col("id"), some(F.col("`release-group`.`artist-credit`"), F.col("artist-credit")))
     track_credits = credits(tracks, "recording", F.col("t.recording.id"), some(F.col("t.artist-credit"), F.col("rc")))
-    return {"release": release, "release_set": sets, "label": labels, "track": track, "credit": set_credits.unionByName(track_credits)}
+    every = releases.select(F.explode(F.concat(*[F.coalesce(F.transform(c, lambda x: x["artist"]), F.array().cast(releases.select(F.transform("artist-credit", lambda x: x["artist"]).alias("a")).schema["a"].dataType)) for c in (F.col("artist-credit"), F.col("`release-group`.`artist-credit`"))])).alias("a")).unionByName(tracks.select(F.explode(F.transform("t.artist-credit", lambda x: x["artist"])).alias("a")))
+    artist = every.select(artist_entity(F.col("a")).alias("x")).select("x.*").dropDuplicates(["mbid"])
+    return {"artist": artist, "release": release, "release_set": sets, "label": labels, "track": track, "credit": set_credits.unionByName(track_credits)}
