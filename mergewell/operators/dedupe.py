@@ -12,8 +12,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TIES = "claim_ord long, claim_id string"
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that spark.checkpoint.dir names; local runs make one."""
@@ -32,12 +30,12 @@ def dedupe_single_key(claims: DataFrame, by: list[str], order: list[str]) -> Dat
     return claims.groupBy(*by).agg(first, F.count("*").alias("n_claims")).select(*by, "first.*", "n_claims")
 
 
-def dedupe_greedy(keys: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def dedupe_greedy(keys: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(survivors, dropped) of a long key frame (claim_id, claim_ord, entity_type, key_ord, key).
 
     Each round, a claim that is the earliest undecided one on all its keys survives, and every
     undecided claim after it that shares one of its keys drops. Shallow key graphs settle in a few rounds;
-    a chain of n claims takes n / 2, and what is left after `rounds` is an error to look at.
+    a chain of n claims takes n / 2. What is open shrinks every round, so late rounds are cheap.
     Dropped rows carry the survivor and the key they matched: the first in key order whose
     owner comes before them.
     """
