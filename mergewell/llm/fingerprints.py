@@ -15,6 +15,7 @@ extra columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,8 +153,12 @@ def in_descending_order(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id"))))
+    # Cuts at or above the id, by block and then within the block: two square roots of their number.
+    step = max(1, math.isqrt(len(cuts)))
+    longs = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs]) if xs else F.array().cast("array<long>")
+    block = F.size(F.filter(longs(cuts[step - 1 :: step]), lambda c: c < F.col("doc_id")))
+    below = block * step + F.size(F.filter(F.slice(longs(cuts), block * step + 1, step), lambda c: c < F.col("doc_id")))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below)
     rows = rows.withColumn("bucket", bucket)
     firsts = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect())
     order = [b for b, _ in firsts]

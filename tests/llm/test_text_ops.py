@@ -219,6 +219,18 @@ def test_edits_in_descending_order(docs, prose):
     assert fingerprints.compare_with_edits(docs([(1, "x")]).limit(0)).count() == 0
 
 
+def test_buckets_keep_the_order(spark, docs):
+    rows = [(i * 37 % 1009, f"text {i}") for i in range(400)] + [(None, "none")]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        dealt = fingerprints.in_descending_order(docs(rows), "doc_id", "text").where("tail = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(dealt) == len(rows) and len({r.bucket for r in dealt}) >= 20
+    order = sorted(dealt, key=lambda r: -(r.doc_id if r.doc_id is not None else -1))
+    assert [r.bucket for r in order] == sorted(r.bucket for r in dealt)
+
+
 def test_edits_of_many_equal_ids(docs):
     rows = [(1, f"text number {i}") for i in range(50)]
     assert fingerprints.compare_with_edits(docs(rows)).count() == 50
