@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,13 +15,18 @@ from pyspark.sql.types import StringType
 _BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
 
 
+@cache
+def _punctuation() -> dict[int, None]:
+    """Deletion table of every code point of a punctuation category."""
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith("P")}
+
+
 def normalize_one(value: str | None) -> str | None:
     """Compatibility composition, case folding, no punctuation, single spaces; null if empty."""
     if value is None:
         return None
     folded = unicodedata.normalize("NFKC", value).casefold()
-    kept = "".join(c for c in folded if not unicodedata.category(c).startswith("P"))
-    return " ".join(kept.split()) or None
+    return " ".join(folded.translate(_punctuation()).split()) or None
 
 
 @F.pandas_udf(StringType())
@@ -34,7 +41,9 @@ def collapse(text: Column) -> Column:
 
 def normalize_ascii(text: Column) -> Column:
     """What normalize_one does to pure ASCII, as a built-in expression. Symbols stay."""
-    return F.nullif(collapse(F.regexp_replace(F.lower(text), r"\p{P}", "")), F.lit(""))
+    clean = collapse(F.regexp_replace(F.lower(text), r"\p{P}", ""))
+    # As a filter of one element, because nullif would evaluate the patterns twice.
+    return F.get(F.filter(F.array(clean), lambda x: x != ""), F.lit(0))
 
 
 def normalize_text(text: Column) -> Column:

@@ -29,8 +29,10 @@ def dedupe_recordings_single_key(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT min(doc_id) AS doc_id, count(*) AS n_claims FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents) WHERE n IS NOT NULL GROUP BY n")
 def dedupe_documents(spark: SparkSession, d: str) -> DataFrame:
     # The normalized text is the key; only its hash moves, so texts stay where they are.
-    docs = table(spark, d, "documents").select("doc_id", normalize_text(F.col("text")).alias("n")).where("n is not null")
-    return docs.select("doc_id", F.sha2("n", 256).alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_claims")).drop("key")
+    # Keyless texts leave after the aggregate: a filter before it would normalize every text twice.
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(normalize_text(F.col("text")), 256).alias("key"))
+    firsts = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_claims"), F.count("key").alias("keyed"))
+    return firsts.where("keyed > 0").select("doc_id", "n_claims")
 
 
 def _part_keys(spark: SparkSession, d: str) -> DataFrame:
