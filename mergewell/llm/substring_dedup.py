@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from mergewell.llm import vec
 
 WINDOW, GRAM = 50, 9
+_REKEY = 0x5DEECE66D
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 28
 U64 = np.uint64
 
@@ -155,7 +156,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
     # What is known of a segment is one row; it is put together before the occurrences meet it,
     # so theirs is the only join on that key and a segment that is everywhere can be split.
     known = least.join(single, ["anchor", "seg"], "left").where("least < most or nths is not null").select("anchor", "seg", "least", "nths")
-    occurrences = thin.join(known, ["anchor", "seg"])
+    # The other key makes Spark deal out both sides for this join alone, which it can then split.
+    other = F.col("seg").bitwiseXOR(F.lit(_REKEY)).alias("rekeyed")
+    occurrences = thin.withColumn("rekeyed", other).join(known.select("anchor", other, "least", "nths"), ["anchor", "rekeyed"])
     spans = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + window).alias("b")))).otherwise(
         F.transform("nths", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + window).alias("b")))
     )
