@@ -34,6 +34,7 @@ from mergewell.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, DEPTH, SMALL, BLOCK = 10, 3, 64, 512
 SKETCH = 64
+_REKEY = 0x5DEECE66D
 #: Sketches of a pair at the threshold agree on fewer than this share once in some 30,000 pairs.
 SKETCH_LOW = 0.6
 U64 = np.uint64
@@ -166,7 +167,10 @@ def propose(nodes: DataFrame) -> DataFrame:
     leaves = []
     for d in range(DEPTH):
         sizes = rest.groupBy(f"k{d}").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-        met = rest.join(sizes, f"k{d}")
+        # The other key makes Spark deal out both sides for this join alone, so that it can split
+        # the bucket of a group that holds a large share of all nodes.
+        other = F.col(f"k{d}").bitwiseXOR(F.lit(_REKEY)).alias("rekeyed")
+        met = rest.withColumn("rekeyed", other).join(sizes.select(other, "size", "least"), "rekeyed")
         leaves.append(met.where(F.col("size") <= SMALL).select(F.col(f"k{d}").alias("leaf"), "node"))
         large = met.where(F.col("size") > SMALL)
         rest = large.select("node", *[f"k{e}" for e in range(d + 1, DEPTH)])
