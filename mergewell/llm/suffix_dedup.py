@@ -1,13 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
-A passage that repeats has MATCH words or more. Of every MATCH - GRAM + 1 consecutive GRAM-word
-sequences of a text the one with the smallest hash is selected, so any repeated passage holds a
-selected position at the same place in both texts. Only suffixes at selected positions are kept.
-They are sorted (by the hashed first GRAM words, then the hashed first MATCH words, then document
-and position) over the cluster in ranges, so a passage in a third of all documents is cut over many tasks; each suffix is
-compared with the one before it, also across range borders. Matches of one pair of documents at
-one distance join into runs, and each run is extended word by word to the left and to the
-right, MATCH words at most, on the words around it fetched from the texts.
+A passage that repeats has MATCH words or more. Each window of MATCH words belongs to the
+GRAM-word sequence in it with the smallest hash, so equal windows belong to equal sequences at
+the same place. Only these positions are kept, each with the run of windows that belong to it;
+the hash of the words under the run is its kind. Positions are sorted (by the hashed GRAM words,
+then kind, document and place) over the cluster in ranges, so a passage in a third of all
+documents is cut over many tasks, and members of a kind are tied to their neighbours, also across
+range borders: all their windows are equal. Where the same GRAM words have several kinds, or may
+have them beyond a range border, the single windows are hashed from the texts, sorted and tied in
+the same way; of a kind in two documents or more the first and the last member stand for it there.
+So every window that another document has is tied, whatever surrounds it. Matches of one pair of
+documents at one distance join into runs.
 
 Each member of a set of equal passages is tied to the member before it, so links grow with the
 number of members, not its square.
@@ -24,13 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergewell.llm import vec
+from mergewell.llm import shared, vec
 
 MATCH, GRAM = 50, 26
 U64 = np.uint64
+_ROW = ["h", "kind", "doc", "t", "at", "n"]
+_SCHEMA = "h long, kind long, doc long, t long, at int, n int"
+_LINK, _EDGE, _MIXED = 0, 1, 2
 
 
 def _suffixes(rows: DataFrame, match: int, gram: int) -> DataFrame:
+    """(h, kind, doc, t, at, n): runs of n windows from word `at` on that belong to one position,
+    the hash of its first words and of all words under the run."""
+
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
@@ -39,110 +48,155 @@ def _suffixes(rows: DataFrame, match: int, gram: int) -> DataFrame:
                 words = vec.word_hashes(data, starts, ends)
                 grams = vec.gram_hashes(words, gram)
                 whole = vec.whole_grams(first, gram)
-                at = whole[vec.minimisers(grams[whole], whole, match - gram + 1)] if len(whole) else whole
-                own = np.searchsorted(first, at, side="right") - 1
-                ahead = vec.span_hashes(words, at, np.minimum(at + match, first[own + 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ahead.view(np.int64)), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))], ["h", "ahead", "doc", "t", "at"])
-
-    return rows.select("doc", "t", "text").mapInArrow(run, "h long, ahead long, doc long, t long, at int")
-
-
-def _links(h, ahead, doc, t, at):
-    """Neighbours with the same first words, of different documents."""
-    none = np.zeros(len(h), np.int64)  # hashes are needed at the borders of ranges alone
-    tie = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))
-    i = np.flatnonzero(tie)
-    return [pa.array(x) for x in (doc[i], t[i], doc[i + 1], t[i + 1], at[i] - at[i + 1], at[i], none[i], none[i])]
-
-
-_NAMES = ["doc", "t", "doc2", "t2", "apart", "at", "h", "ahead"]
-
+                head, low = vec.window_minima(grams[whole], whole, match - gram + 1)
+                if not len(head):
+                    continue
+                head, low = whole[head], whole[low]
+                cut = np.ones(len(head), bool)
+                cut[1:] = low[1:] != low[:-1]
+                begin = np.flatnonzero(cut)
+                n = np.diff(np.append(begin, len(head)))
+                head, low = head[begin], low[begin]
+                own = np.searchsorted(first, head, side="right") - 1
+                kind = vec.span_hashes(words, head, head + n - 1 + match)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[low].view(np.int64)), pa.array(kind.view(np.int64)), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((head - first[own]).astype(np.int32)), pa.array(n.astype(np.int32))], _ROW)
 
-def _neighbours(batches):
-    """Links of each sorted range, and its first and last suffix under doc2 null."""
-    before = None
-    head = None
-    for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        if not len(cols[0]):
-            continue
-        if head is None:
-            head = [c[:1] for c in cols]
-        if before is not None:
-            cols = [np.concatenate(x) for x in zip(before, cols, strict=True)]
-        yield pa.RecordBatch.from_arrays(_links(*cols), _NAMES)
-        before = [c[-1:] for c in cols]
-    if head is not None:
-        h, ahead, doc, t, at = (np.concatenate(x) for x in zip(head, before, strict=True))
-        none = pa.nulls(2, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), none, none, pa.array(np.zeros(2, np.int32)), pa.array(at), pa.array(h), pa.array(ahead)], _NAMES)
+    return rows.select("doc", "t", "text").mapInArrow(run, _SCHEMA)
 
 
-def _runs(gram: int):
-    """Runs of links: (doc, t, doc2, t2, apart, begin, end) in words of the first document."""
+def _windows(match: int):
+    """The windows of each asked-for run, one a row, as _suffixes has them."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, t, doc2, t2, apart, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc2 is None:  # the borders of the ranges, two rows a range
-                    edge = sorted((x["h"], x["ahead"], x["doc"], x["t"], x["at"]) for x in found)
-                    for (h, _, d, s, a), (h2, _, d2, s2, b) in zip(edge, edge[1:], strict=False):
-                        if h == h2 and (d, s) != (d2, s2):
-                            out.append((d, s, d2, s2, a - b, a, a + gram))
-                    continue
-                places = sorted(x["at"] for x in found)
-                begin = end = places[0]
-                for p in [*places, None]:
-                    if p is None or p > end and end > begin:
-                        out.append((doc, t, doc2, t2, apart, begin, end))
-                        begin = p
-                    end = p + gram if p is not None else end
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()] * 3, strict=True)] if out else [pa.array([], k) for k in [pa.int64()] * 4 + [pa.int32()] * 3], ["doc", "t", "doc2", "t2", "apart", "begin", "end"])
+            for part in vec.slices(batch, "text", 1 << 21):
+                data, off = vec.text_bytes(part.column(2))
+                starts, ends, first = vec.word_spans(data, off)
+                hashes = vec.gram_hashes(vec.word_hashes(data, starts, ends), match)
+                asks = part.column(3)
+                flat = asks.flatten()
+                own = np.repeat(np.arange(part.num_rows), np.asarray(asks.value_lengths()))
+                h, at, n = (np.asarray(flat.field(i)) for i in range(3))
+                each = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                for i in range(0, len(each), 65536):
+                    e, k = each[i : i + 65536], nth[i : i + 65536]
+                    w = hashes[first[own[e]] + at[e] + k]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[e]), pa.array(w.view(np.int64)), part.column(0).take(pa.array(own[e])), part.column(1).take(pa.array(own[e])), pa.array((at[e] + k).astype(np.int32)), pa.array(np.ones(len(e), np.int32))], _ROW)
 
     return run
 
 
-def _contexts(match: int):
-    """Words around each asked-for run: hashes of those before it, nearest first, and after it."""
+def _news(h, kind, doc, t):
+    """Where the sorted rows have new first words, a new kind, a new document of a kind."""
+    fresh = [np.ones(len(h), bool) for _ in range(3)]
+    fresh[0][1:] = h[1:] != h[:-1]
+    fresh[1][1:] = fresh[0][1:] | (kind[1:] != kind[:-1])
+    fresh[2][1:] = fresh[1][1:] | (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])
+    return fresh
+
+
+def _tie(h, kind, doc, t):
+    """Row indices of sorted neighbours of one kind and different documents."""
+    _, new_kind, new_doc = _news(h, kind, doc, t)
+    i = np.flatnonzero(new_doc & ~new_kind)
+    return i, i - 1
+
+
+def _mixed(h, kind, doc, t, border: bool):
+    """Row indices whose windows have to be compared one by one."""
+    new_h, new_kind, new_doc = _news(h, kind, doc, t)
+    at_h, at_kind = np.flatnonzero(new_h), np.flatnonzero(new_kind)
+    kinds = np.add.reduceat(new_kind.astype(np.int64), at_h)
+    several = np.zeros(len(at_h), bool)  # documents
+    for c in (doc, t):
+        several |= np.minimum.reduceat(c, at_h) != np.maximum.reduceat(c, at_h)
+    open_ = border | ((kinds > 1) & several)
+    size = np.diff(np.append(at_kind, len(h)))
+    alone = np.repeat(np.add.reduceat(new_doc.astype(np.int64), at_kind) == 1, size)
+    last = np.zeros(len(h), bool)
+    last[at_kind + size - 1] = True
+    return np.flatnonzero(np.repeat(open_, np.diff(np.append(at_h, len(h)))) & (alone | new_kind | last))
+
+
+def _neighbours(expand: bool):
+    """Of each sorted range the links, the members of its first and last document (edges), and
+    with `expand` the runs whose windows have to be compared one by one."""
+    names = ["what", *_ROW, "doc2", "t2", "apart"]
+
+    def rows(what, cols, i, j=None):
+        h, kind, doc, t, at, n = (c[i] for c in cols)
+        other = [pa.array(doc if j is None else cols[2][j]), pa.array(t if j is None else cols[3][j]), pa.array(at - at if j is None else at - cols[4][j])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), what, np.int32)), *(pa.array(c) for c in (h, kind, doc, t, at, n)), *other], names)
 
     def run(batches):
+        held, first = [], True
+
+        def flush(end: bool):  # whole groups of equal first words of this range
+            nonlocal first
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key = cols[:4]
+            yield rows(_LINK, cols, *_tie(*key))
+            groups = np.flatnonzero(_news(*key)[2])
+            if first:
+                yield rows(_EDGE, cols, np.arange(groups[1] if len(groups) > 1 else len(cols[0])))
+            if end:
+                yield rows(_EDGE, cols, np.arange(groups[-1], len(cols[0])))
+            if expand:
+                begin, last = (np.searchsorted(cols[0], cols[0][0], side="right") if first else 0), (np.searchsorted(cols[0], cols[0][-1]) if end else len(cols[0]))
+                for a, b, border in ((0, begin, True), (begin, last, False), (max(begin, last), len(cols[0]), True)):
+                    if a < b:
+                        yield rows(_MIXED, cols, a + _mixed(*(c[a:b] for c in key), border))
+            first = False
+
         for batch in batches:
-            for part in vec.slices(batch, "text", 1 << 21):
-                data, off = vec.text_bytes(part.column(0))
-                starts, ends, first = vec.word_spans(data, off)
-                words = vec.word_hashes(data, starts, ends).view(np.int64)
-                out = []
-                for r, asks in enumerate(part.column(1).to_pylist()):
-                    a, b = int(first[r]), int(first[r + 1])
-                    for x in asks:
-                        left = words[max(a, a + x["begin"] - match) : a + x["begin"]][::-1]
-                        right = words[a + x["end"] : min(b, a + x["end"] + match)]
-                        out.append((x["run"], x["side"], x["doc"], x["begin"], x["end"], (left & 0x7FFFFFFF).astype(np.int32), (right & 0x7FFFFFFF).astype(np.int32)))
-                for i in range(0, len(out), 2048):
-                    cols = list(zip(*out[i : i + 2048], strict=True))
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "side", "doc", "begin", "end", "left", "right"])
+            cols = [np.asarray(c) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and held[-1][0][-1] != cols[0][-1] or not held and cut:
+                if cut:
+                    held.append([c[:cut] for c in cols])
+                yield from flush(False)
+                held = []
+            held.append([c[cut:] if not held else c for c in cols])
+        if held:
+            yield from flush(True)
 
     return run
 
 
-def _extend(batches):
-    """Runs made as long as both sides agree."""
+_NEIGHBOURS = f"what int, {_SCHEMA}, doc2 long, t2 long, apart int"
 
-    def same(x, y) -> int:
-        n = min(len(x), len(y))
-        off = np.flatnonzero(np.asarray(x[:n]) != np.asarray(y[:n])) if n else ()
-        return int(off[0]) if len(off) else n
 
-    for batch in batches:
-        out = []
-        for doc, begin, end, left, right, doc2, begin2, left2, right2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = same(left, left2), same(right, right2)
-            out.append((doc, begin - a, doc2, begin2 - a, end - begin + a + b))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "other_id", "other_start", "n_words"])
+def _runs(match: int):
+    """Links joined into runs: (doc_id, start, other_id, other_start, n_words)."""
+    names, kinds = ["doc_id", "start", "other_id", "other_start", "n_words"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            doc, doc2, apart = (np.asarray(c.fill_null(0)) for c in batch.columns[:3])
+            found = batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(found.value_lengths()))
+            at, n = (np.asarray(found.flatten().field(i)).astype(np.int64) for i in range(2))
+            order = np.lexsort((at, row))
+            row, at, end = row[order], at[order], (at + n)[order] - 1 + match
+            far = np.maximum.accumulate(row << 32 | end)  # the furthest end so far in a row
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] << 32 | at[1:]) > far[:-1]
+            begin = np.flatnonzero(new)
+            size = (far[np.append(begin[1:], len(row)) - 1] & 0xFFFFFFFF) - at[begin] if len(begin) else begin
+            row, at = row[begin], at[begin]
+            out = [doc[row], at, doc2[row], at - apart[row], size]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(out, kinds, strict=True)], names)
+            for edges in batch.column(4).to_pylist():
+                if edges:  # a few of each range, all in one row
+                    edge = sorted({tuple(x[c] for c in _ROW) for x in edges})
+                    i, j = _tie(*(np.array(c, np.int64) for c in list(zip(*edge, strict=True))[:4]))
+                    out = [(edge[x][2], edge[x][4], edge[y][2], edge[y][4], edge[x][5] - 1 + match) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names)
+
+    return run
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
@@ -150,23 +204,18 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mat
     words, in words from 0, each between a document and its neighbour in the order of suffixes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _suffixes(rows, match, gram).repartitionByRange(parts, "h", "ahead", "doc", "t", "at").sortWithinPartitions("h", "ahead", "doc", "t", "at")
-    links = ordered.mapInArrow(_neighbours, "doc long, t long, doc2 long, t2 long, apart int, at int, h long, ahead long")
-    # The borders spread over the same aggregate: one group of two rows a range.
-    border = F.when(F.col("doc2").isNull(), F.lit(0).cast("long"))
-    keyed = links.select(F.coalesce(border, "doc").alias("kd"), F.coalesce(border, "t").alias("kt"), "doc2", "t2", "apart", F.struct("h", "ahead", F.when(F.col("doc2").isNull(), F.col("doc")).alias("doc"), F.when(F.col("doc2").isNull(), F.col("t")).alias("t"), "at").alias("x"))
-    grouped = keyed.groupBy("kd", "kt", "doc2", "t2", "apart").agg(F.collect_list("x").alias("found"))
-    runs = grouped.mapInArrow(_runs(gram), "doc long, t long, doc2 long, t2 long, apart int, begin int, end int")
-    run_id = F.xxhash64("doc", "t", "doc2", "t2", "apart", "begin")
-    first = F.struct(run_id.alias("run"), F.lit(0).alias("side"), F.col("doc"), F.col("t"), F.col("begin"), F.col("end"))
-    second = F.struct(run_id.alias("run"), F.lit(1).alias("side"), F.col("doc2").alias("doc"), F.col("t2").alias("t"), (F.col("begin") - F.col("apart")).alias("begin"), (F.col("end") - F.col("apart")).alias("end"))
-    asks = runs.select(F.explode(F.array(first, second)).alias("x")).select("x.*").groupBy("doc", "t").agg(F.collect_list(F.struct("run", "side", "doc", "begin", "end")).alias("asks"))
-    texts = rows.join(asks, ["doc", "t"])
-    sides = texts.select("text", "asks").mapInArrow(_contexts(match), "run long, side int, doc long, begin int, end int, left array<int>, right array<int>")
-    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.struct("doc", "begin", "end", "left", "right"))).alias(c)
-    both = sides.groupBy("run").agg(pick(0, "a"), pick(1, "b"))
-    flat = both.select("a.doc", "a.begin", "a.end", "a.left", "a.right", F.col("b.doc").alias("doc2"), F.col("b.begin").alias("begin2"), F.col("b.left").alias("left2"), F.col("b.right").alias("right2"))
-    return flat.mapInArrow(_extend, "doc_id long, start int, other_id long, other_start int, n_words int").where(F.col("n_words") >= match)
+    # Ranges don't part the places of one document.
+    ordered = lambda df: df.repartitionByRange(parts, *_ROW[:4]).sortWithinPartitions(*_ROW[:5])
+    whole = shared.cut(ordered(_suffixes(rows, match, gram)).mapInArrow(_neighbours(True), _NEIGHBOURS))
+    asks = whole.where(F.col("what") == _MIXED).groupBy("doc", "t").agg(F.collect_set(F.struct("h", "at", "n")).alias("asks"))
+    texts = rows.join(asks, ["doc", "t"]).select("doc", "t", "text", "asks")
+    single = ordered(texts.mapInArrow(_windows(match), _SCHEMA)).mapInArrow(_neighbours(False), _NEIGHBOURS)
+    links = whole.where(F.col("what") != _MIXED).union(single)
+    # The edges spread over the same aggregate: one group of a few rows a range.
+    edge = F.col("what") == _EDGE
+    keys = [F.when(~edge, F.col(c)).alias(f"k_{c}") for c in ("doc", "t", "doc2", "t2", "apart")]
+    grouped = links.groupBy(*keys).agg(F.collect_list(F.when(~edge, F.struct("at", "n"))).alias("found"), F.collect_list(F.when(edge, F.struct(*_ROW))).alias("edges"))
+    return grouped.select("k_doc", "k_doc2", "k_apart", "found", "edges").mapInArrow(_runs(match), "doc_id long, start int, other_id long, other_start int, n_words int")
 
 
 def per_document(found: DataFrame) -> DataFrame:

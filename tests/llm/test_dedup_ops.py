@@ -79,6 +79,43 @@ def test_suffix_dedup_finds_every_document_with_a_repeat(docs, corpus):
     assert suffix_dedup.matches(docs(corpus).limit(0)).count() == 0
 
 
+def repeated_words(rows):
+    """Words under windows of 50 that another document has, by document."""
+    where = defaultdict(set)
+    for i, t in rows:
+        w = WORD.findall(t)
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    out = defaultdict(set)
+    for i, t in rows:
+        w = WORD.findall(t)
+        for k in range(len(w) - 49):
+            if len(where[tuple(w[k : k + 50])]) > 1:
+                out[i] |= set(range(k, k + 50))
+    return dict(out)
+
+
+def suffix_words(df):
+    out = {}
+    for r in suffix_dedup.per_document(suffix_dedup.matches(df)).collect():
+        out[r.doc_id] = {k for s in r.spans.split(",") for k in range(*map(int, s.split(":")))}
+        assert len(out[r.doc_id]) == r.n_repeated
+    return out
+
+
+def test_suffix_dedup_covers_passages_around_a_frequent_line(docs, prose):
+    line, rnd = prose(1000, 40), random.Random(3)
+    rows = [(i, f"{prose(2000 + i, 60)} {line} {prose(4000 + i, 60)}") for i in range(300)]
+    for i in range(30):
+        n = rnd.randint(10, 30)
+        passage = f"{prose(6000 + i, rnd.randint(0, n))} {line} {prose(6100 + i, n)}"
+        for side in (0, 1):
+            rows.append((1000 + 2 * i + side, f"{prose(6200 + 2 * i + side, 55)} {passage} {prose(6300 + 2 * i + side, 55)}"))
+    want = repeated_words(rows)
+    assert len(want) == 60
+    assert suffix_words(docs(rows)) == want
+
+
 def classes_model(rows, similarity=0.8):
     sets = []
     for _, t in rows:
