@@ -12,8 +12,8 @@ the same way; of a kind in two documents or more the first and the last member s
 So every window that another document has is tied, whatever surrounds it. Matches of one pair of
 documents at one distance join into runs.
 
-Each member of a set of equal passages is tied to the member before it, so links grow with the
-number of members, not its square.
+Each member of a set of equal passages is tied to the nearest member of another document, past
+those of its own, so links grow with the number of members, not its square.
 
 Cases: null text has no words; rows with a null id are left out; rows with equal id and text
 are one document; a passage repeated within one document is not reported unless another
@@ -97,10 +97,19 @@ def _news(h, kind, doc, t):
 
 
 def _tie(h, kind, doc, t):
-    """Row indices of sorted neighbours of one kind and different documents."""
+    """Row indices of sorted rows, each with the nearest one of its kind in another document: the
+    last of the document before, for the first document of a kind the first of the next."""
     _, new_kind, new_doc = _news(h, kind, doc, t)
-    i = np.flatnonzero(new_doc & ~new_kind)
-    return i, i - 1
+    begin = np.flatnonzero(new_doc)
+    if not len(begin):
+        return begin, begin
+    follows = ~new_kind[begin]
+    ahead = np.append(begin[1:], 0)  # the first row of the next document, where it has the kind
+    known = follows | np.append(follows[1:], False)
+    other = np.where(follows, begin - 1, ahead)
+    own = np.cumsum(new_doc) - 1
+    i = np.flatnonzero(known[own])
+    return i, other[own[i]]
 
 
 def _mixed(h, kind, doc, t, border: bool):

@@ -116,6 +116,23 @@ def test_suffix_dedup_covers_passages_around_a_frequent_line(docs, prose):
     assert suffix_words(docs(rows)) == want
 
 
+@pytest.mark.parametrize("parts", [4, 40])  # of 40 ranges many borders part a kind
+def test_suffix_dedup_covers_repeats_within_documents(spark, docs, prose, parts):
+    rows = []
+    for i, n in enumerate((60, 120, 300)):
+        passage = prose(7000 + i, n)
+        for d, times in enumerate((5, 3, 1, 4)):
+            rows.append((10 * i + d, " ".join(f"{prose(7100 + 100 * i + 10 * d + k, 7)} {passage}" for k in range(times))))
+    rows.append((90, " ".join([prose(7900, 70)] * 4)))  # no other document has it
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = suffix_words(docs(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == repeated_words(rows)
+
+
 def classes_model(rows, similarity=0.8):
     sets = []
     for _, t in rows:
