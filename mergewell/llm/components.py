@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from mergewell.llm import shared
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b) is connected to.
 
-    Every round a node takes the smallest label among itself and its neighbours, then the label
-    of that label, so stars end after a round or two and chains in about the logarithm of their
-    length. Rounds are cut in the shared folder; only the number of changes reaches the driver.
+    Every round the smallest label of a label among a node's neighbours is offered to the node and
+    to the root of its label, and a node takes the label of its label, so whole regions are hooked
+    to each other: stars end after a round or two, chains in about the logarithm of their length,
+    whatever the order of ids. Rounds go on until nothing changes; they are cut in the shared
+    folder, and only whether a label changed reaches the driver.
     """
     both = shared.cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
     labels = shared.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "low").alias("low"))
+    while True:
         upper = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = hooked.join(upper, F.col("low") == F.col("up"), "left").select("node", F.col("root").alias("old"), F.least("low", "top").alias("root"))
-        jumped = shared.cut(jumped)
-        labels = jumped.select("node", "root")
-        if not jumped.where("old <> root").limit(1).count():
+        jumped = shared.cut(labels.join(upper, F.col("root") == F.col("up"), "left").select("node", "root", F.coalesce("top", "root").alias("top")))
+        near = both.join(jumped, F.col("b") == F.col("node")).groupBy("a").agg(F.min("top").alias("low"))
+        lows = jumped.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("top", "low").alias("low"))
+        hooks = lows.where("low < root").groupBy(F.col("root").alias("hooked")).agg(F.min("low").alias("lower"))
+        taken = shared.cut(lows.join(hooks, F.col("node") == F.col("hooked"), "left").select("node", F.col("root").alias("old"), F.least("root", "low", "lower").alias("root")))
+        labels = taken.select("node", "root")
+        if not taken.where("old <> root").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

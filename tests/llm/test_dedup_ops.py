@@ -178,6 +178,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 60)} | {2: 2, 3: 2}
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    rnd, edges, want = random.Random(5), [], {}
+    down = [0, *range(2999, 0, -1)]
+    drawn = rnd.sample(range(10_000, 12_000), 2000)
+    drift = rnd.sample(range(20_000, 21_000), 1000)
+    for nodes, reach in ((down, 1), (drawn, 1), (drift, 7)):
+        edges += [(nodes[i], nodes[i + d]) for d in range(1, reach + 1) for i in range(len(nodes) - d)]
+        want |= dict.fromkeys(nodes, min(nodes))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, docs, corpus, prose, tmp_path):
     import corpus_pipeline as c
 
