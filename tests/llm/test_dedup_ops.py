@@ -202,3 +202,13 @@ def test_pipeline(spark, docs, corpus, prose, tmp_path):
     kept_ids -= {int(i) for i, k, _ in classes_model([r for r in rows if r[0] not in (480, 481, 482, 602)]) if i != "None" and k not in (i, "None")}
     assert set(got) == kept_ids
     assert [len(s) for s in c.STAGES] == [2] * 5
+
+
+def test_pipeline_keeps_one_row_of_a_class(spark, docs, prose):
+    import corpus_pipeline as c
+
+    copy, alone, other = prose(8000, 80), prose(8001, 80), prose(8002, 80)
+    near = " ".join([*copy.split()[:-1], "changed"])
+    rows = [(5, copy), (5, copy), (6, near), (None, copy), (7, alone), (7, near), (8, other)]
+    got = sorted((str(r.doc_id), r.text) for r in c.drop_near_copies(spark, docs(rows), "").collect())
+    assert got == sorted([("5", copy), ("7", alone), ("8", other), ("None", copy)])
