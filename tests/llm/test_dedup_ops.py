@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from mergewell.llm import components, jaccard_join, substring_dedup, suffix_dedup
 
@@ -212,3 +213,11 @@ def test_pipeline_keeps_one_row_of_a_class(spark, docs, prose):
     rows = [(5, copy), (5, copy), (6, near), (None, copy), (7, alone), (7, near), (8, other)]
     got = sorted((str(r.doc_id), r.text) for r in c.drop_near_copies(spark, docs(rows), "").collect())
     assert got == sorted([("5", copy), ("7", alone), ("8", other), ("None", copy)])
+
+
+def test_pipeline_without_languages_rejects_texts_without_letters_alone(spark, docs, prose):
+    import corpus_pipeline as c
+
+    rows = [(1, prose(8100, 20)), (2, "12 34 !!"), (3, None), (4, "12 \u00e9"), (5, "")]
+    unknown = docs(rows).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in c.identify_language(spark, unknown, "").collect()) == [1, 4]
