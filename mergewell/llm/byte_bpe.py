@@ -11,7 +11,8 @@ Cutting is vectorised: code points are classed by a table, boundaries follow fro
 class changes, and each distinct pre-token of a slice is merged once (and remembered by the
 worker up to a bound).
 
-Cases: null text is empty and has no ids; an empty table gives an empty table; rows are
+Cases: null text is empty and has no ids; bytes that are not UTF-8 are read as U+FFFD; a very
+long text is one slice of its own, in memory some forty times its bytes; an empty table gives an empty table; rows are
 independent, so repeated rows and ids give repeated results; extra columns are ignored.
 """
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from mergewell.llm import vec
 
-CACHE_ENTRIES = 400_000
+#: Merged pre-tokens that a worker remembers, in two generations, and the longest of them.
+CACHE_ENTRIES = 200_000
 CACHE_BYTES_EACH = 64
+SLICE_BYTES = 1 << 21
 
 # The code points with the Unicode property White_Space.
 _WHITE = (
@@ -252,38 +255,35 @@ class Codec:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
         self.queue = RankQueue(ranks)
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.whole = {token: i.to_bytes(4, "little") for token, i in ranks.items()}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             by_id[i] = token
         self.tokens = pa.array(by_id, pa.large_binary())
 
-    def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token. One that is itself a token is that token."""
-        seen, ranks = self.seen, self.ranks
-        found = [seen.get(p) for p in pieces]
-        new = [i for i, x in enumerate(found) if x is None]
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, four bytes an id. One that is itself a token is that token."""
+        whole, young, old = self.whole, self.young, self.old
+        found = [whole.get(p) or young.get(p) for p in pieces]
         short = []
-        for i in new:
-            whole = ranks.get(pieces[i])
-            if whole is not None:
-                found[i] = np.array([whole], np.int32)
-            elif len(pieces[i]) > CACHE_BYTES_EACH:
-                found[i] = np.array(self.queue.merge(pieces[i]), np.int32)
+        for i in [i for i, x in enumerate(found) if x is None]:
+            p = pieces[i]
+            if len(p) > CACHE_BYTES_EACH:
+                found[i] = np.array(self.queue.merge(p), np.int32).tobytes()
+            elif p in old:
+                found[i] = young[p] = old[p]
             else:
                 short.append(i)
         if short:
             ids, size = self.queue.merge_many([pieces[i] for i in short])
-            end = np.cumsum(size).tolist()
+            raw, end = ids.tobytes(), (4 * np.cumsum(size)).tolist()
             for i, a, b in zip(short, [0, *end], end, strict=False):
-                found[i] = ids[a:b].copy()
-        if len(seen) + len(new) > CACHE_ENTRIES:
-            seen.clear()
-        for i in new:
-            if len(pieces[i]) <= CACHE_BYTES_EACH:
-                seen[pieces[i]] = found[i]
+                found[i] = young[pieces[i]] = raw[a:b]
+        if len(young) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, young
         return found
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,9 +294,9 @@ class Codec:
         _, where, back = np.unique(vec.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         each = self.pieces([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        size = np.array([len(x) for x in each], np.int64)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         begin = np.concatenate([[0], np.cumsum(size)])
-        pool = np.concatenate(each)
+        pool = np.frombuffer(b"".join(each), np.int32)
         counts = size[back]
         total = np.concatenate([[0], np.cumsum(counts)])
         take = np.arange(total[-1]) - np.repeat(total[:-1] - begin[back], counts)
@@ -326,8 +326,8 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         codec = _codec(rank_path, shared.value)
         for batch in batches:
-            for part in vec.slices(batch, "text"):
-                data, off = vec.text_bytes(part.column(1))
+            for part in vec.slices(batch, "text", SLICE_BYTES):
+                data, off = vec.valid_utf8(*vec.text_bytes(part.column(1)))
                 ids, rows = codec.encode(data, off)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))]
                 if with_decoded:

@@ -11,17 +11,20 @@ The seeds of the benchmark are broadcast in chunks of at most CHUNK_BYTES of tex
 benchmark takes more passes over the documents, not more memory.
 
 Cases: null texts and items hold no words; items of fewer than TILE words can't be tiled and
-match nothing; repeated rows and ids are judged alike; extra columns are ignored or carried.
+match nothing; items of fewer than 2 x TILE words must be found whole in one run, as one chance
+seed is most of them; items with a null id are left out, repeated items are reported each; of
+equally long matches the first in the text is marked, then the first in the item; a very long
+text is searched whole, only its words under seeds are tiled; repeated rows and ids are judged
+alike; extra columns are ignored or carried; empty tables give empty results.
 """
 
-from __future__ import annotations
-
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergewell.llm import vec
@@ -142,7 +145,8 @@ def leaks(data: np.ndarray, off: np.ndarray, seeds: Seeds, least: int, coverage:
             hits.append(p)
     for (r, own), (places, hits) in met.items():
         size = int(seeds.size[own])
-        if len(places) * least < coverage * size:  # even as tiles of their own they cover too little
+        need = coverage if size >= 2 * least else 1.0
+        if len(places) * least < need * size:  # even as tiles of their own they cover too little
             continue
         # Only words under seeds can be under tiles; gaps become words that match nothing.
         near, text, spot, end = sorted(set(hits)), [], [], -1
@@ -155,7 +159,7 @@ def leaks(data: np.ndarray, off: np.ndarray, seeds: Seeds, least: int, coverage:
             end = p + least
         tiles = tile(text, seeds.items[own], least)
         share = sum(k for _, _, k in tiles) / size
-        if share >= coverage:
+        if share >= need and (size >= 2 * least or len(tiles) == 1):
             spots = [spot[t] for t, _, _ in tiles], [spot[t + k - 1] + 1 for t, _, k in tiles]
             out[r].append({"item_id": seeds.ids[own], "coverage": share, "tiles": len(tiles), "longest": max(k for _, _, k in tiles), "start": int(min(spots[0]) - first[r]), "end": int(max(spots[1]) - first[r])})
     for found in out:
@@ -167,28 +171,32 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: l
     """Columns `row` (a struct of the carried columns, all by default) and `hits`: the leaked items with
     coverage, number and longest of tiles, and the words of the text from the first tile to the
     last. One narrow stage for each chunk of the benchmark."""
-    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("id is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    carry = docs.columns if carry is None else carry
-    out = docs.select(F.col(text_col).alias("text"), F.struct(*carry).alias("row"), F.array().cast(_HITS).alias("hits"))
-    kind = out.schema["row"].dataType.simpleString()
+    hits = [F.array().cast(_HITS)]
     for chunk in range(chunks):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk)
-        shared = sc.broadcast([tuple(r) for r in part.collect()])
-        last = chunk == chunks - 1
-
-        def run(batches, shared=shared, last=last):
-            seeds = Seeds(shared.value, least)
-            of = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-            for batch in batches:
-                for some in vec.slices(batch, "text"):
-                    found = leaks(*vec.text_bytes(some.column(0)), seeds, least, coverage)
-                    if not last or chunk:
-                        found = [[*a, *b] for a, b in zip(some.column(2).to_pylist(), found, strict=True)]
-                    hits = pa.array(found, of)
-                    yield pa.RecordBatch.from_arrays([some.column(1), hits] if last else [some.column(0), some.column(1), hits], ["row", "hits"] if last else ["text", "row", "hits"])
-
-        out = out.mapInArrow(run, ("" if last else "text string, ") + f"row {kind}, hits {_HITS}")
-    return out
+        hits.append(_search([tuple(r) for r in part.collect()], docs.sparkSession, least, coverage)(F.col(text_col)))
+    carried = F.struct(*(docs.columns if carry is None else carry)).alias("row")
+    # One chunk needs no putting together, by which each Python result would be read twice.
+    every = hits[1] if chunks == 1 else F.concat(*hits)
+    return docs.select(carried, F.coalesce(every, hits[0]).alias("hits"))
+
+
+def _search(items: list[tuple[int, str]], spark: SparkSession, least: int, coverage: float):
+    """A function of texts: the items of one chunk that each leaks. Only texts visit Python."""
+    shared = spark.sparkContext.broadcast(items)
+    of = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf(_HITS)
+    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seeds = Seeds(shared.value, least)
+        for batch in texts:
+            found = []
+            for some in vec.slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
+                found += leaks(*vec.text_bytes(some.column(0)), seeds, least, coverage)
+            yield pa.array(found, of)
+
+    # Marked nondeterministic so that a filter on the result doesn't compute it a second time.
+    return search.asNondeterministic()

@@ -7,11 +7,13 @@ logistic loss of the predicted margin against a codeword's bit, weighted by how
 was learned, and takes the nearest codeword; a small lead over the next one is flagged.
 
 Cases: text that is null or has no letter is `und` with score 0 and not ambiguous; without
-training rows everything is; rows with a null id or language don't train; repeated rows and
-ids are predicted alike; extra columns are ignored.
+training rows everything is; rows with a null id or language don't train; of codewords equally
+near the first language in order of name wins, flagged ambiguous; a very long text is counted
+whole, in a slice of its own; bytes that are not UTF-8 are read as U+FFFD; repeated rows and ids
+are predicted alike; extra columns are ignored.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from mergewell.llm import sampling, vec
 
 ORDERS = (2, 3, 4)
 BITS = 13
+#: The expected sizes of the training sample: rows a language, and rows in all.
 PER_LANGUAGE, IN_ALL = 300, 2000
 LEAD = 0.05
 UNKNOWN = "und"
@@ -119,11 +122,11 @@ class Model:
         return nearest, p[np.arange(len(p)), nearest], lead < LEAD
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample: PER_LANGUAGE rows a language and IN_ALL in all, about. The
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
+    """Fit on a bounded sample: `per_language` rows a language and `in_all` in all, about. The
     features are counted on the executors, so the driver gets 2**BITS numbers a row at most."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
-    picked = sampling.stratified(rows, "lang", "id", PER_LANGUAGE, IN_ALL)
+    picked = sampling.stratified(rows, "lang", "id", per_language, in_all)
 
     def run(batches):
         for batch in batches:
@@ -144,7 +147,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             row += 1
     langs = got.column("lang").to_pylist()
     del got
-    return Model(table, langs)
+    model = Model(table, langs)
+    del table
+    vec.give_back()
+    return model
 
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -160,22 +166,31 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Columns `row` (a struct of all of the input's columns), lang_pred, score and ambiguous;
-    one narrow stage. The model has a fixed size for each language."""
+    one narrow stage. Only the texts visit Python. The model has a fixed size for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    names = ["lang_pred", "score", "ambiguous"]
 
-    def run(batches):
+    def judge(texts: pa.Array):
         m = shared.value
-        for batch in batches:
-            for part in vec.slices(batch, "text", 1 << 20):
-                for i in range(0, part.num_rows, 256):
-                    some = part.slice(i, 256)
-                    data, off = vec.text_bytes(some.column(0))
-                    known = has_letter(data, off) & bool(m.langs)
-                    lang, p, unsure = np.zeros(len(known), np.int64), np.zeros(len(known)), np.zeros(len(known), bool)
-                    if known.any():
-                        lang, p, unsure = m.predict(counts(data, off))
-                    names = np.array([*m.langs, UNKNOWN], object)[np.where(known, lang, len(m.langs))]
-                    yield pa.RecordBatch.from_arrays([some.column(1), pa.array(names, pa.string()), pa.array(np.where(known, p, 0.0).astype(np.float64)), pa.array(unsure & known)], ["row", "lang_pred", "score", "ambiguous"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, lang_pred string, score double, ambiguous boolean")
+        for part in vec.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 20):
+            for i in range(0, part.num_rows, 256):
+                data, off = vec.valid_utf8(*vec.text_bytes(part.slice(i, 256).column(0)))
+                known = has_letter(data, off) & bool(m.langs)
+                lang, p, unsure = np.zeros(len(known), np.int64), np.zeros(len(known)), np.zeros(len(known), bool)
+                if known.any():
+                    lang, p, unsure = m.predict(counts(data, off))
+                told = np.array([*m.langs, UNKNOWN], object)[np.where(known, lang, len(m.langs))]
+                yield [pa.array(told, pa.string()), pa.array(np.where(known, p, 0.0).astype(np.float64)), pa.array(unsure & known)]
+
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = list(judge(batch))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], names) if parts else pa.array([], _TOLD)
+
+    # Marked nondeterministic so that a filter on the result doesn't compute it a second time.
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct("*").alias("row"), told.asNondeterministic()(text).alias("told")).select("row", *[f"told.{c}" for c in names])
+
+
+_TOLD = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])

@@ -8,6 +8,7 @@ sequence, so byte positions never cut a character.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 LONG_WORD = 4096
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -24,6 +25,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=U64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +52,28 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def valid_utf8(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same text where it is UTF-8; in rows that are not, what is wrong becomes U+FFFD. (A
+    string column cast from binary can hold any bytes.)"""
+    raw = data.tobytes()
+    try:
+        raw.decode("utf-8")
+        rows = np.flatnonzero((data[off[:-1][off[:-1] < len(data)]] & 0xC0) == 0x80)
+        if not len(rows):  # no character reaches over the border of rows
+            return data, off
+    except UnicodeDecodeError:
+        pass
+    texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of about `limit` bytes of text each, one row at least, so that the working
     memory of a worker does not follow the size of the Arrow batch."""
@@ -60,6 +84,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         end = min(n, max(end, row + 1))
         yield batch.slice(row, end - row)
         row = end
+    give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
