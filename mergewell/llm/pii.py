@@ -2,18 +2,22 @@
 
 Base patterns find emails, IP addresses, payment cards (Luhn) and phone numbers. They are
 written with possessive quantifiers and look-behinds so that matching is linear on any text;
-what they match is what the plain patterns match. Positions are code points, from the pieces
-between matches.
-
-Bootstrapping: every identifier-like token (one with a digit or an at sign) stands between two
-words, and each lexical pattern (word before, word after, the word before alone, the word
-after alone) is a node of a graph whose other side is the tokens. Base entities are the seeds.
-Rounds alternate: a pattern's confidence in a kind is the mean score of its distinct tokens,
-given enough distinct seeds; a token's score is the mean confidence of its patterns. Tokens
-that high-confidence patterns agree on become spans of that kind beside the base ones.
-
-Cases: null text is empty and has no spans; repeated rows and ids keep one result each;
-extra columns are ignored; an empty table gives an empty table.
+what they match is what the plain patterns match. Positions are code points: running sums, by
+blocks, of the lengths of matches and of what is between them.
+
+Bootstrapping: every identifier-like token (one with a digit or an at sign, without the marks
+around it) stands between words, and each lexical pattern (the two words before, the word before,
+the word after, the words before and after) is a node of a graph whose other side is the tokens.
+Base entities are the seeds, and so are tokens that look like a credential (a long mix of letters
+and digits); of these none is a span until a pattern says so. Rounds alternate: a pattern's
+confidence in a kind is the mean score of its distinct tokens, given enough distinct seeds; a
+token's score is the mean confidence of its patterns. Tokens that high-confidence patterns agree
+on become spans of that kind beside the base ones.
+
+Cases: null text is empty and has no spans; words of more than 64 code points are no context; a
+token of several kinds counts for the first of them; patterns equally sure of a token give it
+the kind listed last; a very long text is one row, its spans one array; repeated rows and ids keep one
+result each; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.llm import shared
+from mergewell.llm.arrays import before, let
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -35,7 +40,11 @@ PATTERNS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Phones hold spaces, so they come before single tokens.
 SEEN = rf"{PATTERNS['phone']}|{TOKEN}"
+#: What patterns can be sure of: the base kinds, and credentials.
+SOUGHT = (*KINDS, "secret")
+SECRET = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{24,}$"
 MIN_SEEDS, CONFIDENT, ROUNDS = 5, 0.8, 3
+WORD = 64
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
 
@@ -45,17 +54,15 @@ def _spans(text: Column, pattern: str) -> Column:
     pieces = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")),
+        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.coalesce(F.length(hit), F.lit(0)).cast("long").alias("n"), hit.alias("text")),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def place(xs: Column) -> Column:
+        at = before(F.transform(xs, lambda x: x["gap"] + x["n"]), lambda a, x: a + x)
+        every = F.zip_with(xs, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["n"]).alias("end"), x["text"].alias("text")))
+        return F.filter(every, lambda x: x["text"].isNotNull())
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return let(pieces, place)
 
 
 def _luhn(digits: Column) -> Column:
@@ -87,39 +94,66 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needs, found).otherwise(F.array().cast(_SPANS))
 
 
+def _word(s: Column) -> Column:
+    """A word of a context: without the marks around it, unless it is nothing else."""
+    bare = F.regexp_replace(F.lower(s), r"^[^\p{L}]+|[^\p{L}]+$", "")
+    return F.when(F.length(s) > WORD, F.lit("")).otherwise(let(bare, lambda w: F.when(w == "", F.lower(s)).otherwise(w)))
+
+
 def _tokens(text: Column) -> Column:
     """Array of identifier-like tokens with their place and the words before and after."""
     flat = F.translate(text, "\t\n\r\x0b\x0c", "     ")
-    pieces = F.split(flat, SEEN, -1)
+    second = lambda p: F.when(F.instr(F.rtrim(p), " ") > 0, F.substring_index(F.substring_index(F.rtrim(p), " ", -2), " ", 1)).otherwise("")
+    gaps = F.transform(F.split(flat, SEEN, -1), lambda p: F.struct(F.length(p).cast("long").alias("gap"), _word(second(p)).alias("second"), _word(F.substring_index(F.rtrim(p), " ", -1)).alias("last"), _word(F.substring_index(F.ltrim(p), " ", 1)).alias("first")))
     hits = F.regexp_extract_all(flat, F.lit(SEEN), F.lit(0))
-    word = lambda s: F.regexp_replace(F.lower(s), r"^[^\p{L}]+|[^\p{L}]+$", "")
-    before = F.transform(pieces, lambda p: F.struct(F.length(p).cast("long").alias("gap"), word(F.substring_index(F.rtrim(p), " ", -1)).alias("last"), word(F.substring_index(F.ltrim(p), " ", 1)).alias("first")))
-    both = F.zip_with(F.zip_with(before, hits, lambda b, h: F.struct(b["gap"].alias("gap"), b["last"].alias("left"), h.alias("hit"))), F.slice(before, 2, 2_000_000_000), lambda x, b: F.struct(x["gap"].alias("gap"), x["left"].alias("left"), x["hit"].alias("hit"), b["first"].alias("right")))
-    kind = "array<struct<start:bigint,end:bigint,text:string,left:string,right:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+    core = F.transform(hits, lambda h: F.struct(F.length(h).cast("long").alias("n"), F.length(F.regexp_extract(h, r"^[^\p{L}\p{N}+]*+", 0)).cast("long").alias("skip"), F.regexp_extract(h, r"(?s)^[^\p{L}\p{N}+]*+(.*[\p{L}\p{N}])", 1).alias("text"), h.alias("raw")))
+    kind = "array<struct<start:bigint,end:bigint,text:string,second:string,left:string,right:string>>"
+
+    def place(gs: Column) -> Column:
+        met = F.zip_with(F.zip_with(gs, core, lambda g, c: F.struct(g.alias("g"), c.alias("c"))), F.slice(gs, 2, 2_000_000_000), lambda x, g: F.struct(x["g"].alias("g"), x["c"].alias("c"), g["first"].alias("right")))
+
+        def put(xs: Column) -> Column:
+            at = before(F.transform(xs, lambda x: x["g"]["gap"] + F.coalesce(x["c"]["n"], F.lit(0))), lambda a, x: a + x)
+
+            def one(x: Column, a: Column) -> Column:
+                bare = x["c"]["text"] == ""  # nothing but marks
+                begin = a + x["g"]["gap"] + F.when(bare, 0).otherwise(x["c"]["skip"])
+                of = F.when(bare, x["c"]["raw"]).otherwise(x["c"]["text"])
+                return F.struct(begin.alias("start"), (begin + F.length(of)).alias("end"), of.alias("text"), x["g"]["second"].alias("second"), x["g"]["last"].alias("left"), x["right"].alias("right"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text"), x["left"].alias("left"), x["right"].alias("right"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+            return F.filter(F.zip_with(xs, at, one), lambda t: t["text"].isNotNull())
 
-    return F.when(text.rlike("[0-9@]"), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+        return let(met, put)
+
+    return F.when(text.rlike("[0-9@]"), let(gaps, place)).otherwise(F.array().cast(kind))
 
 
 _BASE = "array<struct<start:bigint,nth:int,end:bigint,kind:string>>"
 
 
 def _merged(docs: DataFrame, text: Column, keep: list[Column], more: list[Column]) -> DataFrame:
-    """Kept columns, `base` (array of start, nth, end, kind in order) and more columns."""
+    """Kept columns, `base` (array of start, nth, end, kind in order), more columns, and the spans
+    of each kind as _kind."""
     found = docs.select(*keep, *[base_spans(text, k).alias(f"_{k}") for k in KINDS], *more)
 
     def tagged(i: int, k: str) -> Column:
         return F.transform(F.col(f"_{k}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end"), F.lit(k).alias("kind")))
 
-    parts = [tagged(i, k) for i, k in enumerate(KINDS)]
-    rest = [c for c in found.columns if c not in {f"_{k}" for k in KINDS}]
-    return found.select(*rest, F.array_sort(F.concat(*parts)).cast(_BASE).alias("base"))
+    return found.select("*", F.array_sort(F.concat(*[tagged(i, k) for i, k in enumerate(KINDS)])).cast(_BASE).alias("base"))
+
+
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of the disjoint spans, in order, overlaps the one from start to end: the first
+    that ends beyond the start is found by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int") + 1)
+    both = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(spans, mid)["end"] <= start
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, F.aggregate(steps, both, halve)["lo"])["start"] < end, F.lit(False))
 
 
 def scan(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
@@ -129,15 +163,16 @@ def scan(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFra
     merged = _merged(docs, text, keep, [_tokens(text).alias("tokens")])
 
     def with_kind(t: Column) -> Column:
-        over = F.filter(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), t["left"].alias("left"), t["right"].alias("right"), F.get(over, F.lit(0))["kind"].alias("kind"))
+        kinds = [F.when(_meets(F.col(f"_{k}"), t["start"], t["end"]), F.lit(k)) for k in KINDS]
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), t["second"].alias("second"), t["left"].alias("left"), t["right"].alias("right"), F.coalesce(*kinds).alias("kind"))
 
-    return merged.withColumn("tokens", F.transform("tokens", with_kind))
+    return merged.withColumn("tokens", F.transform("tokens", with_kind)).drop(*[f"_{k}" for k in KINDS])
 
 
-def _patterns(left: Column, right: Column) -> Column:
+def _patterns(second: Column, left: Column, right: Column) -> Column:
     """The lexical patterns of a context; empty words give none."""
     every = F.array(
+        F.when((second != "") & (left != ""), F.concat(second, F.lit(" "), left, F.lit(" _"))),
         F.when((left != "") & (right != ""), F.concat(left, F.lit(" _ "), right)),
         F.when(left != "", F.concat(left, F.lit(" _"))),
         F.when(right != "", F.concat(F.lit("_ "), right)),
@@ -146,30 +181,31 @@ def _patterns(left: Column, right: Column) -> Column:
 
 
 def bootstrap(tokens: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT) -> DataFrame:
-    """Patterns with the kind they predict and their confidence, from (text, left, right, kind)
-    rows. Edges are counted before they move, so a word that stands before a third of all
+    """Patterns with the kind they predict and their confidence, from (text, second, left, right,
+    kind) rows. Edges are counted before they move, so a word that stands before a third of all
     tokens is one key of a partial aggregate, and its edges are spread by token."""
+    seed = F.coalesce("kind", F.when(F.col("text").rlike(SECRET), F.lit("secret"))).alias("kind")
     edges = (
-        tokens.select(F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"), F.xxhash64("text").alias("token"), "kind")
+        tokens.select(F.explode(_patterns(F.col("second"), F.col("left"), F.col("right"))).alias("pattern"), F.xxhash64("text").alias("token"), seed)
         .groupBy("pattern", "token").agg(F.max("kind").alias("kind"))
     )
     edges = shared.cut(edges)
-    kinds = [F.lit(k) for k in KINDS]
+    kinds = [F.lit(k) for k in SOUGHT]
     # Seeds have score 1 in their kind for good; the others start at 0 and get what is found.
-    scored = edges.select("pattern", "token", "kind", *[(F.col("kind") == k).cast("double").alias(str(i)) for i, k in enumerate(KINDS)]).fillna(0.0)
-    sums = [F.sum(str(i)).alias(f"s{i}") for i in range(len(KINDS))]
-    seeds = [F.sum((F.col("kind") == k).cast("int")).alias(f"n{i}") for i, k in enumerate(KINDS)]
+    scored = edges.select("pattern", "token", "kind", *[(F.col("kind") == k).cast("double").alias(str(i)) for i, k in enumerate(SOUGHT)]).fillna(0.0)
+    sums = [F.sum(str(i)).alias(f"s{i}") for i in range(len(SOUGHT))]
+    seeds = [F.sum((F.col("kind") == k).cast("int")).alias(f"n{i}") for i, k in enumerate(SOUGHT)]
     patterns = None
     for r in range(rounds):
         stats = scored.groupBy("pattern").agg(F.count("*").alias("n"), *sums, *seeds)
-        best = F.array_max(F.array(*[F.struct(F.when(F.coalesce(F.col(f"n{i}"), F.lit(0)) >= min_seeds, F.col(f"s{i}") / F.col("n")).otherwise(0.0).alias("confidence"), F.lit(-i).alias("nth")) for i in range(len(KINDS))]))
+        best = F.array_max(F.array(*[F.struct(F.when(F.coalesce(F.col(f"n{i}"), F.lit(0)) >= min_seeds, F.col(f"s{i}") / F.col("n")).otherwise(0.0).alias("confidence"), F.lit(-i).alias("nth")) for i in range(len(SOUGHT))]))
         patterns = stats.select("pattern", best.alias("best")).select("pattern", F.element_at(F.array(*kinds), 1 - F.col("best.nth")).alias("of"), F.col("best.confidence").alias("confidence")).where(F.col("confidence") >= confident)
         patterns = shared.cut(patterns)
         if r == rounds - 1:
             break
         # Tokens that some confident pattern holds take its confidence, the rest stay.
-        reached = edges.where("kind is null").join(patterns, "pattern").groupBy("token").agg(*[F.max(F.when(F.col("of") == k, F.col("confidence")).otherwise(0.0)).alias(f"t{i}") for i, k in enumerate(KINDS)])
-        scored = edges.join(reached, "token", "left").select("pattern", "token", "kind", *[F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNull(), F.coalesce(F.col(f"t{i}"), F.lit(0.0))).otherwise(0.0).alias(str(i)) for i, k in enumerate(KINDS)])
+        reached = edges.where("kind is null").join(patterns, "pattern").groupBy("token").agg(*[F.max(F.when(F.col("of") == k, F.col("confidence")).otherwise(0.0)).alias(f"t{i}") for i, k in enumerate(SOUGHT)])
+        scored = edges.join(reached, "token", "left").select("pattern", "token", "kind", *[F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNull(), F.coalesce(F.col(f"t{i}"), F.lit(0.0))).otherwise(0.0).alias(str(i)) for i, k in enumerate(SOUGHT)])
     return patterns
 
 
@@ -177,8 +213,8 @@ def _discover(seen: DataFrame, key: str) -> DataFrame:
     """(key, found): spans that the bootstrapped patterns add to each key's base spans."""
     tokens = seen.select(key, F.explode("tokens").alias("t")).select(key, "t.*")
     patterns = bootstrap(tokens)
-    free = tokens.where("kind is null").select(key, "start", "end", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
-    nth = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    free = tokens.where("kind is null").select(key, "start", "end", F.explode(_patterns(F.col("second"), F.col("left"), F.col("right"))).alias("pattern"))
+    nth = F.create_map(*[x for i, k in enumerate(SOUGHT) for x in (F.lit(k), F.lit(i))])
     hits = free.join(patterns, "pattern").groupBy(key, "start", "end").agg(F.max(F.struct("confidence", "of")).alias("top"))
     return hits.groupBy(key).agg(F.collect_list(F.struct("start", nth[F.col("top.of")].alias("nth"), "end", F.col("top.of").alias("kind"))).cast(_BASE).alias("found"))
 
@@ -202,7 +238,8 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _discover(shared.cut(scan(docs, [key], text_col).dropDuplicates(["key"])), "key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     again = _merged(docs, text, [key, F.struct("*").alias("row"), text.alias("plain")], [])
-    return again.join(found, "key", "left").select("row", redact(F.col("plain"), _all_spans()).alias("clean"))
+    every = again.join(found, "key", "left").select("row", "plain", _all_spans().alias("spans"))
+    return redacted(every, "plain", "spans", "clean").select("row", "clean")
 
 
 def listing(spans: Column) -> Column:
@@ -210,15 +247,18 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the
-    earlier one wins and a later one only covers what is left of it."""
-    kind = "struct<at:bigint,out:array<string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
+def redacted(rows: DataFrame, text: str, spans: str, out: str) -> DataFrame:
+    """`rows` with column `out`: the text with every span replaced by its kind in brackets; of
+    overlapping spans the earlier one wins and a later one only covers what is left of it."""
+    chars = F.when(F.size(spans) > 0, F.split(F.col(text), ""))
+    ends = F.transform(spans, lambda s: s["end"])
+    at = before(ends, lambda a, x: F.greatest(a, x))
+    held = rows.withColumns({"_chars": chars, "_at": at})
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        add = F.when(s["end"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), add.alias("out"))
+    def put(s: Column, at: Column) -> Column:
+        gap = F.array_join(F.slice("_chars", (at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int")), "")
+        return F.when(s["end"] <= at, F.lit("")).otherwise(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    rest = F.array_join(F.slice("_chars", (F.array_max(ends) + 1).cast("int"), 2_000_000_000), "")
+    clean = F.concat(F.array_join(F.zip_with(spans, "_at", put), ""), rest)
+    return held.withColumn(out, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop("_chars", "_at")
