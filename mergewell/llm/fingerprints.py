@@ -7,7 +7,9 @@ whole text and a sketch: hashes of all spans of SPAN code points fall into BUCKE
 each bucket keeps its smallest. Likeness of two fingerprints is 1 for equal whole hashes, else
 the share of buckets that agree.
 
-Cases: null text is the empty text; empty texts have equal fingerprints; texts shorter than
+Cases: null text is the empty text; bytes that are not UTF-8 are read as U+FFFD; rows with equal
+ids, and those without an id, which come last, follow one another by a hash of the text; a very
+long text is hashed whole, alone in a worker's memory (some sixty times its bytes); empty texts have equal fingerprints; texts shorter than
 SPAN use their whole hash as the only span; repeated rows and ids keep one result each;
 extra columns are ignored; an empty table gives an empty table.
 """
@@ -32,6 +34,7 @@ EMPTY = 0x10000
 #: Code points of text that a worker compares at a time.
 HELD = 1 << 19
 U64 = np.uint64
+_LEAST = -(1 << 63)
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -119,7 +122,7 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code points, offsets of rows in them, bytes, byte place of every code point and the end)."""
-    data, off = vec.text_bytes(texts)
+    data, off = vec.valid_utf8(*vec.text_bytes(texts))
     place = np.flatnonzero((data & 0xC0) != 0x80)
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     return cp, np.searchsorted(place, off), data, np.append(place, len(data))
@@ -141,34 +144,44 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def in_descending_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (bucket, doc_id, tail, text), dealt so that each task holds whole runs of the
-    descending order of `id_col` (ties by text, null ids last): within a bucket a row's
+    """Rows (bucket, doc_id, tail, text as bytes), a bucket a task: whole runs of the descending
+    order of `id_col` (ties by a hash of the text, null ids last). Within a bucket a row's
     successor is the next row, and the successor of the last is there as a copy, tail = 1.
 
     Buckets are cut at quantiles of the ids, as many as there are shuffle partitions, so the
-    text moves once. Only the buckets' first ids come to the driver.
+    text moves once. An id that holds more than a bucket's share of the rows, or null, is cut
+    further by the hash. Only the buckets' first rows, some three a partition, come to the driver.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    total, nulls, cuts = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()
+    share = max(1, total // parts)
+    often = rows.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > share).collect()
+    cuts = sorted({*(cuts or []), *(r[0] for r in often), *(r[0] - 1 for r in often if r[0] > _LEAST)})
     # Cuts at or above the id, by block and then within the block: two square roots of their number.
     step = max(1, math.isqrt(len(cuts)))
     longs = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs]) if xs else F.array().cast("array<long>")
     block = F.size(F.filter(longs(cuts[step - 1 :: step]), lambda c: c < F.col("doc_id")))
     below = block * step + F.size(F.filter(F.slice(longs(cuts), block * step + 1, step), lambda c: c < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect())
-    order = [b for b, _ in firsts]
-    lead = spark.createDataFrame([(b, f, order[i - 1]) for i, (b, f) in enumerate(firsts)], "bucket int, first long, prior int")
+    rows = rows.withColumn("main", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below))
+    pieces = {len(cuts) - sum(c < r[0] for c in cuts): -(-r[1] // share) for r in often} | ({len(cuts) + 1: -(-nulls // share)} if nulls > share else {})
+    sub = F.lit(0)
+    if pieces:  # ranges of the hash
+        k = F.coalesce(F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])[F.col("main")], F.lit(1))
+        sub = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * k).cast("int"), k - 1)
+    rows = rows.withColumn("sub", sub)
+    # The first row of a bucket has the greatest id and of those the smallest hash.
+    firsts = rows.groupBy("main", "sub").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("f")).select("main", "sub", "f.doc_id", "f.h").collect()
+    firsts = sorted((tuple(r) for r in firsts), key=lambda r: r[:2])
+    lead = spark.createDataFrame([(m, s, i, (i - 1) % len(firsts), f, ~h) for i, (m, s, f, h) in enumerate(firsts)], "main int, sub int, bucket int, prior int, first long, first_h long")
     # The last bucket's tail is the very first row: prior of the first bucket is the last one.
     own = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
     copy = F.struct(F.col("prior").alias("bucket"), F.lit(1).alias("tail"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, copy)).otherwise(F.array(own))
-    dealt = rows.join(F.broadcast(lead), "bucket").select("doc_id", "text", F.explode(places).alias("to")).select("to.bucket", "doc_id", "to.tail", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    places = F.when(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")), F.array(own, copy)).otherwise(F.array(own))
+    dealt = rows.join(F.broadcast(lead), ["main", "sub"]).select("doc_id", "h", F.col("text").cast("binary").alias("text"), F.explode(places).alias("to")).select("to.bucket", "doc_id", "to.tail", "h", "text")
+    dealt = dealt.repartitionById(max(1, len(firsts)), F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").select("bucket", "doc_id", "tail", "text")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,10 +190,10 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint to the edited text's and to the next row's, and the longest common extension
     of text and edited text from their starts."""
 
-    def emit(ids: list, texts: list[str]) -> pa.RecordBatch:
+    def emit(ids: list, texts: list[bytes]) -> pa.RecordBatch:
         """texts has one entry more: the successor of the last row."""
         n = len(ids)
-        cp, off, data, place = _points(pa.array(texts, pa.string()))
+        cp, off, data, place = _points(pa.array(texts, pa.binary()))
         own = PrefixHashes(cp)
         prints, table = sketches(own, off)
         size = np.diff(off)
