@@ -17,7 +17,8 @@ those of its own, so links grow with the number of members, not its square.
 
 Cases: null text has no words; rows with a null id are left out; rows with equal id and text
 are one document; a passage repeated within one document is not reported unless another
-document has it; ties sort by id, then by text hash; extra columns are ignored.
+document has it; ties sort by id, then by text hash; a very long text is one slice of its own, in
+memory some thirty times its bytes; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.llm import shared, vec
+from mergewell.llm.arrays import before, let
 
 MATCH, GRAM = 50, 26
 U64 = np.uint64
@@ -233,14 +235,12 @@ def per_document(found: DataFrame) -> DataFrame:
     side = lambda d, s, o: F.struct(F.col(d).alias("doc_id"), F.col(s).alias("start"), (F.col(s) + F.col("n_words")).alias("end"), F.col(o).alias("other"))
     ends = found.select(F.explode(F.array(side("doc_id", "start", "other_id"), side("other_id", "other_start", "doc_id"))).alias("x")).select("x.*")
     lists = ends.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("other")).alias("others"))
-    kind = "array<struct<start:int,end:int>>"
-
-    def merge(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), longer).otherwise(F.concat(acc, F.array(x)))
-
-    merged = lists.select("doc_id", F.aggregate("spans", F.array().cast(kind), merge).alias("spans"), "others")
+    # Ranges in order of their starts; one begins anew where all before it have ended.
+    ended = before(F.transform("spans", lambda x: x["end"].cast("long") + 1), lambda a, x: F.greatest(a, x))
+    begun = F.filter(F.zip_with("spans", ended, lambda x, e: F.struct(x["start"].alias("start"), (e - 1).cast("int").alias("ended"))), lambda x: x["start"] > x["ended"])
+    last = F.array(F.array_max(F.transform("spans", lambda x: x["end"])))
+    ends_of = lambda xs: F.concat(F.transform(F.slice(xs, 2, 2_000_000_000), lambda x: x["ended"]), last)
+    merged = lists.select("doc_id", "others", let(begun, lambda xs: F.zip_with(xs, ends_of(xs), lambda x, e: F.struct(x["start"].alias("start"), e.alias("end")))).alias("spans"))
     return merged.select(
         "doc_id",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_repeated"),
