@@ -7,9 +7,10 @@ on the input.
 1. Each window has an anchor, the GRAM-word sequence in it with the smallest hash. Equal
    windows have equal anchors, so the number of documents with an anchor is never less than
    the number with a window. Partitions sketch the anchors of their documents (count-min, two
-   rows of cells), the sketches are added up, and what is kept is one bit a cell: two or more.
+   rows of cells; a partition's sketch is sent as its cells in use), the sketches are added up,
+   and what is kept is one bit a cell: two or more.
 2. Windows whose anchor is estimated once are left; no repeated window is among them. The
-   others are grouped exactly. Neighbouring windows with one anchor form a segment; equal
+   others are grouped by 64-bit hashes of their words. Neighbouring windows with one anchor form a segment; equal
    segments are counted together, and only where an anchor has different segments do their
    single windows meet, each distinct segment once. So a passage that a third of all documents
    share costs a partial aggregate, and exact copies cost a row a segment.
@@ -20,7 +21,9 @@ row (2 x 32 MB of bits); beyond that estimates get looser, results stay exact.
 
 Cases: null text has no words; texts of fewer than WINDOW words lose none; rows with a null id
 neither lose words nor take any; rows with equal ids don't take from each other (neither is
-smaller); repeated rows get equal results; extra columns are ignored.
+smaller); repeated rows get equal results; bytes that are not UTF-8 are words like others; a very
+long text is one slice of its own, in memory some thirty times its bytes; extra columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergewell.llm import vec
+from mergewell.llm import membership, shared, vec
 
 WINDOW, GRAM = 50, 9
 _REKEY = 0x5DEECE66D
@@ -77,10 +80,8 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, gram: int = GRAM)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     counted = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    words = counted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(max(1, 2 * cells // 64), np.int64)
-    bits[np.asarray(words.column("word").combine_chunks())] = np.asarray(words.column("bits").combine_chunks())
-    return bits.view(np.uint8)
+    words = counted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
+    return membership.pack(words, 2 * cells // 64)
 
 
 def _estimated_repeated(bits: np.ndarray, anchors: np.ndarray, cells: int) -> np.ndarray:
@@ -90,10 +91,12 @@ def _estimated_repeated(bits: np.ndarray, anchors: np.ndarray, cells: int) -> np
     return hit
 
 
-def segments(docs: DataFrame, bits: np.ndarray, cells: int, window: int = WINDOW, gram: int = GRAM, hashes: bool = True) -> DataFrame:
+def segments(docs: DataFrame, bits: np.ndarray, cells: int, window: int = WINDOW, gram: int = GRAM, mixed: membership.Members | None = None) -> DataFrame:
     """(doc_id, h, anchor, seg, start, n[, windows]): runs of n windows from word `start` on with
-    one anchor that the sketch estimates repeated; windows are their hashes, 8 bytes each."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    one anchor that the sketch estimates repeated. With `mixed`, a set of anchors, only their runs,
+    and windows are their hashes, 8 bytes each."""
+    sc, hashes = docs.sparkSession.sparkContext, mixed is not None
+    held, wanted = sc.broadcast(bits), sc.broadcast(mixed)
 
     def run(batches):
         for batch in batches:
@@ -106,7 +109,9 @@ def segments(docs: DataFrame, bits: np.ndarray, cells: int, window: int = WINDOW
                 cut[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
                 begin = np.flatnonzero(cut)
                 n = np.diff(np.append(begin, len(head)))
-                hit = _estimated_repeated(shared.value, anchor[begin], cells)
+                hit = _estimated_repeated(held.value, anchor[begin], cells)
+                if hashes:
+                    hit &= wanted.value.maybe(anchor[begin])
                 begin, n = begin[hit], n[hit]
                 if not len(begin):
                     continue
@@ -142,13 +147,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         cells = min(MAX_CELLS, max(MIN_CELLS, 1 << math.ceil(math.log2(max(size, 8) / 8))))
     bits = sketch(docs, cells, window, gram)
-    full = segments(docs, bits, cells, window, gram)
-    thin = segments(docs, bits, cells, window, gram, hashes=False)
-    segs = full.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.any_value("windows").alias("windows"))
     # Where all documents have the same words around an anchor, the smallest id decides. Only
-    # anchors with several segments need their windows compared.
+    # anchors with several segments need their windows compared; a second pass hashes those.
+    thin = shared.cut(segments(docs, bits, cells, window, gram))
     least = thin.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    mixed = least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed, n_mixed = shared.table(least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
+    full = segments(docs, bits, cells, window, gram, membership.members(mixed, n_mixed))
+    segs = full.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.any_value("windows").alias("windows"))
     apart = segs.join(mixed, "anchor", "left_semi").mapInArrow(_expand, "anchor long, seg long, least long, window long, nth int")
     earliest = apart.groupBy("anchor", "window").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).where("earliest < latest").drop("latest")
     single = apart.join(earliest, ["anchor", "window"]).where("earliest < least").groupBy("anchor", "seg").agg(F.collect_set("nth").alias("nths"))
@@ -192,7 +197,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = data[np.minimum(np.arange(ends_at[-1] if len(n) else 0) - np.repeat(ends_at - n - s, n), max(len(data) - 1, 0))]
                 out[ends_at - 1] = 32
                 place = np.concatenate([[0], ends_at])[kept]
-                text = pa.array([out[a : max(a, b - 1)].tobytes() for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                text = pa.array([out[a : max(a, b - 1)].tobytes() for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)], pa.binary()).cast(pa.string(), safe=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(np.diff(first)), pa.array(np.diff(first) - np.diff(kept))], ["doc_id", "kept", "n_words", "n_removed"])
 
     return marked.mapInArrow(cut, "doc_id long, kept string, n_words long, n_removed long").withColumnRenamed("doc_id", id_col)
