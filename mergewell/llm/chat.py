@@ -1,13 +1,15 @@
 """Chat formatting of typed content parts, in DataFrame functions only.
 
-A visitor flattens each turn's parts in order: text parts are escaped, and image, audio and
-document parts become one placeholder each, with an attachment record (where it stands, its
-reference and how many tokens it expands to). Turns are marked as
+A visitor flattens each turn's parts in order, and the parts within a part after it: image,
+audio and document parts become one placeholder each, with an attachment record (where it stands,
+its reference and how many tokens it expands to); each run of adjacent text parts is escaped as
+one text, so that no control string can be put together across parts. Turns are marked as
 `<|im_start|>role NEWLINE content<|im_end|>NEWLINE`. Inside texts every `<`, any backslashes,
 `|` gains one backslash, so no text holds a control string and taking one away restores it;
 roles also escape backslashes and line ends.
 
-Cases: null texts, roles and parts are empty; turns sort by turn (null first), then role and
+Cases: null texts, roles and parts are empty; a part of an unknown or no kind is a text part;
+parts nest as deep as the column's type says; a very long text is part of one row; turns sort by turn (null first), then role and
 text, so repeated rows stay and have a defined order; rows with a null conv_id form one
 conversation; extra columns are ignored; an empty table gives an empty table. A conversation
 is one output row, so it is gathered in one task, as its digest needs.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens an attachment expands to: one a unit of so much, rounded up, plus a fixed number.
@@ -41,12 +44,30 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
 
 
-def _visit(part: Column) -> Column:
-    """Flattened form of one part."""
-    out = F.coalesce(escape(part["text"]), F.lit(""))
-    for kind in EXPANSION:
-        out = F.when(part["kind"] == kind, F.lit(f"<|{kind}|>")).otherwise(out)
-    return out
+def _flat(parts: Column, kind: ArrayType) -> Column:
+    """All parts in order of a visit: each part, then those in its field `parts`."""
+    inner = {f.name: f.dataType for f in kind.elementType.fields}
+
+    def visit(p: Column) -> Column:
+        has = lambda name, as_: (p[name].cast(as_) if name in inner else F.lit(None).cast(as_)).alias(name)
+        own = F.array(F.struct(has("kind", "string"), has("text", "string"), has("ref", "string"), has("units", "double")))
+        if "parts" not in inner:
+            return own
+        return F.concat(own, F.coalesce(_flat(p["parts"], inner["parts"]), F.array().cast(PARTS)))
+
+    return F.flatten(F.transform(parts, visit))
+
+
+def _content(parts: Column) -> Column:
+    """Placeholders, and between them the escaped runs of text."""
+    none = F.struct(F.lit("").alias("out"), F.lit("").alias("run"))
+
+    def visit(s: Column, part: Column) -> Column:
+        mark = F.concat(F.lit("<|"), part["kind"], F.lit("|>"))
+        text = F.struct(s["out"].alias("out"), F.concat(s["run"], F.coalesce(part["text"], F.lit(""))).alias("run"))
+        return F.when(part["kind"].isin(*EXPANSION), F.struct(F.concat(s["out"], escape(s["run"]), mark).alias("out"), F.lit("").alias("run"))).otherwise(text)
+
+    return F.aggregate(parts, none, visit, lambda s: F.concat(s["out"], escape(s["run"])))
 
 
 def _tokens(part: Column) -> Column:
@@ -61,12 +82,12 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     end in code points of `formatted`) and attachments (turn index, part index, kind, ref,
     tokens). One shuffle on the conversation."""
     text_part = F.array(F.struct(F.lit("text").alias("kind"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
-    parts = F.coalesce(F.col(parts_col).cast(PARTS), text_part) if parts_col else text_part
+    parts = F.coalesce(_flat(F.col(parts_col), rows.schema[parts_col].dataType), text_part) if parts_col else text_part
     turns = rows.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("content"),
+        _content(parts).alias("content"),
         F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["kind"].isin(*EXPANSION)).alias("files"),
     )
     head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
