@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergewell.operators.merge import first_of
 from mergewell.operators.persist import insert_or_ignore, upsert
 
 
@@ -49,10 +50,10 @@ def put_external_ids(stored: DataFrame, new: DataFrame, replace: bool = False) -
     """(ids, conflicts): one value for each owner and namespace; replace lets the new one win."""
     by = ["owner_type", "owner_id", "namespace"]
     if replace:
-        return upsert(stored, new.dropDuplicates(by), by), new.limit(0)
+        return upsert(stored, first_of(new, by, ["value"]), by), new.limit(0)
     held = stored.select(*by, F.col("value").alias("held"))
     clash = new.join(held, by).where("value <> held")
-    return stored.unionByName(new.join(stored.select(*by), by, "left_anti").dropDuplicates(by), allowMissingColumns=True), clash
+    return stored.unionByName(first_of(new, by, ["value"]).join(stored.select(*by), by, "left_anti"), allowMissingColumns=True), clash
 
 
 def remove_external_ids(stored: DataFrame, gone: DataFrame) -> DataFrame:

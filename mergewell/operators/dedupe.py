@@ -9,15 +9,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergewell.operators.merge import first_of
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; local runs make one."""
+    """Cut lineage in the folder that spark.checkpoint.dir names. Where it is unset a local session
+    makes a folder; on a cluster that is an error, since executors would not share it."""
     spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="engine-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="engine-"))
     return df.checkpoint()
 
 
@@ -30,7 +37,7 @@ def dedupe_single_key(claims: DataFrame, by: list[str], order: list[str]) -> Dat
     return claims.groupBy(*by).agg(first, F.count("*").alias("n_claims")).select(*by, "first.*", "n_claims")
 
 
-def dedupe_greedy(keys: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def dedupe_greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, dropped) of a long key frame (claim_id, claim_ord, entity_type, key_ord, key).
 
     Each round, a claim that is the earliest undecided one on all its keys survives, and every
@@ -41,7 +48,7 @@ def dedupe_greedy(keys: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataF
     """
     open_keys = checkpointed(keys.select("claim_id", "claim_ord", "entity_type", "key_ord", "key"))
     every, survivors = open_keys, None
-    for _ in range(rounds):
+    while True:
         lowest = open_keys.groupBy("entity_type", "key").agg(F.min("claim_ord").alias("low"))
         standing = open_keys.join(lowest, ["entity_type", "key"]).groupBy("entity_type", "claim_id", "claim_ord").agg(F.min(F.col("low") == F.col("claim_ord")).alias("free"))
         new = checkpointed(standing.where("free").select("entity_type", "claim_id", "claim_ord"))
@@ -51,8 +58,6 @@ def dedupe_greedy(keys: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataF
         open_keys = checkpointed(open_keys.join(losing, "claim_id", "left_anti"))
         if open_keys.isEmpty():
             break
-    else:
-        raise RuntimeError(f"deduplication did not settle in {rounds} rounds")
     owned = every.join(survivors.select("claim_id"), "claim_id", "left_semi").select("entity_type", "key", F.col("claim_id").alias("rep_claim_id"), F.col("claim_ord").alias("rep_ord"))
     losers = every.join(survivors.select("claim_id"), "claim_id", "left_anti")
     matched = losers.join(owned, ["entity_type", "key"]).where("rep_ord < claim_ord")
@@ -71,8 +76,7 @@ def rewire(rels: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def collapse_relationships(rels: DataFrame, key: str = "rel_key", order: str = "rel_ord") -> DataFrame:
     """One relationship for each key, the first."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rels.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_of(rels, [key], [order])
 
 
 def missing_endpoints(rels: DataFrame, claims: DataFrame) -> DataFrame:

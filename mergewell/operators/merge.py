@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.functions.text import blank_to_null
+from mergewell.schemas import FACT_TYPES
 
 #: Fields by rule for each entity type. Text wins if not blank, values if not null, lists grow.
 RULES = {
@@ -37,6 +38,14 @@ def union_sources(current: Column, incoming: Column) -> Column:
     return F.array_sort(F.array_union(F.coalesce(current, none), F.coalesce(incoming, none)))
 
 
+def absorb_facts(current: Column, incoming: Column) -> Column:
+    """A struct of facts with another absorbed, each field by its rule. A field has one rule,
+    whatever the type of the entity."""
+    by = {"text": prefer_text, "value": prefer_value, "list": grow_list}
+    rule = {f: by[r] for rules in RULES.values() for r, fields in rules.items() for f in fields}
+    return F.struct(*[rule[f](current[f], incoming[f]).alias(f) for f in FACT_TYPES])
+
+
 def merge_entities(stored: DataFrame, incoming: DataFrame, entity_type: str, key: str = "entity_id") -> DataFrame:
     """Stored rows with the incoming ones (at most one each) absorbed, and changed_fields."""
     rules = RULES[entity_type]
@@ -58,14 +67,20 @@ def overwrite_payload(stored: DataFrame, incoming: DataFrame, fields: list[str],
 
 
 def absorb_external_ids(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ids to add, conflicts): an owner keeps one value a namespace. Columns: owner_type,
-    owner_id, namespace, value."""
+    """(ids to add, conflicts): an owner keeps one value a namespace, the first in order of `pos`,
+    where given, and value. Columns: owner_type, owner_id, namespace, value."""
     by = ["owner_type", "owner_id", "namespace"]
-    add = incoming.join(stored.select(*by), by, "left_anti").dropDuplicates(by)
+    add = first_of(incoming, by, [c for c in ("pos", "value") if c in incoming.columns]).join(stored.select(*by), by, "left_anti")
     held = stored.select(*by, F.col("value").alias("held"))
     return add, incoming.join(held, by).where("value <> held")
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group: a partial aggregate, so a frequent key shrinks before it moves."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*by, "_f.*").select(*rows.columns)
+
+
 def materialize(instructions: DataFrame) -> DataFrame:
     """(claim_id, entity_id): what each claim has become; nothing for reviewed ones."""
     own = F.coalesce("created_id", "claim_id") if "created_id" in instructions.columns else F.col("claim_id")
@@ -77,3 +92,9 @@ def counters(instructions: DataFrame) -> DataFrame:
     """For each subject: applied, created, merged, skipped, manual_review."""
     n = lambda s: F.sum((F.col("strategy") == s).cast("long"))
     return instructions.groupBy("subject").agg(F.count("*").alias("applied"), n("create").alias("created"), n("merge").alias("merged"), n("noop").alias("skipped"), n("manual_review").alias("manual_review"))
+
+
+def sum_counters(runs: DataFrame) -> DataFrame:
+    """Counters of several runs (as `counters` has them) added up by subject."""
+    names = ["applied", "created", "merged", "skipped", "manual_review"]
+    return runs.groupBy("subject").agg(*[F.sum(c).alias(c) for c in names])

@@ -1,8 +1,9 @@
 """Writes: keyed inserts and upserts over versioned Parquet tables.
 
-A store is a folder with one folder a version and a pointer file; a commit writes all tables of
-the next version, checks the constraints, and moves the pointer last, so a run that fails leaves
-the version before it in place.
+A store is a folder with one folder a version and one numbered pointer a commit; the pointer with
+the highest number holds the current version. A commit writes all tables of the next version,
+checks the constraints, writes its pointer beside and renames it into place last: whenever a run
+dies, the version before it is whole and current. A commit that another one came before fails.
 """
 
 from __future__ import annotations
@@ -59,28 +60,48 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._base: int | None = None  # number of the commit that was read
 
     def _fs(self):
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    def _last(self) -> tuple[int, str | None]:
+        """Number and version of the last commit."""
         fs, path = self._fs()
-        at = path(f"{self.path}/CURRENT")
+        at = path(f"{self.path}/commits")
         if not fs.exists(at):
-            return None
-        stream = fs.open(at)
+            return 0, None
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        number = max((int(n) for n in names if n.isdigit()), default=0)
+        if not number:
+            return 0, None
+        stream = fs.open(path(f"{self.path}/commits/{number:012d}"))
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return number, self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def version(self) -> str | None:
+        return self._last()[1]
+
+    def _point(self, number: int, version: str) -> None:
+        """Makes `version` the current one, unless that number is taken: one rename."""
+        fs, path = self._fs()
+        jvm = self.spark._jvm
+        beside = path(f"{self.path}/commits/next-{version}")
+        out = fs.create(beside, False)
+        out.write(version.encode())
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri() if beside.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(beside), fs.makeQualified(path(f"{self.path}/commits/{number:012d}")), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
     def read(self, table: str, schema: StructType | str) -> DataFrame:
         """A table of the current version; empty if there is none yet. Columns that the stored
         version lacks are null."""
         empty = self.spark.createDataFrame([], schema)
-        version = self.version()
+        self._base, version = self._last()
         fs, path = self._fs()
         if version is None or not fs.exists(path(f"{self.path}/{version}/{table}")):
             return empty
@@ -88,17 +109,21 @@ class Store:
 
     def commit(self, tables: dict[str, DataFrame], constraints: dict[str, DataFrame] | None = None) -> str:
         """Writes the next version. `constraints` are frames that must be empty."""
+        number = self._last()[0] if self._base is None else self._base
         version = f"v{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
         fs, path = self._fs()
-        for name, rows in (constraints or {}).items():
-            if not rows.isEmpty():
-                fs.delete(path(f"{self.path}/{version}"), True)
-                raise ValueError(f"constraint violated: {name}")
-        out = fs.create(path(f"{self.path}/NEXT"), True)
-        out.write(version.encode())
-        out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        fs.rename(path(f"{self.path}/NEXT"), path(f"{self.path}/CURRENT"))
+        broken = next((name for name, rows in (constraints or {}).items() if not rows.isEmpty()), None)
+        if broken is None and self._last()[0] != number:
+            broken = "another commit came first"
+        if broken is not None:
+            fs.delete(path(f"{self.path}/{version}"), True)
+            raise ValueError(f"constraint violated: {broken}")
+        self._point(number + 1, version)
+        self._base = number + 1
         return version
+
+    def written(self, version: str, table: str) -> DataFrame:
+        """A table of some version, as it was written."""
+        return self.spark.read.parquet(f"{self.path}/{version}/{table}")

@@ -51,3 +51,9 @@ def decide_links(resolutions: DataFrame) -> DataFrame:
 def manual_review(instructions: DataFrame, subject: str) -> DataFrame:
     """Instructions that a person must look at."""
     return instructions.where("strategy = 'manual_review'").select("claim_id", F.lit(subject).alias("subject"), "candidate_ids", "reason")
+
+
+def skip_reasons(instructions: DataFrame) -> DataFrame:
+    """How often each subject was left out or reviewed, by strategy and reason. Needs subject."""
+    out = instructions.where("strategy in ('noop', 'manual_review')")
+    return out.groupBy("subject", "strategy", "reason").agg(F.count("*").alias("n"))

@@ -9,14 +9,14 @@ from mergewell.operators.dedupe import checkpointed
 from mergewell.operators.keys import first_in_window
 
 
-def redirect_closure(redirects: DataFrame, most_steps: int = 64) -> DataFrame:
+def redirect_closure(redirects: DataFrame) -> DataFrame:
     """(namespace, source_value, target_value): where each chain of redirects ends; a chain that
     comes back to a value it has seen ends before it. Pointer doubling is not used because of
     that stop; each step is a join of the chains that still move with the redirects."""
     step = redirects.select("namespace", F.col("source_value").alias("_from"), F.col("target_value").alias("_to"))
     moving = redirects.where("source_value <> target_value").select("namespace", "source_value", F.col("target_value").alias("at"), F.array("source_value", "target_value").alias("seen"))
     done = None
-    for _ in range(most_steps):
+    while True:  # every chain ends, or comes back to a value it has seen
         moving = checkpointed(moving)
         nxt = moving.join(step, (moving["namespace"] == step["namespace"]) & (moving["at"] == step["_from"]), "left").select(moving["namespace"], "source_value", "at", "seen", "_to")
         stop = F.col("_to").isNull() | F.array_contains("seen", F.col("_to"))
@@ -25,7 +25,6 @@ def redirect_closure(redirects: DataFrame, most_steps: int = 64) -> DataFrame:
         moving = nxt.where(~F.coalesce(stop, F.lit(True))).select("namespace", "source_value", F.col("_to").alias("at"), F.concat("seen", F.array("_to")).alias("seen"))
         if moving.isEmpty():
             return done
-    raise RuntimeError(f"redirects are longer than {most_steps} steps")
 
 
 def by_external_id(claim_ids: DataFrame, external_ids: DataFrame, closure: DataFrame | None = None) -> DataFrame:
@@ -84,6 +83,19 @@ def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, e
     return out.withColumn("target_id", F.when(F.col("status") == "resolved", F.get("candidate_ids", F.lit(0))))
 
 
+def bad_endpoints(rels: DataFrame, claims: DataFrame, ends: dict[str, tuple[str, str]]) -> DataFrame:
+    """Relationships whose ends are not there or not of the types that their kind joins; must be
+    empty. (rel_id, kind, reason)"""
+    out = rels
+    for i, end in enumerate(("src", "dst")):
+        types = claims.select(F.col("claim_id").alias(f"{end}_claim_id"), F.col("entity_type").alias(f"_{end}"))
+        want = F.create_map(*[F.lit(x) for kind, pair in ends.items() for x in (kind, pair[i])])
+        out = out.join(types, f"{end}_claim_id", "left").withColumn(f"_{end}_want", want[F.col("kind")])
+    lost = F.col("_src").isNull() | F.col("_dst").isNull()
+    wrong = ~(F.col("_src").eqNullSafe(F.col("_src_want")) & F.col("_dst").eqNullSafe(F.col("_dst_want")))
+    return out.where(lost | wrong).select("rel_id", "kind", F.when(lost, "endpoint_missing").otherwise("endpoint_type_mismatch").alias("reason"))
+
+
 def endpoints(rels: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Adds src_id, dst_id (target if resolved, the claim itself if new) and blocked_by: the
     distinct endpoints that are neither."""

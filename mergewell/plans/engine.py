@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mergewell import schemas
 from mergewell.functions.text import normalize_text
@@ -37,7 +38,7 @@ class State:
 
     @classmethod
     def schema(cls) -> dict[str, str]:
-        return dict(zip([f.name for f in fields(cls)], [schemas.ENTITY, schemas.EXTERNAL_ID, schemas.REDIRECT, schemas.SIDECAR, schemas.EDGE, schemas.PLAY_EVENT], strict=True))
+        return dict(zip([f.name for f in fields(cls)], [schemas.FULL_ENTITY, schemas.EXTERNAL_ID, schemas.REDIRECT, schemas.SIDECAR, schemas.FULL_EDGE, schemas.PLAY_EVENT], strict=True))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> State:
@@ -48,8 +49,19 @@ class State:
         return cls(**{n: store.read(n, s) for n, s in cls.schema().items()})
 
     def save(self, store: X.Store) -> str:
-        lost = self.edges.join(self.entities.select(F.col("entity_id").alias("src_id")), "src_id", "left_anti")
-        return store.commit({f.name: getattr(self, f.name) for f in fields(self)}, {"every edge has its source": lost})
+        ids = self.entities.select("entity_id")
+        lost = lambda df, c: df.where(F.col(c).isNotNull()).join(ids, df[c] == ids["entity_id"], "left_anti")
+        twice = lambda df, *by: df.groupBy(*by).count().where("count > 1")
+        rules = {
+            "every edge has its ends": lost(self.edges, "src_id").unionByName(lost(self.edges, "dst_id")),
+            "edges have ends and a kind": self.edges.where("src_id is null or dst_id is null or kind is null"),
+            "an entity is stored once": twice(self.entities, "entity_id"),
+            "entities have a type": self.entities.where("entity_id is null or entity_type is null"),
+            "a key has one owner": twice(self.sidecar, "entity_type", "key"),
+            "an external id has one owner": twice(self.external_ids, "namespace", "value", "owner_type"),
+            "every play event has its recording": lost(self.play_events, "recording_id"),
+        }
+        return store.commit({f.name: getattr(self, f.name) for f in fields(self)}, rules)
 
 
 @dataclass
@@ -60,6 +72,7 @@ class Outcome:
     materialized: DataFrame
     counters: DataFrame
     manual_review: DataFrame
+    skip_reasons: DataFrame
 
 
 def claim_keys(claims: DataFrame) -> DataFrame:
@@ -79,17 +92,36 @@ def claim_keys(claims: DataFrame) -> DataFrame:
     return K.explode_keys(c, keys)
 
 
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """`df` with the columns of a schema that it lacks, as null."""
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl) if f.name not in df.columns])
+
+
+def _edge_key() -> Column:
+    """Identity of a relationship with its payload; tracks and credits have different ones."""
+    col = F.col
+    track = K.track_payload(col("disc_number"), col("track_number"), normalize_text(col("title_override")), col("duration_ms"))
+    credit = K.credit_payload(col("role"), col("credit_order"), normalize_text(col("credited_as")), normalize_text(col("join_phrase")))
+    ends = (col("kind"), col("src_claim_id"), col("dst_claim_id"))
+    return F.when(col("kind") == "release_track", K.relationship_key(*ends, track)).when(col("kind").isin(*schemas.LINKS), K.relationship_key(*ends, [])).otherwise(K.relationship_key(*ends, credit))
+
+
 def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
-    """One batch against the stored state."""
+    """One batch against the stored state. Claims may have `facts`, relationships any of the
+    columns of a payload."""
+    claims = conform(claims, f"facts {schemas.FACTS}")
+    rels = conform(rels, ", ".join(f"{k} {v}" for k, v in schemas.PAYLOAD_TYPES.items()))
+    stored, edges = conform(state.entities, schemas.FULL_ENTITY), conform(state.edges, schemas.FULL_EDGE)
+    bad = R.bad_endpoints(rels, claims, schemas.ENDS).limit(3).collect()
+    if bad:
+        raise ValueError(f"relationships that cannot be: {[tuple(r) for r in bad]}")
     keys = D.checkpointed(claim_keys(claims))
     _, dropped = D.dedupe_greedy(keys)
     dropped = D.checkpointed(dropped)
     kept = claims.join(dropped.select("claim_id"), "claim_id", "left_anti")
     kept_keys = keys.join(dropped.select("claim_id"), "claim_id", "left_anti")
     wired = D.rewire(rels, dropped)
-    payload = [K.raw_part(F.coalesce(F.col(c), F.lit(-1))) for c in ("credit_order", "disc_number", "track_number")]
-    rel_key = K.relationship_key(F.col("kind"), F.col("src_claim_id"), F.col("dst_claim_id"), [K.text_part(F.col("role")), *payload])
-    wired = D.collapse_relationships(wired.withColumn("rel_key", rel_key)).drop("rel_key")
+    wired = D.collapse_relationships(wired.withColumn("rel_key", _edge_key())).drop("rel_key")
 
     claim_ids = kept.select("claim_id", "entity_type", F.posexplode("ids").alias("pos", "x")).select("claim_id", "entity_type", "pos", "x.namespace", "x.value")
     resolved = R.resolve_entities(kept, claim_ids, kept_keys, state.external_ids, state.redirects, state.sidecar)
@@ -99,17 +131,24 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
 
     # Fresh endpoints are looked up among the batch's own edges, as they were before rewiring.
     fresh = rels.select("kind", F.col("src_claim_id").alias("src_id"), F.col("dst_claim_id").alias("dst_id"), F.col("rel_id").alias("edge_id"))
-    known = fresh.unionByName(state.edges.select("kind", "src_id", "dst_id", "edge_id"))
+    known = fresh.unionByName(edges.select("kind", "src_id", "dst_id", "edge_id"))
     ends = R.endpoints(wired, decided)
-    found = R.resolve_associations(ends, known).withColumn("candidate_ids", F.array().cast("array<string>"))
-    acted = D.checkpointed(P.decide_associations(found, F.lit(False)))
-
-    new_entities = decided.where("strategy = 'create'").join(kept.select("claim_id", "name", "duration_ms", "sources"), "claim_id").select(F.col("claim_id").alias("entity_id"), "entity_type", "name", "duration_ms", "sources")
-    merging = decided.where("strategy = 'merge'").join(kept.select("claim_id", "name", "duration_ms", "sources"), "claim_id")
-    given = merging.select(F.col("target_id").alias("_k"), F.col("name").alias("_name"), F.col("duration_ms").alias("_ms"), F.col("sources").alias("_sources"))
-    old = state.entities.join(given, F.col("entity_id") == F.col("_k"), "left").select(
-        "entity_id", "entity_type", M.prefer_text(F.col("name"), F.col("_name")).alias("name"), M.prefer_value(F.col("duration_ms"), F.col("_ms")).alias("duration_ms"), M.union_sources(F.col("sources"), F.col("_sources")).alias("sources")
-    )
+    is_link = F.col("kind").isin(*schemas.LINKS)
+    found = R.resolve_associations(ends.where(~is_link), known).withColumn("candidate_ids", F.array().cast("array<string>"))
+    # A stored edge takes the payload that is given, where it differs.
+    was = edges.select(F.col("edge_id").alias("target_id"), F.lit(True).alias("_stored"), *[F.col(c).alias(f"_{c}") for c in schemas.PAYLOAD])
+    differs = F.col("_stored") & P.payload_differs(schemas.PAYLOAD, [f"_{c}" for c in schemas.PAYLOAD])
+    acted = P.decide_associations(found.join(was, "target_id", "left"), differs).drop("_stored", *[f"_{c}" for c in schemas.PAYLOAD])
+    acted = D.checkpointed(acted)
+    linked = D.checkpointed(P.decide_links(R.resolve_links(ends.where(is_link), edges)).withColumns({"candidate_ids": F.array().cast("array<string>"), "target_id": F.lit(None).cast("string")}))
+
+    facts = ["name", "duration_ms", "sources", "facts"]
+    new_entities = decided.where("strategy = 'create'").join(kept.select("claim_id", *facts), "claim_id").select(F.col("claim_id").alias("entity_id"), "entity_type", *facts)
+    merging = decided.where("strategy = 'merge'").join(kept.select("claim_id", *facts), "claim_id")
+    given = merging.select(F.col("target_id").alias("_k"), *[F.col(c).alias(f"_{c}") for c in facts])
+    both = lambda rule, c: rule(F.col(c), F.col(f"_{c}")).alias(c)
+    absorbed = F.when(F.col("_facts").isNull(), F.col("facts")).otherwise(M.absorb_facts(F.col("facts"), F.col("_facts"))).alias("facts")
+    old = stored.join(given, F.col("entity_id") == F.col("_k"), "left").select("entity_id", "entity_type", both(M.prefer_text, "name"), both(M.prefer_value, "duration_ms"), both(M.union_sources, "sources"), absorbed)
     owners = materialized.select("claim_id", F.col("entity_id").alias("owner_id"))
     ids = claim_ids.join(owners, "claim_id").select("namespace", "value", F.col("entity_type").alias("owner_type"), "owner_id").withColumn("provider", provider_for(F.col("namespace")))
     by = ["namespace", "value", "owner_type"]
@@ -117,14 +156,19 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     rows = X.sidecar_rows(decided, kept_keys)
     add_keys = X.insert_or_ignore(state.sidecar, rows, ["entity_type", "key"], ["claim_ord", "key_ord"]).select("entity_type", "key", "entity_id")
     # Edges that resolved to their own fresh payload are stored too, though they count as skipped.
-    put = acted.where("strategy = 'create' or (strategy = 'noop' and target_id = rel_id)")
-    add_edges = put.select(F.col("rel_id").alias("edge_id"), "kind", "src_id", "dst_id", "role", "credit_order", "disc_number", "track_number")
-    add_edges = X.insert_or_ignore(state.edges, add_edges, ["kind", "src_id", "dst_id"], ["edge_id"])
-    state = State(old.unionByName(new_entities), state.external_ids.unionByName(add_ids), state.redirects, state.sidecar.unionByName(add_keys), state.edges.unionByName(add_edges, allowMissingColumns=True), state.play_events)
-    counts = M.counters(decided.select(F.lit("entity").alias("subject"), "strategy").unionByName(acted.select(F.lit("association").alias("subject"), "strategy")))
-    review = P.manual_review(decided, "entity").unionByName(P.manual_review(acted.withColumn("claim_id", F.col("rel_id")), "association"))
+    put = acted.where("strategy = 'create' or (strategy = 'noop' and target_id = rel_id)").unionByName(linked.where("strategy = 'create'"))
+    add_edges = put.select(F.col("rel_id").alias("edge_id"), "kind", "src_id", "dst_id", *schemas.PAYLOAD)
+    merged = M.first_of(acted.where("strategy = 'merge'").select(F.col("target_id").alias("edge_id"), "rel_ord", *schemas.PAYLOAD), ["edge_id"], ["rel_ord"])
+    edges = M.overwrite_payload(edges, merged, schemas.PAYLOAD)
+    add_edges = X.insert_or_ignore(edges, add_edges, ["kind", "src_id", "dst_id"], ["edge_id"])
+    state = State(old.unionByName(new_entities), state.external_ids.unionByName(add_ids), state.redirects, state.sidecar.unionByName(add_keys), edges.unionByName(add_edges), state.play_events)
+    of = lambda df, subject: df.select(F.lit(subject).alias("subject"), "strategy", "reason")
+    every = of(decided, "entity").unionByName(of(acted, "association")).unionByName(of(linked, "link"))
+    counts = M.counters(every)
+    by_rel = lambda df: df.withColumn("claim_id", F.col("rel_id"))
+    review = P.manual_review(decided, "entity").unionByName(P.manual_review(by_rel(acted), "association")).unionByName(P.manual_review(by_rel(linked), "link"))
     became = materialized.unionByName(dropped.join(materialized.withColumnRenamed("claim_id", "rep_claim_id"), "rep_claim_id").select("claim_id", "entity_id"))
-    return Outcome(state, decided, acted, became, counts, review)
+    return Outcome(state, decided, acted.unionByName(linked), became, counts, review, P.skip_reasons(every))
 
 
 def ingest_play_events(claims: DataFrame, rels: DataFrame, events: DataFrame, state: State, after: Column | None = None, until: Column | None = None) -> Outcome:

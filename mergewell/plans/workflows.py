@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 from mergewell.operators import candidates as C
 from mergewell.operators import dedupe as D
 from mergewell.operators import incremental as Inc
+from mergewell.operators import merge as M
 from mergewell.operators import persist as X
 from mergewell.operators import resolve as R
 from mergewell.plans.engine import Outcome, State, reconcile
+from mergewell.schemas import FACT_TYPES, FACTS, PAYLOAD_TYPES
 from mergewell.sources.translate import IDS, external_ids
 
 _NO_IDS = "array<struct<namespace:string,value:string>>"
 
 
-def _claim(kind: Column | str, claim_id: Column, place: Column, name: Column, artist: Column, ids: Column, source: str, root: Column, duration: Column | None = None, children: Column | None = None) -> Column:
+def _claim(kind: Column | str, claim_id: Column, place: Column, name: Column, artist: Column, ids: Column, source: str, root: Column, /, duration: Column | None = None, children: Column | None = None, **facts: Column) -> Column:
     null = F.lit(None)
+    known = F.struct(*[facts.get(f, null).cast(t).alias(f) for f, t in FACT_TYPES.items()]) if facts else null.cast(FACTS)
     return F.struct(
         claim_id.alias("claim_id"), place.alias("claim_ord"), (F.lit(kind) if isinstance(kind, str) else kind).alias("entity_type"), root.alias("is_root"), name.alias("name"), artist.cast("string").alias("artist"),
-        (duration if duration is not None else null).cast("long").alias("duration_ms"), F.array(F.lit(source)).alias("sources"), ids.cast(IDS).alias("ids"), (children if children is not None else F.array()).cast(IDS).alias("child_ids"), null.cast("double").alias("confidence"),
+        (duration if duration is not None else null).cast("long").alias("duration_ms"), F.array(F.lit(source)).alias("sources"), ids.cast(IDS).alias("ids"), (children if children is not None else F.array()).cast(IDS).alias("child_ids"), null.cast("double").alias("confidence"), known.alias("facts"),
     )
 
 
-def _rel(kind: str, rel_id: Column, place: Column, src: Column, dst: Column, role: Column | None = None, order: Column | None = None, disc: Column | None = None, number: Column | None = None) -> Column:
+def _rel(kind: str, rel_id: Column, place: Column, src: Column, dst: Column, role: Column | None = None, order: Column | None = None, disc: Column | None = None, number: Column | None = None, **payload: Column) -> Column:
     null = F.lit(None)
     cast = lambda c, t: (c if c is not None else null).cast(t)
     return F.struct(
         rel_id.alias("rel_id"), place.alias("rel_ord"), F.lit(kind).alias("kind"), src.alias("src_claim_id"), dst.alias("dst_claim_id"), cast(role, "string").alias("role"),
         cast(order, "int").alias("credit_order"), cast(disc, "int").alias("disc_number"), cast(number, "int").alias("track_number"),
+        *[cast(payload.get(c), PAYLOAD_TYPES[c]).alias(c) for c in ("credited_as", "join_phrase", "title_override", "duration_ms")],
     )
 
 
@@ -87,24 +91,29 @@ def release_claims(graph: dict[str, DataFrame], source: str = "musicbrainz") ->
     """(claims, rels) of metadata releases (translate.release_graph); the roots are releases."""
     place = lambda key, n: F.struct(F.struct(key.alias("a"), F.lit("").alias("b")).alias("ord"), n.alias("place"))
     key, credit = F.col("release_mbid"), graph["credit"]
+    of = lambda *names: {c: F.col(c) for c in names}
     lead = credit.where("role = 'primary'").groupBy("owner_type", "owner").agg(F.min_by("artist_name", "credit_order").alias("lead"))
     set_lead = lead.where("owner_type = 'release_set'").select(F.col("owner").alias("release_mbid"), "lead")
     rec_lead = lead.where("owner_type = 'recording'").select(F.col("owner").alias("recording_mbid"), "lead")
     rel = graph["release"].join(set_lead, F.col("mbid") == F.col("release_mbid"), "left")
-    releases = rel.select(_claim("release", F.concat(F.lit("release|"), "mbid"), place(F.col("mbid"), F.lit(0)), F.col("title"), F.col("lead"), F.concat(external_ids(("musicbrainz:release", F.col("mbid"))), F.array_compact(F.array(F.when(F.col("barcode_namespace").isNotNull(), F.struct(F.col("barcode_namespace").alias("namespace"), F.col("barcode").alias("value"))))).cast(IDS)), source, F.lit(True)).alias("c"))
-    sets = graph["release_set"].join(set_lead, "release_mbid", "left").select(_claim("release_set", F.concat(F.lit("release_set|"), key), place(key, F.lit(1)), F.col("title"), F.col("lead"), external_ids(("musicbrainz:release-group", F.col("mbid"))), source, F.lit(False), children=external_ids(("musicbrainz:release", key))).alias("c"))
+    releases = rel.select(_claim("release", F.concat(F.lit("release|"), "mbid"), place(F.col("mbid"), F.lit(0)), F.col("title"), F.col("lead"), F.concat(external_ids(("musicbrainz:release", F.col("mbid"))), F.array_compact(F.array(F.when(F.col("barcode_namespace").isNotNull(), F.struct(F.col("barcode_namespace").alias("namespace"), F.col("barcode").alias("value"))))).cast(IDS)), source, F.lit(True), **of("release_date", "country", "status", "packaging", "medium_count"), format=F.get("formats", F.lit(0))).alias("c"))
+    sets = graph["release_set"].join(set_lead, "release_mbid", "left").select(_claim("release_set", F.concat(F.lit("release_set|"), key), place(key, F.lit(1)), F.col("title"), F.col("lead"), external_ids(("musicbrainz:release-group", F.col("mbid"))), source, F.lit(False), children=external_ids(("musicbrainz:release", key)), **of("primary_type", "secondary_types", "first_release", "aliases")).alias("c"))
     track = graph["track"].dropDuplicates(["release_mbid", "recording_mbid"]).join(rec_lead, "recording_mbid", "left")
     recordings = track.select(_claim("recording", F.concat_ws("|", F.lit("recording"), key, "recording_mbid"), place(key, F.lit(2)), F.col("recording_title"), F.col("lead"), external_ids(("musicbrainz:recording", F.col("recording_mbid"))), source, F.lit(False), F.col("duration_ms")).alias("c"))
     labels = graph["label"].select(_claim("label", F.concat_ws("|", F.lit("label"), key, F.col("pos").cast("string")), place(key, F.lit(3)), F.col("name"), F.lit(None), external_ids(("musicbrainz:label", F.col("mbid"))), source, F.lit(False)).alias("c"))
-    artists = credit.dropDuplicates(["artist_mbid"]).select(_claim("artist", F.concat(F.lit("artist|"), "artist_mbid"), place(F.col("artist_mbid"), F.lit(4)), F.col("artist_name"), F.lit(None), external_ids(("musicbrainz:artist", F.col("artist_mbid"))), source, F.lit(False)).alias("c"))
+    artists = M.first_of(credit.select("artist_mbid", "artist_name"), ["artist_mbid"], ["artist_name"])
+    told = ["sort_name", "country", "kind", "life_span", "areas", "aliases"]
+    known = graph["artist"].select(F.col("mbid").alias("artist_mbid"), *told) if "artist" in graph else None
+    artists = artists.join(known, "artist_mbid", "left") if known is not None else artists
+    artists = artists.select(_claim("artist", F.concat(F.lit("artist|"), "artist_mbid"), place(F.col("artist_mbid"), F.lit(4)), F.col("artist_name"), F.lit(None), external_ids(("musicbrainz:artist", F.col("artist_mbid"))), source, F.lit(False), **(of(*told) if known is not None else {})).alias("c"))
     claims = releases.unionByName(sets).unionByName(recordings).unionByName(labels).unionByName(artists).select("c.*")
     rid = lambda *c: F.concat_ws("|", *c)
     links = graph["release_set"].select(_rel("release_set_release", rid(F.lit("release_set_release"), key), place(key, F.lit(0)), rid(F.lit("release_set"), key), rid(F.lit("release"), key)).alias("r"))
-    tracks = graph["track"].select(_rel("release_track", rid(F.lit("release_track"), key, F.col("disc_number").cast("string"), F.col("track_number").cast("string")), place(key, F.lit(1)), rid(F.lit("release"), key), rid(F.lit("recording"), key, "recording_mbid"), disc=F.col("disc_number"), number=F.col("track_number")).alias("r"))
+    tracks = graph["track"].select(_rel("release_track", rid(F.lit("release_track"), key, F.col("disc_number").cast("string"), F.col("track_number").cast("string")), place(key, F.lit(1)), rid(F.lit("release"), key), rid(F.lit("recording"), key, "recording_mbid"), disc=F.col("disc_number"), number=F.col("track_number"), **of("title_override", "duration_ms")).alias("r"))
     pressed = graph["label"].select(_rel("release_label", rid(F.lit("release_label"), key, F.col("pos").cast("string")), place(key, F.lit(2)), rid(F.lit("release"), key), rid(F.lit("label"), key, F.col("pos").cast("string"))).alias("r"))
-    own = credit.where("owner_type = 'release_set'").select(_rel("release_set_contribution", rid(F.lit("release_set_contribution"), "owner", F.col("credit_order").cast("string")), place(F.col("owner"), F.lit(3)), rid(F.lit("release_set"), "owner"), rid(F.lit("artist"), "artist_mbid"), F.col("role"), F.col("credit_order")).alias("r"))
+    own = credit.where("owner_type = 'release_set'").select(_rel("release_set_contribution", rid(F.lit("release_set_contribution"), "owner", F.col("credit_order").cast("string")), place(F.col("owner"), F.lit(3)), rid(F.lit("release_set"), "owner"), rid(F.lit("artist"), "artist_mbid"), F.col("role"), F.col("credit_order"), **of("credited_as", "join_phrase")).alias("r"))
     sung = credit.where("owner_type = 'recording'").dropDuplicates(["owner", "credit_order"]).join(graph["track"].select(F.col("recording_mbid").alias("owner"), "release_mbid").distinct(), "owner").select(
-        _rel("recording_contribution", rid(F.lit("recording_contribution"), key, "owner", F.col("credit_order").cast("string")), place(key, F.lit(4)), rid(F.lit("recording"), key, "owner"), rid(F.lit("artist"), "artist_mbid"), F.col("role"), F.col("credit_order")).alias("r")
+        _rel("recording_contribution", rid(F.lit("recording_contribution"), key, "owner", F.col("credit_order").cast("string")), place(key, F.lit(4)), rid(F.lit("recording"), key, "owner"), rid(F.lit("artist"), "artist_mbid"), F.col("role"), F.col("credit_order"), **of("credited_as", "join_phrase")).alias("r")
     )
     rels = links.unionByName(tracks).unionByName(pressed).unionByName(own).unionByName(sung).select("r.*")
     return claims, rels
@@ -146,9 +155,20 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     recordings = some["track"].select(F.col("recording_mbid").alias("owner")).distinct()
     by_set = only(graph["credit"].where("owner_type = 'release_set'"), "owner")
     some["credit"] = by_set.unionByName(graph["credit"].where("owner_type = 'recording'").join(recordings, "owner", "left_semi"))
+    if "artist" in graph:
+        some["artist"] = graph["artist"]
+    # The set of an accepted release takes the group's id, unless another set has it.
+    sets = state.edges.where("kind = 'release_set_release'").select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("release_id"))
+    groups = some["release_set"].where("mbid is not null").select(F.col("release_mbid").alias("value"), F.col("mbid").alias("group"))
+    ask = accepted.select("release_id", "value").join(groups, "value").join(sets, "release_id")
+    ask = ask.select("release_id", F.lit("release_set").alias("owner_type"), "owner_id", F.lit("musicbrainz:release-group").alias("namespace"), F.col("group").alias("value"))
+    set_anchors = D.checkpointed(C.anchor(ask, ids, "musicbrainz_release_set_collision"))
+    own = ["owner_type", "owner_id", "namespace"]
+    free = M.first_of(set_anchors.where("accepted").select(*own, "value", "release_id"), own, ["release_id"]).join(ids.select(*own), own, "left_anti")
+    ids = D.checkpointed(ids.unionByName(free.select("namespace", "value", "owner_type", "owner_id", F.lit(provider).alias("provider"))))
     moved = picks.where("requested <> resolved").join(accepted.select("release_id"), "release_id", "left_semi").select(F.lit("musicbrainz:release").alias("namespace"), F.col("requested").alias("source_value"), F.col("resolved").alias("target_value"))
     base = State(state.entities, ids, X.upsert_redirects(state.redirects, moved), state.sidecar, state.edges, state.play_events)
     claims, rels = release_claims(some)
     out = reconcile(D.checkpointed(claims), D.checkpointed(rels), base)
-    review = anchors.where(~F.col("accepted")).select("release_id", "reason").unionByName(wrong.select("release_id", "reason"))
+    review = anchors.where(~F.col("accepted")).unionByName(set_anchors.where(~F.col("accepted"))).select("release_id", "reason").unionByName(wrong.select("release_id", "reason"))
     return Updates(out, accepted, review)

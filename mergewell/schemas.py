@@ -25,9 +25,28 @@ TABLES = {
     "normalization_sidecar": "id string, entity_type string, entity_id string, key string",
 }
 
+#: What is known of an entity beside its name, duration and sources; null where its type has no such fact.
+FACT_TYPES = {
+    "sort_name": "string", "country": "string", "kind": "string", "life_span": f"struct<begin:{_DATE},`end`:{_DATE},ended:boolean>", "areas": _AREAS, "aliases": "array<string>", "formed_year": "int", "disbanded_year": "int",
+    "primary_type": "string", "secondary_types": "array<string>", "first_release": _DATE, "release_date": _DATE, "status": "string", "packaging": "string", "format": "string", "medium_count": "int", "version": "string", "disambiguation": "string",
+}
+FACTS = f"struct<{','.join(f'{k}:{v}' for k, v in FACT_TYPES.items())}>"
+#: What an edge says beside its ends.
+PAYLOAD_TYPES = {"role": "string", "credit_order": "int", "disc_number": "int", "track_number": "int", "credited_as": "string", "join_phrase": "string", "title_override": "string", "duration_ms": "long"}
+PAYLOAD = list(PAYLOAD_TYPES)
+#: Edges without a payload, and the types of the ends of all kinds.
+LINKS = ("release_set_release", "release_label")
+ENDS = {
+    "recording_contribution": ("recording", "artist"), "release_set_contribution": ("release_set", "artist"), "release_track": ("release", "recording"),
+    "release_set_release": ("release_set", "release"), "release_label": ("release", "label"),
+}
+
 #: The engine's working frames: one row an entity of any type, and one an edge of any kind.
 ENTITY = "entity_id string, entity_type string, name string, duration_ms long, sources array<string>"
 EDGE = "edge_id string, kind string, src_id string, dst_id string, role string, credit_order int, disc_number int, track_number int"
+#: The same as they are stored, with all facts and whole payloads.
+FULL_ENTITY = f"{ENTITY}, facts {FACTS}"
+FULL_EDGE = f"{EDGE}, credited_as string, join_phrase string, title_override string, duration_ms long"
 EXTERNAL_ID = "namespace string, value string, owner_type string, owner_id string, provider string"
 REDIRECT = "namespace string, source_value string, target_value string"
 SIDECAR = "entity_type string, key string, entity_id string"
