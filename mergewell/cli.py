@@ -24,6 +24,15 @@ def parser() -> argparse.ArgumentParser:
     scrobbles.add_argument("--start", help="exclusive lower bound, ISO time")
     scrobbles.add_argument("--end", help="inclusive upper bound, ISO time")
     scrobbles.add_argument("--lookback-hours", type=float)
+    library = reconcile.add_parser("spotify")
+    library.add_argument("--user-id", required=True)
+    for branch in ("tracks", "albums", "artists"):
+        library.add_argument(f"--{branch}", help=f"landed pages of saved {branch}, JSON lines")
+        library.add_argument(f"--max-{branch}", type=int)
+    releases = reconcile.add_parser("musicbrainz-releases")
+    releases.add_argument("--releases", required=True, help="landed release payloads, JSON lines")
+    releases.add_argument("--picks", required=True, help="JSON lines of release_id, requested and resolved id")
+    releases.add_argument("--limit", type=int)
     user = commands.add_parser("user").add_subparsers(dest="action", required=True).add_parser("create")
     user.add_argument("--display-name", required=True)
     user.add_argument("--email")
@@ -60,10 +69,48 @@ def reconcile_scrobbles(spark, args: argparse.Namespace) -> list[dict]:
     return [r.asDict() for r in out.counters.collect()]
 
 
+def reconcile_library(spark, args: argparse.Namespace) -> list[dict]:
+    """Saved tracks, albums and artists of a user; fetched, stored and skipped items."""
+    from dataclasses import replace
+
+    from mergewell.operators.persist import Store
+    from mergewell.plans.engine import State
+    from mergewell.plans.workflows import ingest_library
+    from mergewell.sources import payloads
+
+    kinds = {"tracks": payloads.SAVED_TRACKS, "albums": payloads.SAVED_ALBUMS, "artists": payloads.FOLLOWED_ARTISTS}
+    pages = [payloads.read(spark, path, kind) if (path := getattr(args, name)) else spark.createDataFrame([], kind) for name, kind in kinds.items()]
+    store = Store(spark, args.store)
+    state = State.load(store)
+    rows = payloads.library(*pages, tuple(getattr(args, f"max_{name}") for name in kinds))
+    out, new, counts = ingest_library(rows, args.user_id, state, state.library_items)
+    items = state.library_items.unionByName(new.select(*state.library_items.columns))
+    replace(out.state, library_items=items).save(store)
+    return [r.asDict() for r in counts.collect()]
+
+
+def reconcile_releases(spark, args: argparse.Namespace) -> list[dict]:
+    """Stored releases updated from landed metadata; the counters and what went to review."""
+    from mergewell.operators.persist import Store
+    from mergewell.plans.engine import State
+    from mergewell.plans.workflows import update_releases
+    from mergewell.sources import payloads
+    from mergewell.sources.translate import release_graph
+
+    store = Store(spark, args.store)
+    picks = payloads.read(spark, args.picks, "release_id string, requested string, resolved string")
+    done = update_releases(State.load(store), picks, release_graph(payloads.read(spark, args.releases, payloads.METADATA_RELEASE)), limit=args.limit)
+    done.outcome.state.save(store)
+    return [r.asDict() for df in (done.outcome.counters, done.review) for r in df.collect()]
+
+
+RECONCILE = {"lastfm": reconcile_scrobbles, "spotify": reconcile_library, "musicbrainz-releases": reconcile_releases}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        if args.command == "reconcile":
+        if args.command == "reconcile" and args.source == "lastfm":
             window(args)
     except ValueError as e:
         print(e, file=sys.stderr)
@@ -73,16 +120,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("mergewell").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.command == "reconcile":
-            for row in reconcile_scrobbles(spark, args):
+            for row in RECONCILE[args.source](spark, args):
                 print(row)
         else:
+            from dataclasses import replace
+
             from mergewell.operators.persist import Store
-            from mergewell.schemas import TABLES
+            from mergewell.plans.engine import State
 
-            users = Store(spark, f"{args.store}-users")
+            store = Store(spark, args.store)
+            state = State.load(store)
             row = (str(uuid.uuid4()), args.display_name, args.email, args.spotify_user_id, args.lastfm_user)
-            every = users.read("user_account", TABLES["user_account"]).unionByName(spark.createDataFrame([row], TABLES["user_account"]))
-            users.commit({"user_account": every})
+            replace(state, users=state.users.unionByName(spark.createDataFrame([row], state.users.schema))).save(store)
             print(row[0])
     except Exception as e:  # the exit status is the report
         print(f"failed: {e}", file=sys.stderr)

@@ -138,6 +138,17 @@ def utc(value: dt.datetime) -> dt.datetime:
     return value.replace(tzinfo=dt.UTC) if value.tzinfo is None else value.astimezone(dt.UTC)
 
 
+def iso_time(text: Column) -> Column:
+    """Timestamp of an ISO 8601 text, with an offset or `Z`; without one it is UTC whatever the
+    time zone of the session. Null for what doesn't parse."""
+    return F.when(F.btrim(text).rlike(r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$"), F.btrim(text)).otherwise(F.concat(F.btrim(text), F.lit("Z"))).try_cast("timestamp")
+
+
+def epoch_seconds(time: Column) -> Column:
+    """Whole seconds since 1970 in UTC, cut down."""
+    return F.unix_seconds(time)
+
+
 def parse_iso(text: str) -> dt.datetime:
     return utc(dt.datetime.fromisoformat(text.replace("Z", "+00:00")))
 

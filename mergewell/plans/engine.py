@@ -7,7 +7,7 @@ activity are committed together; an event whose claims went to review is reporte
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +35,12 @@ class State:
     sidecar: DataFrame
     edges: DataFrame
     play_events: DataFrame
+    library_items: DataFrame | None = None
+    users: DataFrame | None = None
 
     @classmethod
     def schema(cls) -> dict[str, str]:
-        return dict(zip([f.name for f in fields(cls)], [schemas.FULL_ENTITY, schemas.EXTERNAL_ID, schemas.REDIRECT, schemas.SIDECAR, schemas.FULL_EDGE, schemas.PLAY_EVENT], strict=True))
+        return dict(zip([f.name for f in fields(cls)], [schemas.FULL_ENTITY, schemas.EXTERNAL_ID, schemas.REDIRECT, schemas.SIDECAR, schemas.FULL_EDGE, schemas.PLAY_EVENT, schemas.LIBRARY_ITEM, schemas.TABLES["user_account"]], strict=True))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> State:
@@ -61,7 +63,14 @@ class State:
             "an external id has one owner": twice(self.external_ids, "namespace", "value", "owner_type"),
             "every play event has its recording": lost(self.play_events, "recording_id"),
         }
-        return store.commit({f.name: getattr(self, f.name) for f in fields(self)}, rules)
+        if self.library_items is not None:
+            rules["an item is stored once"] = twice(self.library_items, "user_id", "target_type", "target_id")
+            rules["every library item has its target"] = lost(self.library_items, "target_id")
+        if self.users is not None:
+            rules["a user is stored once"] = twice(self.users, "id")
+        # A table that this state does not hold is carried over as it is stored.
+        held = {n: store.read(n, s) if getattr(self, n) is None else getattr(self, n) for n, s in self.schema().items()}
+        return store.commit(held, rules)
 
 
 @dataclass
@@ -161,7 +170,7 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     merged = M.first_of(acted.where("strategy = 'merge'").select(F.col("target_id").alias("edge_id"), "rel_ord", *schemas.PAYLOAD), ["edge_id"], ["rel_ord"])
     edges = M.overwrite_payload(edges, merged, schemas.PAYLOAD)
     add_edges = X.insert_or_ignore(edges, add_edges, ["kind", "src_id", "dst_id"], ["edge_id"])
-    state = State(old.unionByName(new_entities), state.external_ids.unionByName(add_ids), state.redirects, state.sidecar.unionByName(add_keys), edges.unionByName(add_edges), state.play_events)
+    state = replace(state, entities=old.unionByName(new_entities), external_ids=state.external_ids.unionByName(add_ids), sidecar=state.sidecar.unionByName(add_keys), edges=edges.unionByName(add_edges))
     of = lambda df, subject: df.select(F.lit(subject).alias("subject"), "strategy", "reason")
     every = of(decided, "entity").unionByName(of(acted, "association")).unionByName(of(linked, "link"))
     counts = M.counters(every)

@@ -50,4 +50,5 @@ FULL_EDGE = f"{EDGE}, credited_as string, join_phrase string, title_override str
 EXTERNAL_ID = "namespace string, value string, owner_type string, owner_id string, provider string"
 REDIRECT = "namespace string, source_value string, target_value string"
 SIDECAR = "entity_type string, key string, entity_id string"
+LIBRARY_ITEM = "user_id string, target_type string, target_id string, source string"
 PLAY_EVENT = "user_id string, source string, played_at timestamp, recording_id string, track_id string"

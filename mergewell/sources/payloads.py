@@ -64,6 +64,12 @@ def library(tracks: DataFrame, albums: DataFrame, artists: DataFrame, limits: tu
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def cacheable(pages: DataFrame) -> DataFrame:
+    """Scrobble pages that may be kept: whole ones in which nothing plays now."""
+    playing = F.exists(F.coalesce(F.col("recenttracks.track"), F.array()), lambda t: F.coalesce(t["@attr"]["nowplaying"] == "true", F.lit(False)))
+    return pages.where(F.col("error").isNull() & F.col("recenttracks").isNotNull() & ~playing)
+
+
 def unmodelled_keys(raw: Column, known: list[str]) -> Column:
     """Top-level keys of a payload that the schema leaves out."""
     return F.array_except(F.json_object_keys(raw), F.array(*[F.lit(k) for k in known]))

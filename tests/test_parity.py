@@ -101,3 +101,45 @@ def test_skip_reasons(spark):
     rows = [("entity", "noop", "x"), ("entity", "noop", "x"), ("link", "create", "y"), ("entity", "manual_review", "z")]
     got = {tuple(r) for r in P.skip_reasons(spark.createDataFrame(rows, "subject string, strategy string, reason string")).collect()}
     assert got == {("entity", "noop", "x", 2), ("entity", "manual_review", "z", 1)}
+
+
+def test_cli_library_and_releases(spark, tmp_path, capsys):
+    import json
+
+    from mergewell import cli
+    from mergewell.operators import users as U
+
+    artists = {"artists": {"items": [{"id": "a1", "name": "A"}, {"id": "a1", "name": "A"}, {"id": "a2", "name": "B"}]}}
+    (tmp_path / "a.jsonl").write_text(json.dumps(artists) + "\n")
+    at = ["--store", str(tmp_path / "store")]
+    args = [*at, "reconcile", "spotify", "--user-id", "u", "--artists", str(tmp_path / "a.jsonl")]
+    assert cli.reconcile_library(spark, cli.parser().parse_args(args)) == [{"fetched": 3, "stored": 2, "skipped": 1}]
+    store = X.Store(spark, str(tmp_path / "store"))
+    state = State.load(store)
+    assert state.library_items.count() == 2
+    album = State.load(store)
+    album.entities = album.entities.unionByName(conform(spark.createDataFrame([("r1", "release", "Album", None, ["spotify"])], schemas.ENTITY), schemas.FULL_ENTITY))
+    album.library_items = None  # carried over
+    album.users = spark.createDataFrame([("7", "Ann", None, None, None)], schemas.TABLES["user_account"])
+    album.save(store)
+    (tmp_path / "r.jsonl").write_text(json.dumps({"id": "m1", "title": "Album", "country": "DE", "artist-credit": [], "media": [], "label-info": [], "release-group": {"id": "g1", "title": "Album"}}) + "\n")
+    (tmp_path / "p.jsonl").write_text(json.dumps({"release_id": "r1", "requested": "m1", "resolved": "m1"}) + "\n")
+    args = [*at, "reconcile", "musicbrainz-releases", "--releases", str(tmp_path / "r.jsonl"), "--picks", str(tmp_path / "p.jsonl")]
+    cli.reconcile_releases(spark, cli.parser().parse_args(args))
+    state = State.load(store)
+    release = state.entities.where("entity_id = 'r1'").first()
+    assert (release.facts.country, release.sources, state.library_items.count()) == ("DE", ["musicbrainz", "spotify"], 2)
+    assert U.load_user(state.users, "7")["display_name"] == "Ann"
+    with pytest.raises(LookupError):
+        U.load_user(state.users, "8")
+
+
+def test_cacheable_pages(spark, tmp_path):
+    import json
+
+    from mergewell.sources import payloads
+
+    track = {"name": "t", "artist": {"#text": "A"}, "album": {"#text": ""}, "date": {"uts": "1"}}
+    page = lambda *t: json.dumps({"recenttracks": {"track": list(t), "@attr": {"user": "u", "page": "1", "totalPages": "1"}}})
+    (tmp_path / "p.jsonl").write_text("\n".join([page(track), page({**track, "@attr": {"nowplaying": "true"}}, track), page(), json.dumps({"error": 8, "message": "x"})]) + "\n")
+    assert payloads.cacheable(payloads.read(spark, str(tmp_path / "p.jsonl"), payloads.SCROBBLE_PAGE)).count() == 2
