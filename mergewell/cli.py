@@ -71,8 +71,6 @@ def reconcile_scrobbles(spark, args: argparse.Namespace) -> list[dict]:
 
 def reconcile_library(spark, args: argparse.Namespace) -> list[dict]:
     """Saved tracks, albums and artists of a user; fetched, stored and skipped items."""
-    from dataclasses import replace
-
     from mergewell.operators.persist import Store
     from mergewell.plans.engine import State
     from mergewell.plans.workflows import ingest_library
@@ -84,8 +82,7 @@ def reconcile_library(spark, args: argparse.Namespace) -> list[dict]:
     state = State.load(store)
     rows = payloads.library(*pages, tuple(getattr(args, f"max_{name}") for name in kinds))
     out, new, counts = ingest_library(rows, args.user_id, state, state.library_items)
-    items = state.library_items.unionByName(new.select(*state.library_items.columns))
-    replace(out.state, library_items=items).save(store)
+    out.state.add("library_items", new).save(store)
     return [r.asDict() for r in counts.collect()]
 
 
@@ -123,15 +120,13 @@ def main(argv: list[str] | None = None) -> int:
             for row in RECONCILE[args.source](spark, args):
                 print(row)
         else:
-            from dataclasses import replace
-
             from mergewell.operators.persist import Store
             from mergewell.plans.engine import State
 
             store = Store(spark, args.store)
             state = State.load(store)
             row = (str(uuid.uuid4()), args.display_name, args.email, args.spotify_user_id, args.lastfm_user)
-            replace(state, users=state.users.unionByName(spark.createDataFrame([row], state.users.schema))).save(store)
+            state.add("users", spark.createDataFrame([row], state.users.schema)).save(store)
             print(row[0])
     except Exception as e:  # the exit status is the report
         print(f"failed: {e}", file=sys.stderr)

@@ -7,7 +7,7 @@ activity are committed together; an event whose claims went to review is reporte
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ from mergewell.operators import resolve as R
 
 @dataclass
 class State:
-    """What is stored."""
+    """What is stored. `loaded` is what it was read as, `changes` are tables that grew out of those
+    by additions and puts; `save` writes these alone. A table set in any other way is written anew."""
 
     entities: DataFrame
     external_ids: DataFrame
@@ -37,10 +38,21 @@ class State:
     play_events: DataFrame
     library_items: DataFrame | None = None
     users: DataFrame | None = None
+    loaded: Loaded | None = None
+    changes: dict[str, Grown] = field(default_factory=dict)
 
     @classmethod
     def schema(cls) -> dict[str, str]:
-        return dict(zip([f.name for f in fields(cls)], [schemas.FULL_ENTITY, schemas.EXTERNAL_ID, schemas.REDIRECT, schemas.SIDECAR, schemas.FULL_EDGE, schemas.PLAY_EVENT, schemas.LIBRARY_ITEM, schemas.TABLES["user_account"]], strict=True))
+        return {
+            "entities": schemas.FULL_ENTITY,
+            "external_ids": schemas.EXTERNAL_ID,
+            "redirects": schemas.REDIRECT,
+            "sidecar": schemas.SIDECAR,
+            "edges": schemas.FULL_EDGE,
+            "play_events": schemas.PLAY_EVENT,
+            "library_items": schemas.LIBRARY_ITEM,
+            "users": schemas.TABLES["user_account"],
+        }
 
     @classmethod
     def empty(cls, spark: SparkSession) -> State:
@@ -48,29 +60,94 @@ class State:
 
     @classmethod
     def load(cls, store: X.Store) -> State:
-        return cls(**{n: store.read(n, s) for n, s in cls.schema().items()})
+        """All tables of one commit, whatever is committed meanwhile."""
+        at = store.last()
+        tables = {n: store.read(n, s, at) for n, s in cls.schema().items()}
+        return cls(**tables, loaded=Loaded(store.path, at.number, tables))
+
+    def grown(self, table: str, full: DataFrame, added: DataFrame | None = None, put: DataFrame | None = None, by: tuple[str, ...] = ()) -> State:
+        """This state with `full` as a table, which is what it was with rows added and put."""
+        now, last = getattr(self, table), self.changes.get(table)
+        changes = {n: c for n, c in self.changes.items() if n != table}
+        if last is None or last.full is not now:
+            changes[table] = Grown(now, full, X.Change(added, put, by))
+        elif put is None and last.change.put is None and added is not None and last.change.added is not None:
+            changes[table] = Grown(last.of, full, X.Change(last.change.added.unionByName(added)))
+        return replace(self, **{table: full}, changes=changes)
+
+    def add(self, table: str, rows: DataFrame) -> State:
+        """This state with rows added to a table under keys that it does not have."""
+        now = getattr(self, table)
+        rows = rows.select(*now.columns)
+        return self.grown(table, now.unionByName(rows), rows)
+
+    def _change(self, table: str, loaded: dict[str, DataFrame]) -> DataFrame | X.Change:
+        now, grew = getattr(self, table), self.changes.get(table)
+        if now is None or now is loaded.get(table):
+            return X.Change()
+        if grew is not None and grew.full is now and grew.of is loaded.get(table):
+            c = grew.change
+            return X.Change(typed(c.added, self.schema()[table]), typed(c.put, self.schema()[table]), c.by)
+        return typed(now, self.schema()[table])
 
     def save(self, store: X.Store) -> str:
-        ids = self.entities.select("entity_id")
-        lost = lambda df, c: df.where(F.col(c).isNotNull()).join(ids, df[c] == ids["entity_id"], "left_anti")
-        twice = lambda df, *by: df.groupBy(*by).count().where("count > 1")
-        rules = {
-            "every edge has its ends": lost(self.edges, "src_id").unionByName(lost(self.edges, "dst_id")),
-            "edges have ends and a kind": self.edges.where("src_id is null or dst_id is null or kind is null"),
-            "an entity is stored once": twice(self.entities, "entity_id"),
-            "entities have a type": self.entities.where("entity_id is null or entity_type is null"),
-            "a key has one owner": twice(self.sidecar, "entity_type", "key"),
-            "an external id has one owner": twice(self.external_ids, "namespace", "value", "owner_type"),
-            "every play event has its recording": lost(self.play_events, "recording_id"),
+        """Commits what changed since the state was loaded; afterwards the state counts as loaded."""
+        same = self.loaded is not None and self.loaded.path == store.path
+        loaded = self.loaded.tables if same else {}
+        parts = {n: self._change(n, loaded) for n in self.schema()}
+        version = store.commit(parts, self._rules, self.loaded.number if same else None)
+        self.loaded = Loaded(store.path, store.last().number, {n: getattr(self, n) for n in parts})
+        self.changes = {}
+        return version
+
+    def _rules(self, wrote: X.Written) -> dict[str, DataFrame]:
+        """Constraints, on new rows where the tables they refer to can only have grown."""
+        s = self.schema()
+        ids = wrote.rows("entities", s["entities"]).select(F.col("entity_id").alias("_id"))
+        shrunk = wrote.whole("entities")
+
+        def fresh(table: str) -> DataFrame:
+            return (wrote.rows if shrunk else wrote.new)(table, s[table])
+
+        def lost(df: DataFrame, end: str) -> DataFrame:
+            return df.where(F.col(end).isNotNull()).join(ids, F.col(end) == F.col("_id"), "left_anti")
+
+        def twice(table: str, *by: str) -> DataFrame:
+            new = wrote.new(table, s[table]).select(*by)
+            old = new.join(wrote.old(table, s[table]).select(*by), list(by), "left_semi")
+            return new.groupBy(*by).count().where("count > 1").select(*by).unionByName(old)
+
+        edges = fresh("edges")
+        return {
+            "every edge has its ends": lost(edges, "src_id").unionByName(lost(edges, "dst_id")),
+            "edges have ends and a kind": edges.where("src_id is null or dst_id is null or kind is null"),
+            "an entity is stored once": twice("entities", "entity_id"),
+            "entities have a type": wrote.new("entities", s["entities"]).where("entity_id is null or entity_type is null"),
+            "a key has one owner": twice("sidecar", "entity_type", "key"),
+            "an external id has one owner": twice("external_ids", "namespace", "value", "owner_type"),
+            "every play event has its recording": lost(fresh("play_events"), "recording_id"),
+            "an item is stored once": twice("library_items", "user_id", "target_type", "target_id"),
+            "every library item has its target": lost(fresh("library_items"), "target_id"),
+            "a user is stored once": twice("users", "id"),
         }
-        if self.library_items is not None:
-            rules["an item is stored once"] = twice(self.library_items, "user_id", "target_type", "target_id")
-            rules["every library item has its target"] = lost(self.library_items, "target_id")
-        if self.users is not None:
-            rules["a user is stored once"] = twice(self.users, "id")
-        # A table that this state does not hold is carried over as it is stored.
-        held = {n: store.read(n, s) if getattr(self, n) is None else getattr(self, n) for n, s in self.schema().items()}
-        return store.commit(held, rules)
+
+
+@dataclass
+class Loaded:
+    """The store, the commit and the frames that a state was read as."""
+
+    path: str
+    number: int
+    tables: dict[str, DataFrame]
+
+
+@dataclass
+class Grown:
+    """A table that was `of` and is `full` by a change."""
+
+    of: DataFrame
+    full: DataFrame
+    change: X.Change
 
 
 @dataclass
@@ -106,6 +183,11 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl) if f.name not in df.columns])
 
 
+def typed(df: DataFrame | None, ddl: str) -> DataFrame | None:
+    """`df` with the columns and types of a schema."""
+    return None if df is None else conform(df, ddl).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(ddl)])
+
+
 def _edge_key() -> Column:
     """Identity of a relationship with its payload; tracks and credits have different ones."""
     col = F.col
@@ -157,7 +239,10 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     given = merging.select(F.col("target_id").alias("_k"), *[F.col(c).alias(f"_{c}") for c in facts])
     both = lambda rule, c: rule(F.col(c), F.col(f"_{c}")).alias(c)
     absorbed = F.when(F.col("_facts").isNull(), F.col("facts")).otherwise(M.absorb_facts(F.col("facts"), F.col("_facts"))).alias("facts")
-    old = stored.join(given, F.col("entity_id") == F.col("_k"), "left").select("entity_id", "entity_type", both(M.prefer_text, "name"), both(M.prefer_value, "duration_ms"), both(M.union_sources, "sources"), absorbed)
+    merged_row = ["entity_id", "entity_type", both(M.prefer_text, "name"), both(M.prefer_value, "duration_ms"), both(M.union_sources, "sources"), absorbed]
+    old = stored.join(given, F.col("entity_id") == F.col("_k"), "left").select(*merged_row)
+    was_row = F.struct(*facts).alias("_was")
+    put_entities = stored.join(given, F.col("entity_id") == F.col("_k")).select(*merged_row, was_row).where(~F.col("_was").eqNullSafe(F.struct(*facts))).drop("_was")
     owners = materialized.select("claim_id", F.col("entity_id").alias("owner_id"))
     ids = claim_ids.join(owners, "claim_id").select("namespace", "value", F.col("entity_type").alias("owner_type"), "owner_id").withColumn("provider", provider_for(F.col("namespace")))
     by = ["namespace", "value", "owner_type"]
@@ -168,9 +253,13 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     put = acted.where("strategy = 'create' or (strategy = 'noop' and target_id = rel_id)").unionByName(linked.where("strategy = 'create'"))
     add_edges = put.select(F.col("rel_id").alias("edge_id"), "kind", "src_id", "dst_id", *schemas.PAYLOAD)
     merged = M.first_of(acted.where("strategy = 'merge'").select(F.col("target_id").alias("edge_id"), "rel_ord", *schemas.PAYLOAD), ["edge_id"], ["rel_ord"])
+    held = edges.select("edge_id", *[c for c in edges.columns if c not in ("edge_id", *schemas.PAYLOAD)])
+    put_edges = held.join(merged.drop("rel_ord"), "edge_id").select(*edges.columns)
     edges = M.overwrite_payload(edges, merged, schemas.PAYLOAD)
     add_edges = X.insert_or_ignore(edges, add_edges, ["kind", "src_id", "dst_id"], ["edge_id"])
-    state = replace(state, entities=old.unionByName(new_entities), external_ids=state.external_ids.unionByName(add_ids), sidecar=state.sidecar.unionByName(add_keys), edges=edges.unionByName(add_edges))
+    state = state.grown("entities", old.unionByName(new_entities), new_entities, put_entities, ("entity_id",))
+    state = state.grown("edges", edges.unionByName(add_edges), add_edges, put_edges, ("edge_id",))
+    state = state.add("external_ids", add_ids).add("sidecar", add_keys)
     of = lambda df, subject: df.select(F.lit(subject).alias("subject"), "strategy", "reason")
     every = of(decided, "entity").unionByName(of(acted, "association")).unionByName(of(linked, "link"))
     counts = M.counters(every)
@@ -191,5 +280,5 @@ def ingest_play_events(claims: DataFrame, rels: DataFrame, events: DataFrame, st
     tracks = out.state.edges.where("kind = 'release_track'").select(F.col("edge_id").alias("claim_id"), F.col("edge_id").alias("entity_id"))
     bound = Inc.rebind(fresh, out.materialized.unionByName(tracks))
     stored = bound.select("user_id", "source", F.col("played_at").cast("timestamp").alias("played_at"), "recording_id", "track_id")
-    out.state.play_events = state.play_events.unionByName(stored)
+    out.state = out.state.add("play_events", stored)
     return out

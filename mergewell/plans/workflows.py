@@ -167,7 +167,7 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     free = M.first_of(set_anchors.where("accepted").select(*own, "value", "release_id"), own, ["release_id"]).join(ids.select(*own), own, "left_anti")
     ids = D.checkpointed(ids.unionByName(free.select("namespace", "value", "owner_type", "owner_id", F.lit(provider).alias("provider"))))
     moved = picks.where("requested <> resolved").join(accepted.select("release_id"), "release_id", "left_semi").select(F.lit("musicbrainz:release").alias("namespace"), F.col("requested").alias("source_value"), F.col("resolved").alias("target_value"))
-    base = replace(state, external_ids=ids, redirects=X.upsert_redirects(state.redirects, moved))
+    base = replace(state, external_ids=ids).grown("redirects", X.upsert_redirects(state.redirects, moved), put=moved, by=("namespace", "source_value"))
     claims, rels = release_claims(some)
     out = reconcile(D.checkpointed(claims), D.checkpointed(rels), base)
     review = anchors.where(~F.col("accepted")).unionByName(set_anchors.where(~F.col("accepted"))).select("release_id", "reason").unionByName(wrong.select("release_id", "reason"))
