@@ -152,11 +152,14 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     mbids = accepted.select("value")
     only = lambda df, c: df.join(mbids, F.col(c) == F.col("value"), "left_semi")
     some = {"release": only(graph["release"], "mbid"), "release_set": only(graph["release_set"], "release_mbid"), "label": only(graph["label"], "release_mbid"), "track": only(graph["track"], "release_mbid")}
+    # Parsed payloads feed many claims; they are written once instead of being parsed for each.
+    some = {name: D.checkpointed(df) for name, df in some.items()}
     recordings = some["track"].select(F.col("recording_mbid").alias("owner")).distinct()
     by_set = only(graph["credit"].where("owner_type = 'release_set'"), "owner")
     some["credit"] = by_set.unionByName(graph["credit"].where("owner_type = 'recording'").join(recordings, "owner", "left_semi"))
+    some["credit"] = D.checkpointed(some["credit"])
     if "artist" in graph:
-        some["artist"] = graph["artist"]
+        some["artist"] = D.checkpointed(graph["artist"].join(some["credit"].select(F.col("artist_mbid").alias("mbid")).distinct(), "mbid", "left_semi"))
     # The set of an accepted release takes the group's id, unless another set has it.
     sets = state.edges.where("kind = 'release_set_release'").select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("release_id"))
     groups = some["release_set"].where("mbid is not null").select(F.col("release_mbid").alias("value"), F.col("mbid").alias("group"))
