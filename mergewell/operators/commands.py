@@ -74,7 +74,8 @@ def retarget_items(items: DataFrame, moves: DataFrame) -> DataFrame:
     """Library items moved to other targets; a user who has both keeps one."""
     to = moves.select(F.col("from_id").alias("_f"), F.col("to_id").alias("_t"))
     met = items.join(to, F.col("target_id") == F.col("_f"), "left").withColumn("target_id", F.coalesce("_t", "target_id")).drop("_f", "_t")
-    return met.dropDuplicates(["user_id", "target_type", "target_id"])
+    by = ["user_id", "target_type", "target_id"]
+    return first_of(met, by, sorted(c for c in met.columns if c not in by))
 
 
 def rebind_plays(events: DataFrame, moves: DataFrame) -> DataFrame:
