@@ -288,3 +288,36 @@ def release_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("recording_id"), mbid, F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
     listed = table(spark, d, "lineitem").select(F.lpad(F.col("l_partkey").cast("string"), 10, "0").alias("mbid"), F.col("l_orderkey").alias("release_mbid"), F.col("l_linenumber").alias("pos"))
     return lookup.release_candidates(rows, rows.where("recording_id % 3 > 0").drop("recording_id"), listed).select("recording_id", "release_mbid")
+
+
+def _listed(spark: SparkSession, d: str, paging: str, limit: int, **more: object) -> DataFrame:
+    """Customers, whose keys count from 0, as a provider lists them from 1 through the paged source."""
+    paged.register(spark)
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    reader = spark.read.format("paged").option("paging", paging).option("fetch", f"mergewell.sources.sample:{more.pop('fetch', paging)}")
+    pages = reader.options(n=customers.count(), limit=limit, **more).load()
+    keys = pages.select("page", F.explode(F.from_json("body", "items array<long>")["items"]).alias("k"))
+    return keys.select("page", (F.col("k") - 1).alias("c_custkey")).join(customers, "c_custkey").select("page", "c_custkey", "c_name")
+
+
+_LISTED = "SELECT CAST(c_custkey // {0} + 1 AS INTEGER) AS page, c_custkey, c_name FROM customer"
+
+
+@query(_LISTED.format(40))
+def paged_by_number(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, "numbered", 40)
+
+
+@query(_LISTED.format(50))
+def paged_by_offset(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, "offset", 50, calls=1000, lanes=4)
+
+
+@query(_LISTED.format(70))
+def paged_until_empty(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, "offset", 70, fetch="untold")
+
+
+@query(_LISTED.format(90))
+def paged_by_cursor(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d, "cursor", 90)

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from mergewell.sources import lookup, payloads
 from mergewell.sources.translate import release_graph
 
@@ -37,3 +39,46 @@ def test_artist_details(spark, tmp_path):
     assert (a.kind, a.sort_name, a.aliases, a.life_span.begin.month, a.life_span.ended) == ("group", "A, the", ["AA"], 2, False)
     assert [(x.name, x.area_type, x.role, x.country_codes) for x in a.areas] == [("Paris", "city", "primary", ["FR"]), ("X", "other", "begin", None)]
     assert [(x.namespace, x.value) for x in a.ids] == [("musicbrainz:artist", "a"), ("artist:ipi", "1"), ("url:free-streaming:s.org", "https://s.org/a")]
+
+
+def pages_of(spark, paging, **options):
+    from mergewell.sources import paged
+
+    paged.register(spark)
+    fetch = options.pop("fetch", paging)
+    df = spark.read.format("paged").options(paging=paging, fetch=f"mergewell.sources.sample:{fetch}", **options).load()
+    return df, [(r.page, json.loads(r.body)["items"]) for r in df.orderBy("page").collect()]
+
+
+@pytest.mark.parametrize("paging, fetch", [("numbered", "numbered"), ("offset", "offset"), ("offset", "untold"), ("cursor", "cursor")])
+def test_pagings_read_the_same_pages(spark, paging, fetch):
+    want = [(1, [1, 2, 3]), (2, [4, 5, 6]), (3, [7])]
+    assert pages_of(spark, paging, fetch=fetch, n=7, limit=3)[1] == want
+    assert pages_of(spark, paging, fetch=fetch, n=7, limit=3, maxpages=2)[1] == want[:2]
+    empty = pages_of(spark, paging, fetch=fetch, n=0, limit=3)[1]
+    assert empty == ([] if fetch == "untold" else [(1, [])])
+
+
+def test_lanes_share_the_limit(spark):
+    from mergewell.sources.paged import _Reader
+
+    at = {"fetch": "mergewell.sources.sample:numbered", "n": "100", "limit": "10"}
+    lanes = lambda **o: [p.value for p in _Reader({**at, **o}).partitions()]
+    assert [len(x) for x, _ in lanes()] == [1] * 10
+    assert lanes(calls="2", seconds="1") == [([1, 3, 5, 7, 9], 2), ([2, 4, 6, 8, 10], 2)]
+    assert [n for _, n in lanes(calls="8", lanes="3")] == [3, 3, 3]
+    with pytest.raises(ValueError):
+        _Reader({**at, "paging": "backwards"})
+
+
+def test_a_provider_may_ask_for_a_wait():
+    from mergewell.sources.paged import ProviderError, retrying
+
+    waits, failures = [], [ProviderError(429, retry_after=7.0), ProviderError(503), ProviderError(429, retry_after=900.0)]
+
+    def call():
+        if failures:
+            raise failures.pop(0)
+        return "ok"
+
+    assert retrying(call, waits.append, lambda: 0.5) == "ok" and waits == [7.0, 1.5, 60.0]
