@@ -52,9 +52,17 @@ def normalize_text(text: Column) -> Column:
     return F.coalesce(F.when(plain, normalize_ascii(text)), _normalize_unicode(F.when(~plain, text)))
 
 
+def fold_case(text: Column) -> Column:
+    """Full case folding in the JVM: upper case expands letters, lower case brings them together.
+    The dotless i, which has the capital of another letter, waits as a noncharacter; taking it back
+    also keeps the optimizer from merging the two. Cherokee becomes small instead of capital."""
+    upper = F.translate(F.upper(F.translate(text, "\u0131", "\ufdd0")), "\ufdd0", "\u0131")
+    return F.translate(F.replace(F.lower(upper), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def normalize_title(text: Column) -> Column:
     """Case folded with single spaces; punctuation stays."""
-    return collapse(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    return collapse(fold_case(text))
 
 
 def title_score(local: Column, candidate: Column) -> Column:
