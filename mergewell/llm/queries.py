@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm import byte_bpe, chat, decontamination, fingerprints, jaccard_join, language_id, pii, sampling, substring_dedup, suffix_dedup, toxicity
+from mergewell.llm import byte_bpe, chat, decontamination, fingerprints, jaccard_join, language_id, lexical_search, merkle, packing, pii, sampling, substring_dedup, suffix_dedup, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PACK_FILE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_FILE), with_ids=False))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(touched, digest(F.replace("text", F.lit("\n"), F.lit(""))))
+    leaves = docs.select("doc_id", "source", digest(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proved = merkle.manifest(leaves, "source", "doc_id").withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -96,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_lexical_search": op13_lexical_search,
 }
 _OP4 = r"""
 WITH rows AS (
@@ -113,4 +135,68 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_chat": _OP4}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+# crc32 bit by bit, as the reflected polynomial 0xEDB88320 has it.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+  lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, _: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"""
+_OP12 = f"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS row_no, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC} % 2 = 0 AND text IS NOT NULL THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS tampered
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM base
+), lower_nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM lower_nodes WHERE n > 1 GROUP BY tree, level, n, idx // 3
+), tops AS (
+  SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM lower_nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper_nodes WHERE n > 1 GROUP BY level, n, idx // 3
+), steps AS (
+  SELECT l.row_no, o.level,
+    coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx < o.idx), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx > o.idx), '') AS after
+  FROM leaves l JOIN lower_nodes o ON o.tree = l.tree AND o.n > 1 AND o.idx = l.idx // (3 ** o.level)::BIGINT
+    JOIN lower_nodes s ON s.tree = o.tree AND s.level = o.level AND s.idx // 3 = o.idx // 3
+  GROUP BY l.row_no, o.level
+  UNION ALL
+  SELECT l.row_no, t.height + o.level,
+    coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx < o.idx), ''), coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx > o.idx), '')
+  FROM leaves l JOIN tops t USING (tree) JOIN upper_nodes o ON o.n > 1 AND o.idx = t.idx // (3 ** o.level)::BIGINT
+    JOIN upper_nodes s ON s.level = o.level AND s.idx // 3 = o.idx // 3
+  GROUP BY l.row_no, t.height, o.level
+), folded AS (
+  SELECT row_no, 0 AS level, tampered AS digest FROM leaves
+  UNION ALL
+  SELECT f.row_no, f.level + 1, sha256(s.before || f.digest || s.after) FROM folded f JOIN steps s ON s.row_no = f.row_no AND s.level = f.level
+), proofs AS (
+  SELECT row_no, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY row_no
+), ends AS (
+  SELECT row_no, arg_max(digest, level) AS folded_root FROM folded GROUP BY row_no
+)
+SELECT l.doc_id, l.leaf, t.subroot, u.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = u.digest AS verified
+FROM leaves l JOIN tops t USING (tree) JOIN ends e USING (row_no) LEFT JOIN proofs p USING (row_no), (SELECT digest FROM upper_nodes WHERE n = 1) u
+"""
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+_OP13 = f"""
+WITH counted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_chat": _OP4, "op12_merkle": _OP12, "op13_lexical_search": _OP13}

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with a HEAVY-th of all rows or more is dealt over SPLIT tasks.
 HEAVY, SPLIT = 1000, 64
+#: Parts whose counts are summed in one task.
+PARTS = 1024
 
 
 def prepare(spark: SparkSession) -> None:
@@ -51,3 +53,18 @@ def meet(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total:
     every = F.sequence(F.lit(0), F.when(F.col(weight) >= max(2, total // HEAVY), SPLIT - 1).otherwise(0))
     right = facts.withColumn("_salt", F.explode(every))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def before(runs: DataFrame, keys: list[str], part: str, n: str) -> DataFrame:
+    """`runs`, one row a key and part, with `_before`: the sum of `n` of the key's earlier parts, and
+    `_total`, that of all. Parts are summed PARTS at a time and then by these blocks, so that a key
+    in all parts is not one group of them."""
+    blocked = runs.withColumn("_block", F.floor(F.col(part) / PARTS))
+    earlier = lambda by, order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocked.groupBy(*keys, "_block").agg(F.sum(n).alias(n))
+    blocks = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b"), earlier(keys, "_block").alias("_base"), F.sum(n).over(Window.partitionBy(*keys)).alias("_total"))
+    own = blocked.withColumn("_own", earlier([*keys, "_block"], part))
+    same = F.col("_block") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(blocks, same).withColumn("_before", F.col("_base") + F.col("_own")).drop("_block", "_b", "_base", "_own", *[f"_{k}" for k in keys])
