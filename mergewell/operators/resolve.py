@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.operators.dedupe import checkpointed
-from mergewell.operators.keys import first_in_window
+from mergewell.operators.merge import first_of
+from mergewell.operators.prune import meeting
 
 
 def redirect_closure(redirects: DataFrame) -> DataFrame:
@@ -32,9 +33,14 @@ def by_external_id(claim_ids: DataFrame, external_ids: DataFrame, closure: DataF
     redirects followed where the id itself has none. claim_ids: claim_id, entity_type, pos,
     namespace, value."""
     owners = external_ids.select("namespace", "value", F.col("owner_type").alias("entity_type"), F.col("owner_id").alias("entity_id"))
-    direct = claim_ids.join(owners, ["namespace", "value", "entity_type"], "left")
+    by = ["namespace", "value", "entity_type"]
+    asked = claim_ids.select(*by)
+    if closure is not None:
+        via = meeting(closure.select("namespace", F.col("source_value").alias("value"), "target_value"), claim_ids, ["namespace", "value"])
+        asked = asked.union(asked.join(via, ["namespace", "value"]).select("namespace", "target_value", "entity_type"))
+    owners = meeting(owners, asked, by)
+    direct = claim_ids.join(owners, by, "left")
     if closure is not None:
-        via = closure.select("namespace", F.col("source_value").alias("value"), "target_value")
         hop = owners.select("namespace", F.col("value").alias("target_value"), "entity_type", F.col("entity_id").alias("_via"))
         direct = direct.join(via, ["namespace", "value"], "left").join(hop, ["namespace", "target_value", "entity_type"], "left").withColumn("entity_id", F.coalesce("entity_id", "_via"))
     hits = direct.where("entity_id is not null")
@@ -43,7 +49,8 @@ def by_external_id(claim_ids: DataFrame, external_ids: DataFrame, closure: DataF
 
 def by_keys(keys: DataFrame, sidecar: DataFrame) -> DataFrame:
     """(claim_id, candidates in key order, matched_key): owners of any of a claim's keys."""
-    hits = keys.join(sidecar.select("entity_type", "key", "entity_id"), ["entity_type", "key"])
+    owned = meeting(sidecar.select("entity_type", "key", "entity_id"), keys, ["entity_type", "key"])
+    hits = keys.join(owned, ["entity_type", "key"])
     ordered = F.array_sort(F.collect_list(F.struct("key_ord", "entity_id", "key")))
     return hits.groupBy("claim_id").agg(ordered.alias("h")).select("claim_id", F.array_distinct(F.transform("h", lambda x: x["entity_id"])).alias("candidates"), F.get("h", F.lit(0))["key"].alias("matched_key"))
 
@@ -52,7 +59,7 @@ def namespace_conflicts(claim_ids: DataFrame, candidates: DataFrame, external_id
     """Claims whose candidate holds another value in a shared namespace, unless the claim's
     value redirects to it. candidates: claim_id, entity_id."""
     own = claim_ids.select("claim_id", "namespace", "value")
-    held = external_ids.select(F.col("owner_id").alias("entity_id"), "namespace", F.col("value").alias("held"))
+    held = meeting(external_ids.select(F.col("owner_id").alias("entity_id"), "namespace", F.col("value").alias("held")), candidates, ["entity_id"])
     met = candidates.join(own, "claim_id").join(held, ["entity_id", "namespace"]).where("value <> held")
     ok = closure.select("namespace", F.col("source_value").alias("value"), F.col("target_value").alias("held"))
     return met.join(ok, ["namespace", "value", "held"], "left_anti").select("claim_id").distinct()
@@ -109,8 +116,9 @@ def endpoints(rels: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def resolve_associations(rels: DataFrame, edges: DataFrame) -> DataFrame:
     """Associations (rel_id, kind, src_id, dst_id, blocked_by) against edges (kind, src_id,
-    dst_id, edge_id): none new, one resolved, more ambiguous, blocked endpoints blocked."""
-    counts = edges.groupBy("kind", "src_id", "dst_id").agg(F.count("*").alias("n"), F.min("edge_id").alias("edge_id"))
+    dst_id, edge_id): none new, one resolved, more ambiguous, blocked endpoints blocked. Only
+    edges between the batch's ends are counted."""
+    counts = meeting(edges, rels, ["kind", "src_id", "dst_id"]).groupBy("kind", "src_id", "dst_id").agg(F.count("*").alias("n"), F.min("edge_id").alias("edge_id"))
     met = rels.join(counts, ["kind", "src_id", "dst_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     blocked = F.size("blocked_by") > 0
     status = F.when(blocked, "blocked").when(F.col("n") == 0, "new").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
@@ -120,7 +128,7 @@ def resolve_associations(rels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve_links(rels: DataFrame, links: DataFrame) -> DataFrame:
     """Pure links: resolved if stored (kind, src_id, dst_id), else new."""
-    there = links.select("kind", "src_id", "dst_id").distinct().withColumn("_hit", F.lit(True))
+    there = meeting(links.select("kind", "src_id", "dst_id"), rels, ["kind", "src_id", "dst_id"]).distinct().withColumn("_hit", F.lit(True))
     met = rels.join(there, ["kind", "src_id", "dst_id"], "left")
     blocked = F.size("blocked_by") > 0
     return met.withColumns({
@@ -131,4 +139,4 @@ def resolve_links(rels: DataFrame, links: DataFrame) -> DataFrame:
 
 def first_per_namespace(ids: DataFrame, owner: str, order: str) -> DataFrame:
     """One external id for each owner and namespace: the first."""
-    return first_in_window(ids, [owner, "namespace"], [order])
+    return first_of(ids, [owner, "namespace"], [order])

@@ -23,6 +23,7 @@ from mergewell.operators import merge as M
 from mergewell.operators import persist as X
 from mergewell.operators import policy as P
 from mergewell.operators import resolve as R
+from mergewell.operators.prune import meeting
 
 
 @dataclass
@@ -246,9 +247,10 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     owners = materialized.select("claim_id", F.col("entity_id").alias("owner_id"))
     ids = claim_ids.join(owners, "claim_id").select("namespace", "value", F.col("entity_type").alias("owner_type"), "owner_id").withColumn("provider", provider_for(F.col("namespace")))
     by = ["namespace", "value", "owner_type"]
-    add_ids = X.insert_or_ignore(state.external_ids, M.absorb_external_ids(state.external_ids, ids)[0].select(*by, "owner_id", "provider"), by, ["owner_id"])
+    owned = meeting(state.external_ids, materialized.select(F.col("entity_id").alias("owner_id")), ["owner_id"])
+    add_ids = X.insert_or_ignore(meeting(state.external_ids, claim_ids, ["namespace", "value"]), M.absorb_external_ids(owned, ids)[0].select(*by, "owner_id", "provider"), by, ["owner_id"])
     rows = X.sidecar_rows(decided, kept_keys)
-    add_keys = X.insert_or_ignore(state.sidecar, rows, ["entity_type", "key"], ["claim_ord", "key_ord"]).select("entity_type", "key", "entity_id")
+    add_keys = X.insert_or_ignore(meeting(state.sidecar, kept_keys, ["entity_type", "key"]), rows, ["entity_type", "key"], ["claim_ord", "key_ord"]).select("entity_type", "key", "entity_id")
     # Edges that resolved to their own fresh payload are stored too, though they count as skipped.
     put = acted.where("strategy = 'create' or (strategy = 'noop' and target_id = rel_id)").unionByName(linked.where("strategy = 'create'"))
     add_edges = put.select(F.col("rel_id").alias("edge_id"), "kind", "src_id", "dst_id", *schemas.PAYLOAD)
@@ -256,7 +258,8 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     held = edges.select("edge_id", *[c for c in edges.columns if c not in ("edge_id", *schemas.PAYLOAD)])
     put_edges = held.join(merged.drop("rel_ord"), "edge_id").select(*edges.columns)
     edges = M.overwrite_payload(edges, merged, schemas.PAYLOAD)
-    add_edges = X.insert_or_ignore(edges, add_edges, ["kind", "src_id", "dst_id"], ["edge_id"])
+    ends_by = ["kind", "src_id", "dst_id"]
+    add_edges = X.insert_or_ignore(meeting(edges, add_edges, ends_by), add_edges, ends_by, ["edge_id"])
     state = state.grown("entities", old.unionByName(new_entities), new_entities, put_entities, ("entity_id",))
     state = state.grown("edges", edges.unionByName(add_edges), add_edges, put_edges, ("edge_id",))
     state = state.add("external_ids", add_ids).add("sidecar", add_keys)
@@ -272,7 +275,8 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
 def ingest_play_events(claims: DataFrame, rels: DataFrame, events: DataFrame, state: State, after: Column | None = None, until: Column | None = None) -> Outcome:
     """Scrobbles of a run: new events only, their claims reconciled, the events bound to what
     the claims became and stored with the catalog. A replay stores nothing."""
-    fresh = D.checkpointed(Inc.new_events(events, state.play_events, after, until))
+    known = meeting(state.play_events, events, ["user_id", "source", "played_at"])
+    fresh = D.checkpointed(Inc.new_events(events, known, after, until))
     used = fresh.select(F.col("recording_claim_id").alias("_c")).distinct()
     pids = used.select(F.substring_index("_c", "|", -1).alias("_pid"))
     own = lambda df, c: df.join(pids, F.substring_index(c, "|", -1) == F.col("_pid"), "left_semi")
