@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergewell.operators.dedupe import checkpointed
+from mergewell.operators.cut import checkpointed
+from mergewell.operators.graph import ends
 from mergewell.operators.merge import first_of
 from mergewell.operators.prune import meeting
 
 
 def redirect_closure(redirects: DataFrame) -> DataFrame:
-    """(namespace, source_value, target_value): where each chain of redirects ends; a chain that
-    comes back to a value it has seen ends before it. Pointer doubling is not used because of
-    that stop; each step is a join of the chains that still move with the redirects."""
-    step = redirects.select("namespace", F.col("source_value").alias("_from"), F.col("target_value").alias("_to"))
-    moving = redirects.where("source_value <> target_value").select("namespace", "source_value", F.col("target_value").alias("at"), F.array("source_value", "target_value").alias("seen"))
-    done = None
-    while True:  # every chain ends, or comes back to a value it has seen
-        moving = checkpointed(moving)
-        nxt = moving.join(step, (moving["namespace"] == step["namespace"]) & (moving["at"] == step["_from"]), "left").select(moving["namespace"], "source_value", "at", "seen", "_to")
-        stop = F.col("_to").isNull() | F.array_contains("seen", F.col("_to"))
-        ended = nxt.where(F.coalesce(stop, F.lit(True))).select("namespace", "source_value", F.col("at").alias("target_value"))
-        done = ended if done is None else done.union(ended)
-        moving = nxt.where(~F.coalesce(stop, F.lit(True))).select("namespace", "source_value", F.col("_to").alias("at"), F.concat("seen", F.array("_to")).alias("seen"))
-        if moving.isEmpty():
-            return done
+    """(namespace, source_value, target_value): where each chain of redirects, one of each source,
+    ends; a chain that comes back to a value it has seen ends before it. Pointers are doubled, so
+    a chain of n takes log n rounds. A chain that never ends leads to a circle: it ends at the
+    value before the one where it came in."""
+    by = ["namespace"]
+    steps = redirects.select("namespace", F.col("source_value").alias("src"), F.col("target_value").alias("at"))
+    ended, endless = ends(steps, by)
+    out = lambda df: df.select("namespace", F.col("src").alias("source_value"), F.col("at").alias("target_value"))
+    done = out(ended)
+    if not endless.isEmpty():
+        circle = checkpointed(endless.select("namespace", F.col("at").alias("src")).distinct())  # doubled often enough, they are all on it
+        back = checkpointed(steps.join(circle, ["namespace", "src"], "left_semi").select("namespace", F.col("at").alias("src"), F.col("src").alias("at")))
+        tails = steps.join(endless.select("namespace", "src"), ["namespace", "src"], "left_semi").join(circle, ["namespace", "src"], "left_anti")
+        came_in, _ = ends(tails, by)
+        before = back.select("namespace", F.col("src").alias("at"), F.col("at").alias("_at"))
+        done = done.union(out(back)).union(out(came_in.join(before, ["namespace", "at"]).select("namespace", "src", F.col("_at").alias("at"))))
+    stay = redirects.where("source_value = target_value").select("namespace", "source_value")
+    return done.join(stay, ["namespace", "source_value"], "left_anti")
 
 
 def by_external_id(claim_ids: DataFrame, external_ids: DataFrame, closure: DataFrame | None = None) -> DataFrame:

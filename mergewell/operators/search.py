@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergewell.functions.text import normalize_text
-from mergewell.operators.dedupe import checkpointed
+from mergewell.operators.cut import checkpointed
 
 LIMIT, SHARE, DEPTH = 5, 50, 100
 _KEY = ("title", "artist")
