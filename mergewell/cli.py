@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         library.add_argument(f"--max-{branch}", type=int)
     releases = reconcile.add_parser("musicbrainz-releases")
     releases.add_argument("--releases", required=True, help="landed release payloads, JSON lines")
-    releases.add_argument("--picks", required=True, help="JSON lines of release_id, requested and resolved id")
+    releases.add_argument("--picks", help="JSON lines of release_id, requested and resolved id")
     releases.add_argument("--limit", type=int)
     user = commands.add_parser("user").add_subparsers(dest="action", required=True).add_parser("create")
     user.add_argument("--display-name", required=True)
@@ -87,16 +87,23 @@ def reconcile_library(spark, args: argparse.Namespace) -> list[dict]:
 
 
 def reconcile_releases(spark, args: argparse.Namespace) -> list[dict]:
-    """Stored releases updated from landed metadata; the counters and what went to review."""
+    """Stored releases updated from landed metadata; the counters and what went to review. Without
+    picks the candidates are chosen from the metadata, and each release sees what those before it
+    wrote."""
     from mergewell.operators.persist import Store
     from mergewell.plans.engine import State
+    from mergewell.plans.updates import update_in_order
     from mergewell.plans.workflows import update_releases
     from mergewell.sources import payloads
     from mergewell.sources.translate import release_graph
 
     store = Store(spark, args.store)
+    graph = release_graph(payloads.read(spark, args.releases, payloads.METADATA_RELEASE))
+    if not args.picks:
+        run = update_in_order(store, graph, limit=args.limit)
+        return [r.asDict() for df in (run.counters, run.review) for r in df.collect()]
     picks = payloads.read(spark, args.picks, "release_id string, requested string, resolved string")
-    done = update_releases(State.load(store), picks, release_graph(payloads.read(spark, args.releases, payloads.METADATA_RELEASE)), limit=args.limit)
+    done = update_releases(State.load(store), picks, graph, limit=args.limit)
     done.outcome.state.save(store)
     return [r.asDict() for df in (done.outcome.counters, done.review) for r in df.collect()]
 

@@ -7,14 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names. Where it is unset a local session
-    makes a folder; on a cluster that is an error, since executors would not share it."""
-    spark: SparkSession = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a local session makes one; on
+    a cluster that is an error, since executors would not share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="engine-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, without their lineage."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -39,6 +39,8 @@ def ends(pointers: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     odd number of steps. Each round doubles all ways."""
     now = checkpointed(pointers.select(*by, "src", "at", F.lit(1).alias("odd")))
     rounds = now.count().bit_length() + 1  # no way that ends is longer than the pointers are many
+    if rounds == 1:
+        return now, now
     while True:
         then = now.select(*by, F.col("src").alias("at"), F.col("at").alias("_at"), F.col("odd").alias("_odd"))
         met = now.join(then, [*by, "at"], "left")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A store that Spark takes to be smaller than this many bytes is read as it is.
 SMALL = 16 << 20
+#: Estimates from here on are products of joins, not sizes; such frames are read as they are, too.
+UNKNOWN = 1 << 60
 #: Keys that are broadcast as they are; a key is some 100 bytes.
 EXACT = 20_000
 #: Bits of a filter for each key, rounded up to a power of two, and the most of all (8 MB).
@@ -61,9 +63,8 @@ def _size(df: DataFrame) -> float:
 def meeting(stored: DataFrame, batch: DataFrame, by: list[str]) -> DataFrame:
     """Rows of `stored` whose `by`, none of them null, may be in `batch`; all that are. The batch is
     read twice, so it should be written or cheap."""
-    if _size(stored) < SMALL:
+    if not SMALL <= _size(stored) < UNKNOWN:
         return stored
-    keys = batch.select(*by).dropna().distinct()
-    if keys.limit(EXACT + 1).count() <= EXACT:
-        return stored.join(F.broadcast(keys), by, "left_semi")
-    return stored.where(bloom(keys, by, keys.count()))
+    keys = batch.select(*by).dropna()
+    n = keys.count()  # with repeats, which only makes the filter larger
+    return stored.join(F.broadcast(keys), by, "left_semi") if n <= EXACT else stored.where(bloom(keys, by, n))

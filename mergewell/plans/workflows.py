@@ -126,24 +126,44 @@ class Updates:
     review: DataFrame
 
 
+def _asking(rows: DataFrame, owner_type: str, namespace: str, owner: Column, value: Column) -> DataFrame:
+    return rows.select("release_id", F.lit(owner_type).alias("owner_type"), owner.alias("owner_id"), F.lit(namespace).alias("namespace"), value.alias("value"))
+
+
 def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame], provider: str = "musicbrainz", limit: int | None = None) -> Updates:
     """Stored releases that the provider has not confirmed, updated from fetched metadata.
 
-    picks: release_id, requested, resolved (the id that the fetch ended at). Each pick anchors its
-    release with the resolved id; ids that another release holds, or that two picks of the batch
-    want, go to review, the first release winning. A root must then resolve to its release;
-    others go to review and leave no anchor. Redirects are kept of accepted picks only."""
+    picks: release_id, requested, resolved (the id that the fetch ended at). A release without an
+    id takes the requested one, one that was redirected the resolved one, and its set the id of the
+    group, if it has none. An id that another release or set holds, or an earlier pick of the batch
+    wants, sends the release to review, with the first reason there is. A root must then resolve to
+    its release; others go to review too. What is under review leaves no ids; redirects are kept
+    of accepted picks only."""
     releases = state.entities.where("entity_type = 'release'")
     due = C.without_source(releases, provider, limit).select(F.col("entity_id").alias("release_id"))
-    wanted = picks.join(due, "release_id")
-    ask = wanted.select("release_id", F.lit("release").alias("owner_type"), F.col("release_id").alias("owner_id"), F.lit("musicbrainz:release").alias("namespace"), F.col("resolved").alias("value"))
-    anchors = D.checkpointed(C.anchor(ask, state.external_ids, "musicbrainz_candidate_collision"))
-    good = anchors.where("accepted")
+    by_ns = ["namespace", "owner_type", "owner_id"]
+    held = state.external_ids.where("namespace = 'musicbrainz:release' and owner_type = 'release'").select(F.col("owner_id").alias("release_id"), F.col("value").alias("own"))
+    wanted = D.checkpointed(picks.select("release_id", "requested", "resolved").join(due, "release_id").join(held, "release_id", "left"))
+    moved = F.col("requested") != F.col("resolved")
+    release = ("release", "musicbrainz:release", F.col("release_id"))
+    first = D.checkpointed(C.anchor(_asking(wanted.where("own is null"), *release, F.col("requested")), state.external_ids, "musicbrainz_candidate_collision").where(~F.col("accepted")))
+    wanted = wanted.join(first.select("release_id"), "release_id", "left_anti")
+    second = D.checkpointed(C.anchor(_asking(wanted.where(moved), *release, F.col("resolved")), state.external_ids, "musicbrainz_redirect_collision").where(~F.col("accepted")))
+    wanted = D.checkpointed(wanted.join(second.select("release_id"), "release_id", "left_anti").withColumn("value", F.when(moved, F.col("resolved")).otherwise(F.coalesce("own", "requested"))))
+    # The set of a release takes the group's id, unless it has one or another set has it.
+    sets = state.edges.where("kind = 'release_set_release'").select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("release_id"))
+    groups = graph["release_set"].where("mbid is not null").select(F.col("release_mbid").alias("value"), F.col("mbid").alias("group"))
+    named = state.external_ids.where("namespace = 'musicbrainz:release-group' and owner_type = 'release_set'").select("owner_id")
+    nameless = wanted.select("release_id", F.col("resolved").alias("value")).join(groups, "value").join(sets, "release_id").join(named, "owner_id", "left_anti")
+    set_anchors = D.checkpointed(C.anchor(_asking(nameless, "release_set", "musicbrainz:release-group", F.col("owner_id"), F.col("group")), state.external_ids, "musicbrainz_release_set_collision"))
+    third = set_anchors.where(~F.col("accepted"))
+    good = wanted.join(third.select("release_id"), "release_id", "left_anti").select("release_id", "value", F.lit("release").alias("owner_type"), F.col("release_id").alias("owner_id"), F.lit("musicbrainz:release").alias("namespace"))
+    good = D.checkpointed(good)
     new_ids = X.insert_or_ignore(state.external_ids, good.select("namespace", "value", "owner_type", "owner_id", F.lit(provider).alias("provider")), ["namespace", "value", "owner_type"], ["owner_id"])
     # A release has one id of the namespace: what it was fetched by gives way to where that led.
-    ids = state.external_ids.join(good.select("namespace", "owner_type", "owner_id"), ["namespace", "owner_type", "owner_id"], "left_anti")
-    held = state.external_ids.join(good.select("namespace", "owner_type", "owner_id", "value"), ["namespace", "owner_type", "owner_id", "value"], "left_semi")
-    ids = D.checkpointed(ids.unionByName(held).unionByName(new_ids))
+    ids = state.external_ids.join(good.select(*by_ns), by_ns, "left_anti")
+    same = state.external_ids.join(good.select(*by_ns, "value"), [*by_ns, "value"], "left_semi")
+    ids = D.checkpointed(ids.unionByName(same).unionByName(new_ids))
     roots = good.select("release_id", F.concat(F.lit("release|"), "value").alias("claim_id"), "value")
     owner = R.by_external_id(roots.select("claim_id", F.lit("release").alias("entity_type"), F.lit(0).alias("pos"), F.lit("musicbrainz:release").alias("namespace"), "value"), ids)
     told = roots.join(owner.select("claim_id", F.col("entity_id").alias("target_id")), "claim_id", "left").withColumn("status", F.when(F.col("target_id").isNotNull(), "resolved").otherwise("new"))
@@ -160,18 +180,13 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     some["credit"] = D.checkpointed(some["credit"])
     if "artist" in graph:
         some["artist"] = D.checkpointed(graph["artist"].join(some["credit"].select(F.col("artist_mbid").alias("mbid")).distinct(), "mbid", "left_semi"))
-    # The set of an accepted release takes the group's id, unless another set has it.
-    sets = state.edges.where("kind = 'release_set_release'").select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("release_id"))
-    groups = some["release_set"].where("mbid is not null").select(F.col("release_mbid").alias("value"), F.col("mbid").alias("group"))
-    ask = accepted.select("release_id", "value").join(groups, "value").join(sets, "release_id")
-    ask = ask.select("release_id", F.lit("release_set").alias("owner_type"), "owner_id", F.lit("musicbrainz:release-group").alias("namespace"), F.col("group").alias("value"))
-    set_anchors = D.checkpointed(C.anchor(ask, ids, "musicbrainz_release_set_collision"))
     own = ["owner_type", "owner_id", "namespace"]
-    free = M.first_of(set_anchors.where("accepted").select(*own, "value", "release_id"), own, ["release_id"]).join(ids.select(*own), own, "left_anti")
+    taken = set_anchors.where("accepted").join(accepted.select("release_id"), "release_id", "left_semi")
+    free = M.first_of(taken.select(*own, "value", "release_id"), own, ["release_id"])
     ids = D.checkpointed(ids.unionByName(free.select("namespace", "value", "owner_type", "owner_id", F.lit(provider).alias("provider"))))
     moved = picks.where("requested <> resolved").join(accepted.select("release_id"), "release_id", "left_semi").select(F.lit("musicbrainz:release").alias("namespace"), F.col("requested").alias("source_value"), F.col("resolved").alias("target_value"))
     base = replace(state, external_ids=ids).grown("redirects", X.upsert_redirects(state.redirects, moved), put=moved, by=("namespace", "source_value"))
     claims, rels = release_claims(some)
     out = reconcile(D.checkpointed(claims), D.checkpointed(rels), base)
-    review = anchors.where(~F.col("accepted")).unionByName(set_anchors.where(~F.col("accepted"))).select("release_id", "reason").unionByName(wrong.select("release_id", "reason"))
+    review = first.unionByName(second).unionByName(third).select("release_id", "reason").unionByName(wrong.select("release_id", "reason"))
     return Updates(out, accepted, review)

@@ -45,6 +45,7 @@ def store(spark, tmp_path):
 @pytest.fixture
 def large(monkeypatch):
     monkeypatch.setattr(prune, "SMALL", 0)
+    monkeypatch.setattr(prune, "UNKNOWN", float("inf"))
 
 
 def batch(spark, n=100):
