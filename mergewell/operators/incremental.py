@@ -25,6 +25,22 @@ def new_events(fetched: DataFrame, stored: DataFrame, after: Column | None = Non
     return first.join(stored.select(*by), list(by), "left_anti")
 
 
+def split_late(events: DataFrame, watermarks: DataFrame, stored: DataFrame, by: tuple[str, ...] = ("user_id", "source"), at: str = "played_at", order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(events after their watermark, late ones): what is at its watermark (by, latest) or before it
+    is late, unless it is stored already, which is a repeat; of equal late events the first."""
+    met = events.join(watermarks.select(*by, "latest"), list(by), "left")
+    behind = F.coalesce(F.col(at) <= F.col("latest"), F.lit(False))
+    late = new_events(met.where(behind).drop("latest"), stored, by=(*by, at), at=at, order=order)
+    return met.where(~behind).drop("latest"), late
+
+
+def advance(watermarks: DataFrame, events: DataFrame, by: tuple[str, ...] = ("user_id", "source"), at: str = "played_at") -> DataFrame:
+    """(by, latest) of the watermarks that these events move forward."""
+    newest = events.groupBy(*by).agg(F.max(at).cast("timestamp").alias("_newest"))
+    met = newest.join(watermarks.select(*by, "latest"), list(by), "left").where("latest is null or _newest > latest")
+    return met.select(*by, F.col("_newest").alias("latest"))
+
+
 def split_now_playing(rows: DataFrame, flag: str = "now_playing") -> tuple[DataFrame, DataFrame]:
     """(dated rows, the rows that are playing now and are not stored)."""
     playing = F.coalesce(F.col(flag), F.lit(False))

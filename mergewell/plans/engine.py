@@ -39,6 +39,8 @@ class State:
     play_events: DataFrame
     library_items: DataFrame | None = None
     users: DataFrame | None = None
+    watermarks: DataFrame | None = None
+    late_events: DataFrame | None = None
     loaded: Loaded | None = None
     changes: dict[str, Grown] = field(default_factory=dict)
 
@@ -53,6 +55,8 @@ class State:
             "play_events": schemas.PLAY_EVENT,
             "library_items": schemas.LIBRARY_ITEM,
             "users": schemas.TABLES["user_account"],
+            "watermarks": schemas.WATERMARK,
+            "late_events": schemas.LATE_EVENT,
         }
 
     @classmethod
@@ -130,6 +134,7 @@ class State:
             "an item is stored once": twice("library_items", "user_id", "target_type", "target_id"),
             "every library item has its target": lost(fresh("library_items"), "target_id"),
             "a user is stored once": twice("users", "id"),
+            "a source of a user has one watermark": twice("watermarks", "user_id", "source"),
         }
 
 

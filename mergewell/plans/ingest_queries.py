@@ -34,12 +34,26 @@ def new_events_window(spark: SparkSession, d: str) -> DataFrame:
     return Inc.new_events(fetched, stored, F.lit(lo), F.lit(hi)).select("event_id", "user_id", "source", "played_at")
 
 
+@query("""
+WITH stored AS (SELECT * FROM events WHERE event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-16'),
+mark AS (SELECT user_id, event_type, max(ts) AS latest FROM stored GROUP BY ALL)
+SELECT event_id, coalesce(ts <= latest, false) AS late FROM events e LEFT JOIN mark USING (user_id, event_type)
+WHERE coalesce(ts > latest, true) OR NOT EXISTS (SELECT 1 FROM stored s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND s.ts = e.ts)""")
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth event of the first half month is stored; of the others, those before the last
+    one stored of their user and type are late."""
+    e = _events(spark, d)
+    stored = e.where("event_id % 10 = 0 AND played_at < '2024-01-16'")
+    none = spark.createDataFrame([], "user_id long, source string, latest timestamp")
+    fresh, late = Inc.split_late(e, Inc.advance(none, stored), stored)
+    return fresh.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
 @query("""
 SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 3 = 0 AND s.user_id = e.user_id AND s.event_type = e.event_type AND s.ts = e.ts)""")
 def play_event_exists_anti(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    by = ["user_id", "source", "played_at"]
-    return e.join(e.where("event_id % 3 = 0").select(*by), by, "left_anti").select("event_id")
+    return Inc.new_events(e, e.where("event_id % 3 = 0"), by=("user_id", "source", "played_at")).select("event_id")
 
 
 @query("""

@@ -51,4 +51,6 @@ EXTERNAL_ID = "namespace string, value string, owner_type string, owner_id strin
 REDIRECT = "namespace string, source_value string, target_value string"
 SIDECAR = "entity_type string, key string, entity_id string"
 LIBRARY_ITEM = "user_id string, target_type string, target_id string, source string"
+WATERMARK = "user_id string, source string, latest timestamp"
+LATE_EVENT = "user_id string, source string, played_at timestamp, recording_claim_id string"
 PLAY_EVENT = "user_id string, source string, played_at timestamp, recording_id string, track_id string"

@@ -156,3 +156,22 @@ def test_stream(spark, tmp_path):
     q = deduped.writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 2
+
+
+def test_stream_with_late_and_replayed_batches(spark, tmp_path):
+    src, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    land = lambda rows: spark.createDataFrame(rows, SCROBBLE).coalesce(1).write.mode("append").parquet(str(src))
+    of = lambda i, user="u": (i, user, *scrobble(i, "A", "X", f"Song {i % 2}")[2:])
+    go = lambda check: run(spark.readStream.schema(SCROBBLE).parquet(str(src)), store, str(tmp_path / check)).awaitTermination()
+    stored = lambda: sorted((r.user_id, r.played_at.second) for r in State.load(store).play_events.collect())
+    behind = lambda: sorted((r.user_id, r.played_at.second) for r in State.load(store).late_events.collect())
+    land([of(10), of(12), of(12), of(30, "v")])
+    go("c")
+    assert stored() == [("u", 10), ("u", 12), ("v", 30)] and behind() == []
+    land([of(11), of(11), of(12), of(13), of(20, "v"), of(31, "v"), of(5, "w")])  # 11 and v's 20 come late, 12 is a repeat
+    go("c")
+    assert stored() == [("u", 10), ("u", 12), ("u", 13), ("v", 30), ("v", 31), ("w", 5)] and behind() == [("u", 11), ("v", 20)]
+    marks = {r.user_id: r.latest.second for r in State.load(store).watermarks.collect()}
+    assert marks == {"u": 13, "v": 31, "w": 5}
+    go("other")  # everything again, as after a lost checkpoint
+    assert stored() == [("u", 10), ("u", 12), ("u", 13), ("v", 30), ("v", 31), ("w", 5)] and behind() == [("u", 11), ("v", 20)]
