@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergewell.operators.cut import checkpointed
 from mergewell.operators.merge import first_of
 from mergewell.operators.persist import insert_or_ignore, upsert
 
@@ -87,3 +88,33 @@ def rebind_plays(events: DataFrame, moves: DataFrame) -> DataFrame:
 def foreign(rows: DataFrame, owned: DataFrame, by: str = "user_id") -> DataFrame:
     """Rows whose owner is not there or not theirs."""
     return rows.join(owned.select(by), by, "left_anti")
+
+
+def cascade(roots: DataFrame, owns: DataFrame) -> DataFrame:
+    """(id) of the roots and all that they own (owner_id, id), at any depth. A round a level; what
+    was found before is not followed again, so circles end."""
+    found = edge = checkpointed(roots.select("id").distinct())
+    while True:
+        below = owns.join(edge.select(F.col("id").alias("owner_id")), "owner_id", "left_semi").select("id").distinct()
+        edge = checkpointed(below.join(found, "id", "left_anti"))
+        if edge.isEmpty():
+            return found
+        found = found.union(edge)
+
+
+def remove_entities(tables: dict[str, DataFrame], roots: DataFrame, owning: tuple[str, ...] = ("release_set_release",)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, plays that are in the way) without the roots (id) and all that they own by edges of
+    the `owning` kinds: entities, edges with either end among them, ids, keys and library items.
+    Plays keep their recordings: where one of these would go, nothing is removed."""
+    owns = tables["edges"].where(F.col("kind").isin(*owning)).select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("id"))
+    gone = checkpointed(cascade(roots, owns))
+    blocked = tables["play_events"].join(gone.select(F.col("id").alias("recording_id")), "recording_id", "left_semi")
+    if not blocked.isEmpty():
+        return tables, blocked
+    without = lambda df, c: df.join(gone.select(F.col("id").alias(c)), c, "left_anti").select(*df.columns)
+    left = {"entities": ["entity_id"], "edges": ["src_id", "dst_id"], "external_ids": ["owner_id"], "sidecar": ["entity_id"], "library_items": ["target_id"]}
+    out = dict(tables)
+    for name, ends in left.items():
+        for c in ends if out.get(name) is not None else ():
+            out[name] = without(out[name], c)
+    return out, blocked

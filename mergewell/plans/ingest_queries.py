@@ -86,9 +86,11 @@ def sets_by_decade(spark: SparkSession, d: str) -> DataFrame:
     return o.join(plays, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("decade").agg(F.count("*").alias("sets"), F.sum("plays").cast("long").alias("plays"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def saved_without_plays(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers as saved items, their urgent finished orders as plays."""
+    plays = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").select("c_custkey").join(plays.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("""
