@@ -79,9 +79,10 @@ def classify(n_candidates: Column, conflict: Column, wrong_type: Column) -> tupl
     return status, reason
 
 
-def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, external_ids: DataFrame, redirects: DataFrame, sidecar: DataFrame) -> DataFrame:
+def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, external_ids: DataFrame, redirects: DataFrame, sidecar: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """(claim_id, entity_type, status, target_id, candidate_ids, matched_key, match_kind, reason).
-    An external id that has an owner goes before all keys."""
+    An external id that has an owner goes before all keys. With the stored `entities` a candidate
+    whose type is not the claim's, whatever its ids and keys say, is a conflict."""
     closure = redirect_closure(redirects)
     ext = by_external_id(claim_ids, external_ids, closure).select("claim_id", F.col("entity_id").alias("ext"))
     met = claims.select("claim_id", "entity_type").join(ext, "claim_id", "left").join(by_keys(keys, sidecar), "claim_id", "left")
@@ -89,8 +90,13 @@ def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, e
     met = met.select("claim_id", "entity_type", found.alias("candidate_ids"), F.when(F.col("ext").isNull(), F.col("matched_key")).alias("matched_key"), F.when(F.col("ext").isNotNull(), "external_id").when(F.size(found) > 0, "key").alias("match_kind"))
     pairs = met.select("claim_id", F.explode("candidate_ids").alias("entity_id"))
     bad = namespace_conflicts(claim_ids, pairs, external_ids, closure).withColumn("_conflict", F.lit(True))
-    status, reason = classify(F.size("candidate_ids"), F.coalesce("_conflict", F.lit(False)), F.lit(False))
-    out = met.join(bad, "claim_id", "left").withColumns({"status": status, "reason": reason}).drop("_conflict")
+    out, wrong = met.join(bad, "claim_id", "left"), F.lit(False)
+    if entities is not None:
+        types = meeting(entities.select("entity_id", F.col("entity_type").alias("_type")), pairs, ["entity_id"])
+        other = met.select("claim_id", "entity_type", F.explode("candidate_ids").alias("entity_id")).join(types, "entity_id").where("entity_type <> _type")
+        out, wrong = out.join(other.select("claim_id").distinct().withColumn("_wrong", F.lit(True)), "claim_id", "left"), F.coalesce("_wrong", F.lit(False))
+    status, reason = classify(F.size("candidate_ids"), F.coalesce("_conflict", F.lit(False)), wrong)
+    out = out.withColumns({"status": status, "reason": reason}).drop("_conflict", "_wrong")
     return out.withColumn("target_id", F.when(F.col("status") == "resolved", F.get("candidate_ids", F.lit(0))))
 
 

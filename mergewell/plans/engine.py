@@ -221,7 +221,7 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     wired = D.collapse_relationships(wired.withColumn("rel_key", _edge_key())).drop("rel_key")
 
     claim_ids = kept.select("claim_id", "entity_type", F.posexplode("ids").alias("pos", "x")).select("claim_id", "entity_type", "pos", "x.namespace", "x.value")
-    resolved = R.resolve_entities(kept, claim_ids, kept_keys, state.external_ids, state.redirects, state.sidecar)
+    resolved = R.resolve_entities(kept, claim_ids, kept_keys, state.external_ids, state.redirects, state.sidecar, stored)
     decided = P.decide_entities(resolved.join(kept.select("claim_id", "confidence"), "claim_id"))
     decided = D.checkpointed(decided.withColumn("created_id", F.col("claim_id")))
     materialized = D.checkpointed(M.materialize(decided))

@@ -10,6 +10,8 @@ from mergewell.operators import browse as B
 from mergewell.operators import commands as C
 from mergewell.operators import merge as M
 from mergewell.plans.catalogue import query, table
+from mergewell.plans.engine import State
+from mergewell.plans.workflows import ingest_library
 from mergewell.sources import landing
 
 
@@ -96,3 +98,47 @@ def absorb_facts_by_type(spark: SparkSession, d: str) -> DataFrame:
     done = held.withColumn("x", M.absorb_facts(F.col("a"), F.col("b")))
     pick = lambda by: F.coalesce(*[F.when(F.col("entity_type") == t, F.col(f"x.{f}")) for t, f in by.items()])
     return done.select("k", "entity_type", pick(text).alias("text_fact"), pick(value).alias("value_fact"), F.array_join(pick(lists), "|").alias("list_fact"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS k, 'track ' || p_partkey AS name, p_brand AS lead, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS guest, 'album ' || p_brand AS album FROM part),
+who AS (SELECT k, name, album, lead AS artist, 'primary' AS role FROM t UNION ALL SELECT k, name, album, guest, 'unknown' FROM t WHERE guest IS NOT NULL)
+SELECT 'entity' AS what, 'recording' AS kind, name AS a, NULL AS b, k::BIGINT * 1000 AS n FROM t UNION ALL SELECT DISTINCT 'entity', 'artist', artist, NULL, NULL::BIGINT FROM who
+UNION ALL SELECT DISTINCT 'entity', 'release_set', album, NULL, NULL::BIGINT FROM t UNION ALL SELECT DISTINCT 'entity', 'release', album, NULL, NULL::BIGINT FROM t
+UNION ALL SELECT 'item', 'recording', name, NULL, NULL::BIGINT FROM t UNION ALL SELECT DISTINCT 'item', 'release_set', album, NULL, NULL::BIGINT FROM t
+UNION ALL SELECT 'item', 'artist', p_brand, NULL, NULL::BIGINT FROM (SELECT DISTINCT p_brand FROM part)
+UNION ALL SELECT 'edge', 'recording_contribution ' || role, name, artist, NULL::BIGINT FROM who
+UNION ALL SELECT 'edge', 'release_track', album, name, NULL::BIGINT FROM t UNION ALL SELECT DISTINCT 'edge', 'release_set_release', album, album, NULL::BIGINT FROM t
+UNION ALL SELECT DISTINCT 'edge', 'release_set_contribution', album, artist, NULL::BIGINT FROM who
+UNION ALL SELECT 'code', 'recording:isrc', 'ISRC' || k, name, NULL::BIGINT FROM t WHERE k % 2 = 0""")
+def ingest_library_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as saved tracks, their brands as saved albums and followed artists: the entities, the
+    edges by the names of their ends, the codes and the items that are stored. Albums drop in favour
+    of those that the tracks before them tell of, and their codes with them."""
+    credit, code, null = "struct<id:string,name:string>", "array<struct<namespace:string,value:string>>", F.lit(None)
+    album_type = f"struct<id:string,name:string,ids:{code}>"
+    one = lambda c: F.struct(F.concat(F.lit("a-"), c).alias("id"), c.alias("name")).cast(credit)
+    ids = lambda name, c: F.array(F.struct(F.lit(name).alias("namespace"), c.alias("value"))).cast(code)
+    none = F.array().cast(code)
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    album = F.concat(F.lit("album "), brand)
+    part = table(spark, d, "part")
+    tracks = part.select(
+        F.lit(0).alias("branch"), k.cast("int").alias("ord"), F.lit("recording").alias("target_type"), F.concat(F.lit("t"), k.cast("string")).alias("id"), F.concat(F.lit("track "), k.cast("string")).alias("name"),
+        (k * 1000).cast("long").alias("duration_ms"), F.array_compact(F.array(one(brand), F.when(k % 3 == 0, one(F.col("p_type"))))).alias("credits"),
+        F.when(k % 2 == 0, ids("isrc", F.concat(F.lit("ISRC"), k.cast("string")))).otherwise(none).alias("ids"), F.struct(F.concat(F.lit("al-"), brand).alias("id"), album.alias("name"), none.alias("ids")).cast(album_type).alias("album"),
+    )
+    brands = part.groupBy("p_brand").agg(F.min("p_partkey").cast("int").alias("ord"))
+    albums = brands.select(F.lit(1).alias("branch"), "ord", F.lit("release_set").alias("target_type"), F.concat(F.lit("al-"), brand).alias("id"), album.alias("name"), null.cast("long").alias("duration_ms"), F.array(one(brand)).alias("credits"), ids("upc", F.concat(F.lit("UPC"), brand)).alias("ids"), null.cast(album_type).alias("album"))
+    artists = brands.select(F.lit(2).alias("branch"), "ord", F.lit("artist").alias("target_type"), F.concat(F.lit("a-"), brand).alias("id"), brand.alias("name"), null.cast("long").alias("duration_ms"), F.array().cast(f"array<{credit}>").alias("credits"), none.alias("ids"), null.cast(album_type).alias("album"))
+    out, items, _ = ingest_library(tracks.unionByName(albums).unionByName(artists), "u", State.empty(spark), State.empty(spark).library_items)
+    s = out.state
+    name = s.entities.select("entity_id", "name")
+    src, dst = (name.select(F.col("entity_id").alias(f"{e}_id"), F.col("name").alias(c)) for e, c in (("src", "a"), ("dst", "b")))
+    nothing = lambda t: null.cast(t)
+    entities = s.entities.select(F.lit("entity").alias("what"), F.col("entity_type").alias("kind"), F.col("name").alias("a"), nothing("string").alias("b"), F.col("duration_ms").alias("n"))
+    stored = items.join(name.withColumnRenamed("entity_id", "target_id"), "target_id").select(F.lit("item").alias("what"), F.col("target_type").alias("kind"), F.col("name").alias("a"), nothing("string").alias("b"), nothing("long").alias("n"))
+    kind = F.when(F.col("kind") == "recording_contribution", F.concat_ws(" ", "kind", "role")).otherwise(F.col("kind")).alias("kind")
+    edges = s.edges.join(src, "src_id").join(dst, "dst_id").select(F.lit("edge").alias("what"), kind, "a", "b", nothing("long").alias("n"))
+    codes = s.external_ids.where("namespace in ('recording:isrc', 'release:upc')").join(name, F.col("owner_id") == F.col("entity_id")).select(F.lit("code").alias("what"), F.col("namespace").alias("kind"), F.col("value").alias("a"), F.col("name").alias("b"), nothing("long").alias("n"))
+    return entities.unionByName(stored).unionByName(edges).unionByName(codes)

@@ -109,6 +109,10 @@ def test_resolution_states(spark):
         "d": ("ambiguous", "multiple_exact_matches", None, "k1"), "e": ("conflict", "external_id_namespace_conflict", None, None), "f": ("resolved", "exact_match", "E1", None),
     }
 
+    odd = spark.createDataFrame([("E1", "recording"), ("E2", "label")], "entity_id string, entity_type string")
+    told = {r.claim_id: (r.status, r.reason, r.target_id) for r in R.resolve_entities(claims, cid, keys, ext, red, side, odd).collect()}
+    assert told["d"] == ("conflict", "candidate_type_mismatch", None) and told["a"] == ("resolved", "exact_match", "E1") and told["b"][0] == "new"
+
 
 def test_policy(spark):
     rows = [("b", "recording", "resolved", "T", None, "exact_match"), ("a", "recording", "resolved", "T", None, "exact_match"), ("c", "recording", "resolved", "T", 0.0, "exact_match"), ("d", "recording", "new", None, None, None), ("e", "recording", "ambiguous", None, None, "multiple_exact_matches")]
