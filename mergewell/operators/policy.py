@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,17 +10,18 @@ def decide_entities(resolutions: DataFrame) -> DataFrame:
     """Adds strategy and the final reason. Of the claims resolved to one target the most
     confident (no confidence is -1; then the smaller claim id) merges, the others do nothing.
     Needs claim_id, entity_type, status, target_id, candidate_ids, confidence, reason."""
-    w = Window.partitionBy("entity_type", "target_id").orderBy(F.coalesce("confidence", F.lit(-1.0)).desc(), "claim_id")
-    # Only resolved claims compete; the others must not meet in the group of null targets.
-    some = resolutions.where("status = 'resolved'").withColumn("_rn", F.row_number().over(w))
-    ranked = some.unionByName(resolutions.where("status <> 'resolved'").withColumn("_rn", F.lit(0)))
-    strategy = F.when(F.col("status") == "new", "create").when((F.col("status") == "resolved") & (F.col("_rn") == 1), "merge").when(F.col("status") == "resolved", "noop").otherwise("manual_review")
+    # A target's claims are reduced before they move, and what comes back is met by claim, so a
+    # target that many claims resolve to is in no task's way.
+    first = F.min(F.struct(-F.coalesce("confidence", F.lit(-1.0)), "claim_id"))["claim_id"]
+    won = resolutions.where("status = 'resolved'").groupBy("entity_type", "target_id").agg(first.alias("claim_id"))
+    ranked = resolutions.join(won.select("entity_type", "claim_id", F.lit(True).alias("_won")), ["entity_type", "claim_id"], "left").select(*resolutions.columns, "_won")
+    strategy = F.when(F.col("status") == "new", "create").when((F.col("status") == "resolved") & F.col("_won"), "merge").when(F.col("status") == "resolved", "noop").otherwise("manual_review")
     reason = (
-        F.when(F.col("status") == "resolved", F.when(F.col("_rn") == 1, "resolved_target_selected").otherwise("duplicate_resolved_target"))
+        F.when(F.col("status") == "resolved", F.when(F.col("_won"), "resolved_target_selected").otherwise("duplicate_resolved_target"))
         .when(F.col("status") == "new", F.coalesce("reason", F.lit("resolved_as_new")))
         .otherwise(F.coalesce("reason", F.lit("manual_review_required")))
     )
-    return ranked.withColumns({"strategy": strategy, "reason": reason, "candidate_ids": F.array_distinct("candidate_ids")}).drop("_rn")
+    return ranked.withColumns({"strategy": strategy, "reason": reason, "candidate_ids": F.array_distinct("candidate_ids")}).drop("_won")
 
 
 def payload_differs(left: list[str], right: list[str]) -> Column:
