@@ -41,6 +41,33 @@ def move_edges(edges: DataFrame, moves: DataFrame, end: str = "src_id") -> DataF
     return kept.unionByName(insert_or_ignore(kept, moved, ["kind", "src_id", "dst_id"], ["edge_id"]), allowMissingColumns=True)
 
 
+def adopt(edges: DataFrame, adds: DataFrame, kind: str) -> DataFrame:
+    """Gives children (dst_id) to owners (src_id) by edges of a kind of which a child has one: what
+    it had before goes, a child that is with its owner stays. Of several owners the last one told
+    (`ord`) has it. `adds` has an edge_id, too."""
+    last = adds.groupBy("dst_id").agg(F.max_by(F.struct("src_id", "edge_id"), "ord").alias("_a")).select("dst_id", "_a.*", F.lit(kind).alias("kind"))
+    moved = last.join(edges.select("kind", "src_id", "dst_id"), ["kind", "src_id", "dst_id"], "left_anti")
+    rest = edges.join(moved.select("kind", "dst_id"), ["kind", "dst_id"], "left_anti").select(*edges.columns)
+    return rest.unionByName(moved, allowMissingColumns=True)
+
+
+def create_releases(entities: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, edges, refused): releases (entity_id, name, and what else is known of them) made in
+    their sets (src_id), each with its edge. Refused, with `why`: sets that are not there, ids that
+    are taken, and of several new ones with an id all but the first (`ord`)."""
+    sets = entities.where("entity_type = 'release_set'").select(F.col("entity_id").alias("src_id"))
+    homeless = new.join(sets, "src_id", "left_anti").withColumn("why", F.lit("no such release set"))
+    at_home = new.join(sets, "src_id", "left_semi")
+    first = first_of(at_home, ["entity_id"], ["ord"])
+    made = first.join(entities.select("entity_id"), "entity_id", "left_anti")
+    taken = at_home.join(made.select("ord"), "ord", "left_anti").withColumn("why", F.lit("the id is taken"))
+    rows = made.withColumn("entity_type", F.lit("release")).select(*[c for c in entities.columns if c == "entity_type" or c in made.columns])
+    kind = "release_set_release"
+    owned = made.select(F.concat_ws("|", F.lit(kind), "src_id", "entity_id").alias("edge_id"), F.lit(kind).alias("kind"), "src_id", F.col("entity_id").alias("dst_id"))
+    refused = homeless.unionByName(taken).select(*new.columns, "why")
+    return entities.unionByName(rows, allowMissingColumns=True), edges.unionByName(owned, allowMissingColumns=True), refused
+
+
 def orphans(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges that lost an end; deleting these is what a cascade would do."""
     ids = entities.select(F.col("entity_id").alias("_id"))

@@ -68,10 +68,11 @@ def overwrite_payload(stored: DataFrame, incoming: DataFrame, fields: list[str],
 
 def absorb_external_ids(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ids to add, conflicts): an owner keeps one value a namespace, the first in order of `pos`,
-    where given, and value. Columns: owner_type, owner_id, namespace, value."""
+    where given, and value. What says another value than the one that is held, or that is added
+    now, is a conflict. Columns: owner_type, owner_id, namespace, value."""
     by = ["owner_type", "owner_id", "namespace"]
     add = first_of(incoming, by, [c for c in ("pos", "value") if c in incoming.columns]).join(stored.select(*by), by, "left_anti")
-    held = stored.select(*by, F.col("value").alias("held"))
+    held = stored.select(*by, F.col("value").alias("held")).unionByName(add.select(*by, F.col("value").alias("held")))
     return add, incoming.join(held, by).where("value <> held")
 
 

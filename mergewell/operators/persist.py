@@ -50,6 +50,12 @@ def sidecar_rows(instructions: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(owners, "claim_id").select("entity_type", "key", "entity_id", "claim_ord", "key_ord")
 
 
+def keys_gained(inserted: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, n): how many keys each entity owns now that nobody owned before. Keys
+    that another entity holds, or that the entity had, are not among the inserted ones."""
+    return inserted.groupBy("entity_type", "entity_id").agg(F.count("*").alias("n"))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, by: list[str]) -> DataFrame:
     """Stored rows with the incoming ones (at most one a key) in their place."""
     return stored.join(incoming.select(*by), by, "left_anti").unionByName(incoming, allowMissingColumns=True)
@@ -103,6 +109,10 @@ class Written:
         """Rows under new keys; the whole table where it is written anew."""
         return self.store.assemble([p for p in self.fresh.get(table, []) if p["kind"] != "put"], schema)
 
+    def changed(self, table: str, schema: StructType | str) -> DataFrame:
+        """Rows under new keys and rows that were put; the whole table where it is written anew."""
+        return self.store.assemble(self.fresh.get(table, []), schema)
+
     def old(self, table: str, schema: StructType | str) -> DataFrame:
         """Rows that were stored before; none where the table is written anew."""
         return self.store.assemble([] if self.whole(table) else self.before.tables.get(table, []), schema)

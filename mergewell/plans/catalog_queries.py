@@ -295,6 +295,34 @@ def sidecar_insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     return X.insert_or_ignore(_sidecar(spark, d), keys, ["entity_type", "key"], ["claim_ord"]).select("key", "entity_id")
 
 
+@query(f"""
+WITH {_PART_KEYS}, gained AS (SELECT key, min_by(claim_id, o) AS entity_id FROM keys WHERE key NOT IN (SELECT key FROM sidecar) GROUP BY key)
+SELECT entity_id, count(*) AS n FROM gained GROUP BY entity_id""")
+def sidecar_keys_gained(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys each owner has now that nobody had before."""
+    keys = _part_keys(spark, d).select("entity_type", "key", "claim_ord", F.col("claim_id").alias("entity_id"))
+    return X.keys_gained(X.insert_or_ignore(_sidecar(spark, d), keys, ["entity_type", "key"], ["claim_ord"])).select("entity_id", "n")
+
+
+@query("""
+WITH said AS (SELECT user_id, event_type, CAST(floor(value) AS BIGINT) % 4 AS v, event_id % 2 = 0 AS was FROM events),
+held AS (SELECT user_id, event_type, min(v) AS held, TRUE AS was FROM said WHERE was GROUP BY ALL),
+now AS (SELECT user_id, event_type, min(v) AS held, FALSE AS was FROM said s WHERE NOT was AND NOT EXISTS (FROM held h WHERE h.user_id = s.user_id AND h.event_type = s.event_type) GROUP BY ALL)
+SELECT user_id AS owner_id, event_type AS namespace, v AS value, held, count(*) AS n
+FROM said JOIN (SELECT user_id, event_type, held FROM held UNION ALL SELECT user_id, event_type, held FROM now) USING (user_id, event_type) WHERE NOT said.was AND v <> held GROUP BY ALL
+UNION ALL SELECT user_id, event_type, held, NULL, 1 FROM now""")
+def external_id_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Users as owners, event types as namespaces, one of four values: even events are stored, the
+    others say what clashes with it or with each other. Ids that are added have no `held`."""
+    v = F.pmod(F.floor("value"), F.lit(4)).cast("long").alias("value")
+    e = table(spark, d, "events").select(F.lit("user").alias("owner_type"), F.col("user_id").alias("owner_id"), F.col("event_type").alias("namespace"), v, "event_id")
+    by = ["owner_type", "owner_id", "namespace"]
+    stored = e.where("event_id % 2 = 0").groupBy(*by).agg(F.min("value").alias("value"))
+    add, clash = M.absorb_external_ids(stored, e.where("event_id % 2 = 1").drop("event_id"))
+    counted = clash.groupBy("owner_id", "namespace", "value", "held").agg(F.count("*").alias("n"))
+    return counted.unionByName(add.select("owner_id", "namespace", "value", F.lit(None).cast("long").alias("held"), F.lit(1).cast("long").alias("n")))
+
+
 @query("""
 SELECT 'isrc' AS namespace, s_suppkey::VARCHAR AS source_value, (CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 7 ELSE s_suppkey + 1 END)::VARCHAR AS target_value FROM supplier
 UNION ALL SELECT 'isrc', 'x' || s_suppkey, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey % 5 = 0""")

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from mergewell.plans import catalog_queries, command_queries, key_queries, ingest_queries, lookup_queries, scalar_queries, search_queries, update_queries, library_queries  # noqa: E402, F401
+from mergewell.plans import catalog_queries, command_queries, key_queries, ingest_queries, lookup_queries, scalar_queries, search_queries, update_queries, library_queries, user_queries  # noqa: E402, F401

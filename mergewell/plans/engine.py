@@ -8,6 +8,7 @@ activity are committed together; an event whose claims went to review is reporte
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ class State:
             "entities have a type": wrote.new("entities", s["entities"]).where("entity_id is null or entity_type is null"),
             "a key has one owner": twice("sidecar", "entity_type", "key"),
             "an external id has one owner": twice("external_ids", "namespace", "value", "owner_type"),
-            "every play event has its recording": lost(fresh("play_events"), "recording_id"),
+            "every play event has its recording": lost((wrote.rows if shrunk else wrote.changed)("play_events", s["play_events"]), "recording_id"),
             "an item is stored once": twice("library_items", "user_id", "target_type", "target_id"),
             "every library item has its target": lost(fresh("library_items"), "target_id"),
             "a user is stored once": twice("users", "id"),
@@ -165,6 +166,8 @@ class Outcome:
     counters: DataFrame
     manual_review: DataFrame
     skip_reasons: DataFrame
+    #: (what, n): entities, keys by which they are found again, edges and events that are new in the store.
+    persisted: DataFrame
 
 
 def claim_keys(claims: DataFrame) -> DataFrame:
@@ -194,6 +197,11 @@ def typed(df: DataFrame | None, ddl: str) -> DataFrame | None:
     return None if df is None else conform(df, ddl).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(ddl)])
 
 
+def number(df: DataFrame, what: str) -> DataFrame:
+    """(what, n): how many rows there are."""
+    return df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+
+
 def _edge_key() -> Column:
     """Identity of a relationship with its payload; tracks and credits have different ones."""
     col = F.col
@@ -250,10 +258,12 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     was_row = F.struct(*facts).alias("_was")
     put_entities = stored.join(given, F.col("entity_id") == F.col("_k")).select(*merged_row, was_row).where(~F.col("_was").eqNullSafe(F.struct(*facts))).drop("_was")
     owners = materialized.select("claim_id", F.col("entity_id").alias("owner_id"))
-    ids = claim_ids.join(owners, "claim_id").select("namespace", "value", F.col("entity_type").alias("owner_type"), "owner_id").withColumn("provider", provider_for(F.col("namespace")))
+    ids = claim_ids.join(owners, "claim_id").select("claim_id", "pos", "namespace", "value", F.col("entity_type").alias("owner_type"), "owner_id").withColumn("provider", provider_for(F.col("namespace")))
     by = ["namespace", "value", "owner_type"]
     owned = meeting(state.external_ids, materialized.select(F.col("entity_id").alias("owner_id")), ["owner_id"])
-    add_ids = X.insert_or_ignore(meeting(state.external_ids, claim_ids, ["namespace", "value"]), M.absorb_external_ids(owned, ids)[0].select(*by, "owner_id", "provider"), by, ["owner_id"])
+    # An id that says another value than its owner has is left out and reviewed.
+    own_ids, clashing = M.absorb_external_ids(owned, ids)
+    add_ids = X.insert_or_ignore(meeting(state.external_ids, claim_ids, ["namespace", "value"]), own_ids.select(*by, "owner_id", "provider"), by, ["owner_id"])
     rows = X.sidecar_rows(decided, kept_keys)
     add_keys = X.insert_or_ignore(meeting(state.sidecar, kept_keys, ["entity_type", "key"]), rows, ["entity_type", "key"], ["claim_ord", "key_ord"]).select("entity_type", "key", "entity_id")
     # Edges that resolved to their own fresh payload are stored too, though they count as skipped.
@@ -273,8 +283,11 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     counts = M.counters(every)
     by_rel = lambda df: df.withColumn("claim_id", F.col("rel_id"))
     review = P.manual_review(decided, "entity").unionByName(P.manual_review(by_rel(acted), "association")).unionByName(P.manual_review(by_rel(linked), "link"))
+    review = review.unionByName(clashing.select("claim_id", F.lit("external_id").alias("subject"), F.array("owner_id").alias("candidate_ids"), F.lit("external_id_conflict").alias("reason")))
+    new = {"entities": new_entities, "keys": add_keys, "edges": add_edges}
+    persisted = reduce(DataFrame.unionByName, [number(df, what) for what, df in new.items()])
     became = materialized.unionByName(dropped.join(materialized.withColumnRenamed("claim_id", "rep_claim_id"), "rep_claim_id").select("claim_id", "entity_id"))
-    return Outcome(state, decided, acted.unionByName(linked), became, counts, review, P.skip_reasons(every))
+    return Outcome(state, decided, acted.unionByName(linked), became, counts, review, P.skip_reasons(every), persisted)
 
 
 def ingest_play_events(claims: DataFrame, rels: DataFrame, events: DataFrame, state: State, after: Column | None = None, until: Column | None = None) -> Outcome:
@@ -290,4 +303,5 @@ def ingest_play_events(claims: DataFrame, rels: DataFrame, events: DataFrame, st
     bound = Inc.rebind(fresh, out.materialized.unionByName(tracks))
     stored = bound.select("user_id", "source", F.col("played_at").cast("timestamp").alias("played_at"), "recording_id", "track_id")
     out.state = out.state.add("play_events", stored)
+    out.persisted = out.persisted.unionByName(number(stored, "events"))
     return out
