@@ -7,8 +7,10 @@ overlapping, and the search length falls until no run of TILE words is left. The
 item's words under tiles decides, whatever their order, so passages put together in another
 order count as well.
 
-The seeds of the benchmark are broadcast in chunks of at most CHUNK_BYTES of text; a larger
-benchmark takes more passes over the documents, not more memory.
+The seeds of the benchmark are broadcast in chunks of about CHUNK_BYTES of text. A larger benchmark
+takes one pass over the documents after the other: the leaks that a pass finds, one row for each
+different text that has any, are written to the shared folder before the next chunk is read, so
+the driver and a task hold one chunk at a time.
 
 Cases: null texts and items hold no words; items of fewer than TILE words can't be tiled and
 match nothing; items of fewer than 2 x TILE words must be found whole in one run, as one chance
@@ -21,13 +23,16 @@ alike; extra columns are ignored or carried; empty tables give empty results.
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergewell.llm import vec
+from mergewell.llm.shared import HEAVY, SPLIT, table
 
 TILE, COVERAGE = 4, 0.5
 CHUNK_BYTES = 8 << 20
@@ -170,23 +175,45 @@ def leaks(data: np.ndarray, off: np.ndarray, seeds: Seeds, least: int, coverage:
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", least: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """Columns `row` (a struct of the carried columns, all by default) and `hits`: the leaked items with
     coverage, number and longest of tiles, and the words of the text from the first tile to the
-    last. One narrow stage for each chunk of the benchmark."""
+    last. One narrow stage, or where the benchmark is more than a chunk a written pass for each."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("id is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    hits = [F.array().cast(_HITS)]
-    for chunk in range(chunks):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk)
-        hits.append(_search([tuple(r) for r in part.collect()], docs.sparkSession, least, coverage)(F.col(text_col)))
+    none = F.array().cast(_HITS)
     carried = F.struct(*(docs.columns if carry is None else carry)).alias("row")
-    # One chunk needs no putting together, by which each Python result would be read twice.
-    every = hits[1] if chunks == 1 else F.concat(*hits)
-    return docs.select(carried, F.coalesce(every, hits[0]).alias("hits"))
-
-
-def _search(items: list[tuple[int, str]], spark: SparkSession, least: int, coverage: float):
+    if chunks == 1:
+        search = _search(_broadcast(docs.sparkSession, items), least, coverage)
+        return docs.select(carried, F.coalesce(search(F.col(text_col)), none).alias("hits"))
+    # What a text leaks depends on it alone, so leaks are kept by two hashes of the text.
+    keys = [F.xxhash64(F.col(text_col)).alias("_h"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("_g")]
+    passes = [_pass(docs, text_col, keys, items.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk), least, coverage) for chunk in range(chunks)]
+    every = reduce(DataFrame.unionByName, passes).groupBy("_h", "_g").agg(F.array_sort(F.flatten(F.collect_list("_hits"))).alias("hits"), F.max("_n").alias("_n"))
+    every, _ = table(every)
+    # Texts of many rows, HEAVY at most, are known to all; their rows are dealt over SPLIT tasks.
+    hot = F.col("_n") >= max(2, docs.count() // HEAVY)
+    texts = docs.where(F.col(text_col).isNotNull()).select(carried, *keys).join(F.broadcast(every.where(hot).select("_h", "_g", F.lit(True).alias("_hot"))), ["_h", "_g"], "left")
+    dealt = texts.withColumn("_salt", F.when(F.col("_hot"), F.spark_partition_id() % SPLIT).otherwise(0))
+    copies = every.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SPLIT - 1).otherwise(0))))
+    met = dealt.join(copies, ["_h", "_g", "_salt"], "left").select("row", F.coalesce("hits", none).alias("hits"))
+    return met.unionByName(docs.where(F.col(text_col).isNull()).select(carried, none.alias("hits")))
+
+
+def _pass(docs: DataFrame, text_col: str, keys: list[Column], items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """Written leaks of the items of a chunk: one row for each text that has any."""
+    shared = _broadcast(docs.sparkSession, items)
+    found = docs.where(F.col(text_col).isNotNull()).select(*keys, _search(shared, least, coverage)(F.col(text_col)).alias("_hits")).where(F.size("_hits") > 0)
+    kept, _ = table(found.groupBy("_h", "_g").agg(F.any_value("_hits").alias("_hits"), F.count("*").alias("_n")))
+    shared.destroy()
+    return kept
+
+
+def _broadcast(spark: SparkSession, items: DataFrame) -> Broadcast:
+    """The items of a chunk, on every executor."""
+    return spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+
+def _search(shared: Broadcast, least: int, coverage: float):
     """A function of texts: the items of one chunk that each leaks. Only texts visit Python."""
-    shared = spark.sparkContext.broadcast(items)
     of = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     @F.arrow_udf(_HITS)

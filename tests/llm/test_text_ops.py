@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from mergewell.llm import byte_bpe, chat, decontamination, fingerprints, language_id, pii, toxicity
+from mergewell.llm import byte_bpe, chat, decontamination, fingerprints, language_id, pii, sampling, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "x" * 30_000), (5, "é"), (5, "é"), (None, "no id"), (6, "12345 !?"), (7, "日本語 テキスト 👍🏽")]
@@ -181,6 +181,34 @@ def test_large_benchmarks_go_in_chunks(spark, docs, prose, monkeypatch):
     assert got == {(i, i) for i, _ in items}
 
 
+def test_many_chunks_are_passes_one_after_the_other(spark, docs, prose, monkeypatch):
+    items = [(i, prose(3000 + i, 20)) for i in range(30)] + [(3, prose(3003, 20)), (None, prose(3000, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(i, 30) + " " + t) for i, t in items[:30]] + [(100 + i, items[0][1] + " " + items[1][1]) for i in range(40)] + [(200, None), (200, None), (None, items[5][1]), (201, ""), (202, prose(9, 90))]
+    found = lambda: sorted((str(r.row.doc_id), [(h.item_id, h.coverage, h.start, h.end) for h in r.hits]) for r in decontamination.find(docs(rows), bench, carry=["doc_id"]).collect())
+    one = found()
+    assert len(one) == len(rows) and sum(len(h) for _, h in one) == 30 + 1 + 80 + 1
+    monkeypatch.setattr(decontamination, "CHUNK_BYTES", 400)  # some 13 chunks
+    seen = []
+    broadcast = decontamination._broadcast
+    monkeypatch.setattr(decontamination, "_broadcast", lambda s, part: seen.append(broadcast(s, part)) or seen[-1])
+    assert found() == one
+    assert len(seen) > 10
+    plan = decontamination.find(docs(rows), bench, carry=["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # the passes are done and written; no chunk is held by what is left
+
+
+def test_labels_beyond_the_most_frequent_do_not_train(spark):
+    rows = spark.range(12_000).selectExpr("id", "case when id % 2 = 0 then 'en' when id % 3 = 0 then 'fr' else concat('x', id) end AS lang").unionByName(spark.range(9).selectExpr("id", "cast(null as string) lang"))
+    picked = sampling.stratified(rows, "lang", "id", 300, 400)
+    by = {r.lang: r["count"] for r in picked.groupBy("lang").count().collect()}
+    assert picked.count() <= 400 and len(by) == 256 and None not in by
+    assert min(by["en"], by["fr"]) > 40 and sum(n for x, n in by.items() if x[0] == "x") == 254  # frequent ones get what rare ones leave
+    assert sampling.stratified(rows, "lang", "id", 300, 400, labels=2).select("lang").distinct().count() == 2
+    assert 98 <= sampling.stratified(rows, "lang", "id", 300, 100).select("lang").distinct().count() <= 100  # at most as many values as rows; of two a row or none
+    assert sampling.stratified(rows.limit(0), "lang", "id", 300, 400).isEmpty()
+
+
 # ---- fingerprints
 
 
