@@ -8,9 +8,10 @@ lets some strangers pass and misses none. The joins and counts that follow stay
 from __future__ import annotations
 
 import math
-import struct
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,12 @@ UNKNOWN = 1 << 60
 EXACT = 20_000
 #: Bits of a filter for each key, rounded up to a power of two, and the most of all (8 MB).
 BITS_PER_KEY, MOST_BITS = 16, 1 << 26
+#: A store of less than so many bytes for each key of the batch has few more rows than the batch:
+#: a filter would let most of it pass.
+BYTES_PER_KEY = 16
+#: Beyond so many keys a filter of MOST_BITS lets more than a sixth of all strangers pass; such a
+#: batch is not small beside any store.
+MOST_KEYS = MOST_BITS // 4
 #: Seeds of the places that a key has in a filter.
 _SEEDS = (11, 23, 37, 53)
 
@@ -33,16 +40,16 @@ def _place(seed: int, by: list[str], bits: int) -> Column:
 def bloom(keys: DataFrame, by: list[str], n: int) -> Column:
     """A condition on the columns `by`: true for all of the n `keys`, and for few others. The
     filter is put together on the executors as words of bits; these come to the driver, at most
-    MOST_BITS whatever the number of keys, and stand in the plan as one literal."""
+    MOST_BITS whatever the number of keys, and are the value of a scalar subquery: a literal would
+    be printed in hexadecimal, four times, wherever Spark tells a plan."""
     bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_PER_KEY * n - 1).bit_length()))
     places = keys.select(F.explode(F.array(*[_place(s, by, bits) for s in _SEEDS])).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))
     words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(bit).alias("set"))
-    raw = bytearray(bits // 8)
+    raw = np.zeros(bits // 32, "<u4")
     for batch in words.toArrow().to_batches():
-        for at, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            struct.pack_into("<I", raw, at * 4, value)
-    held = F.lit(bytes(raw))
+        raw[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).astype("<u4")
+    held = keys.sparkSession.createDataFrame(pa.table({"bits": [raw.tobytes()]})).scalar()
 
     def there(seed: int) -> Column:
         at = _place(seed, by, bits)
@@ -54,17 +61,30 @@ def bloom(keys: DataFrame, by: list[str], n: int) -> Column:
 
 def _size(df: DataFrame) -> float:
     """Bytes, as Spark estimates them; estimates of joins can have thousands of digits."""
+    return _bytes(df._jdf.queryExecution().optimizedPlan())
+
+
+def _bytes(plan) -> float:
     try:
-        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return plan.stats().sizeInBytes()
     except ValueError:
         return math.inf
 
 
+def _read(df: DataFrame) -> float:
+    """Bytes of what it is made from, which tells more of a join than the product of both sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(_bytes(leaves.apply(i)) for i in range(leaves.size()))
+
+
 def meeting(stored: DataFrame, batch: DataFrame, by: list[str]) -> DataFrame:
     """Rows of `stored` whose `by`, none of them null, may be in `batch`; all that are. The batch is
     read twice, so it should be written or cheap."""
-    if not SMALL <= _size(stored) < UNKNOWN:
+    size = _size(stored)
+    if not SMALL <= size < UNKNOWN or (read := min(size, _read(stored))) < SMALL:
         return stored
     keys = batch.select(*by).dropna()
     n = keys.count()  # with repeats, which only makes the filter larger
-    return stored.join(F.broadcast(keys), by, "left_semi") if n <= EXACT else stored.where(bloom(keys, by, n))
+    if n <= EXACT:
+        return stored.join(F.broadcast(keys), by, "left_semi")
+    return stored if n > min(MOST_KEYS, read / BYTES_PER_KEY) else stored.where(bloom(keys, by, n))

@@ -97,3 +97,23 @@ def test_ids_are_found_through_redirects(spark, store, large):
     closure = spark.createDataFrame([("isrc", "old", "v7"), ("isrc", "gone", "nowhere")], "namespace string, source_value string, target_value string")
     claims = spark.createDataFrame([("a", "recording", 0, "isrc", "old"), ("b", "recording", 0, "isrc", "gone"), ("c", "recording", 0, "isrc", "v8")], "claim_id string, entity_type string, pos int, namespace string, value string")
     assert {r.claim_id: r.entity_id for r in R.by_external_id(claims, store["ids"], closure).collect()} == {"a": "t7", "c": "t8"}
+
+
+def test_a_filter_is_no_part_of_the_plan_that_is_told(spark, store, large):
+    """21,000 keys make a filter of 64 KB, which was printed four times in hexadecimal."""
+    some = store["sidecar"].where("cast(substr(key, 2) as int) < 21000")
+    got = prune.meeting(store["sidecar"], some, ["entity_type", "key"])
+    assert "scalar-subquery" in (told := got._jdf.queryExecution().toString())
+    assert len(told) < 50_000
+    assert 21_000 <= got.count() < 30_000
+
+
+def test_a_batch_as_large_as_the_store_makes_no_filter(spark, store, large):
+    assert prune.meeting(store["ids"], store["ids"], ["value"]) is store["ids"]
+
+
+def test_too_many_keys_make_no_filter(spark, store, large, monkeypatch):
+    monkeypatch.setattr(prune, "EXACT", 10)
+    monkeypatch.setattr(prune, "MOST_KEYS", 99)
+    assert prune.meeting(store["ids"], store["ids"].limit(99), ["value"]) is not store["ids"]
+    assert prune.meeting(store["ids"], store["ids"].limit(100), ["value"]) is store["ids"]
