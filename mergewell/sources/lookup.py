@@ -6,7 +6,7 @@ are part of the lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergewell.functions.text import normalize_title
@@ -31,9 +31,19 @@ def search(requests: DataFrame, rows: DataFrame, limit: int = SEARCH_LIMIT) -> D
     """Requests (request_id, title, artist) with the rows (mbid, title, artist) of the same title
     and artist, the first by id; a blank title finds nothing, a blank artist any artist."""
     ask = requests.select("request_id", normalize_title(F.col("title")).alias("_t"), normalize_title(F.col("artist")).alias("_a")).where("_t <> ''")
-    held = rows.select("*", normalize_title(F.col("title")).alias("_t"), normalize_title(F.col("artist")).alias("_ra"))
-    met = ask.join(held, "_t").where("_a is null or _a = '' or _a = _ra")
-    return top(met.drop("_t", "_a", "_ra"), limit)
+    held = rows.select("*", normalize_title(F.col("title")).alias("_t"), normalize_title(F.col("artist")).alias("_ra")).where("_t <> ''")
+    # However many rows a title has, requests meet the first of them alone.
+    anyone = F.col("_a").isNull() | (F.col("_a") == "")
+    by_title = ask.where(anyone).drop("_a").join(_first(held, ["_t"], rows.columns, limit).drop("_ra"), "_t")
+    by_both = ask.where(~anyone).join(_first(held.where("_ra is not null"), ["_t", "_ra"], rows.columns, limit).withColumnRenamed("_ra", "_a"), ["_t", "_a"])
+    return top(by_title.unionByName(by_both.drop("_a")).drop("_t"), limit)
+
+
+def _first(held: DataFrame, by: list[str], cols: list[str], limit: int) -> DataFrame:
+    """The first `limit` different rows of each group, in the order that `top` has."""
+    order = ["mbid", *[c for c in cols if c != "mbid"]]
+    ranked = held.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= limit)
+    return ranked.drop("_n").distinct()
 
 
 def browse(requests: DataFrame, rows: DataFrame, by: str, limit: int = BROWSE_LIMIT) -> DataFrame:

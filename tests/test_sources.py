@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from mergewell.sources import lookup, payloads
 from mergewell.sources.translate import release_graph
@@ -82,3 +83,33 @@ def test_a_provider_may_ask_for_a_wait():
         return "ok"
 
     assert retrying(call, waits.append, lambda: 0.5) == "ok" and waits == [7.0, 1.5, 60.0]
+
+
+def joined(df):
+    """Rows that the joins of a query make."""
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if "QueryStageExec" in name:
+            return walk(plan.plan())
+        kids = plan.children()
+        return (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0) + sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_requests_meet_only_the_first_rows_of_a_frequent_title(spark):
+    k = F.col("id")
+    rows = spark.range(2000).select(F.lpad(k.cast("string"), 5, "0").alias("mbid"), F.lit("Intro").alias("title"), F.when(k % 4 > 0, F.concat(F.lit("A"), (k % 4).cast("string"))).alias("artist"))
+    rows = rows.unionByName(rows)  # equal rows count once
+    asked = spark.range(600).select(k.alias("request_id"), F.lit("intro").alias("title"), F.when(k % 3 == 0, "a2").when(k % 3 == 1, " ").alias("artist"))
+    found = lookup.search(asked, rows)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.request_id % 3, set()).add((r.ord, r.mbid))
+    first = {(i, f"{i:05}") for i in range(5)}
+    assert got == {0: {(i, f"{4 * i + 2:05}") for i in range(5)}, 1: first, 2: first}
+    assert joined(found) <= 5 * 600
