@@ -35,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergewell.llm import membership, shared, vec
@@ -229,19 +229,20 @@ def propose(nodes: DataFrame, runs: int, similarity: float = SIMILARITY) -> Data
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), *[F.get("keys", r * DEPTH + d).alias(f"k{d}") for d in range(DEPTH)]))
     rest = nodes.select("node", F.explode(path).alias("k")).select("node", "k.*")
-    leaves = []
-    for d in range(DEPTH):
-        sizes = rest.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1")
-        # The other key makes Spark deal out both sides for this join alone, so that it can split
-        # the bucket of a group that holds a large share of all nodes.
-        other = F.col(f"k{d}").bitwiseXOR(F.lit(_REKEY)).alias("rekeyed")
-        met = rest.withColumn("rekeyed", other).join(sizes.select(other, "size"), "rekeyed")
-        leaves.append(met.where(F.col("size") <= SMALL).select(F.col(f"k{d}").alias("leaf"), "node"))
-        large = met.where(F.col("size") > SMALL)
-        rest = large.select("node", "run", f"k{d}", *[f"k{e}" for e in range(d + 1, DEPTH)])
+    # All levels at once: paths are counted, and the counts of a path's beginnings added up.
+    begins = lambda d: [f"k{e}" for e in range(d + 1)]
+    sizes = {f"size{d}": F.sum("n").over(Window.partitionBy(*begins(d))) for d in range(DEPTH)}
+    counted = rest.groupBy(*begins(DEPTH - 1)).agg(F.count("*").alias("n")).withColumns(sizes).where("size0 > 1")
+    # The other key makes Spark deal out both sides for this join alone, so that it can split
+    # the bucket of a group that holds a large share of all nodes.
+    other = F.col(f"k{DEPTH - 1}").bitwiseXOR(F.lit(_REKEY)).alias("rekeyed")
+    met = rest.withColumn("rekeyed", other).join(counted.select("k0", other, *sizes), ["k0", "rekeyed"])
+    leaf = F.coalesce(*[F.when(F.col(f"size{d}") <= SMALL, F.struct(F.col(f"k{d}").alias("key"), F.col(f"size{d}").alias("size"))) for d in range(DEPTH)])
+    leaves = met.select(leaf.alias("leaf"), "node").where("leaf.size > 1").select(F.col("leaf.key").alias("leaf"), "node")
+    rest = met.where(F.col(f"size{DEPTH - 1}") > SMALL)
     sketches = nodes.select("node", "sketch")
     open_, _ = shared.table(rest.select(F.col(f"k{DEPTH - 1}").alias("bucket"), "run", "node").join(sketches, "node").select("bucket", "run", "node", "sketch"))
-    met = leaves[0].union(leaves[1]).union(leaves[2]).join(sketches, "node").select("leaf", "node", "sketch")
+    met = leaves.join(sketches, "node").select("leaf", "node", "sketch")
     ties = None
     # After SKETCH levels members of a bucket have equal sketches, so there are no more levels.
     for level in range(SKETCH + 1):

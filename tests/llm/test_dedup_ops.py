@@ -221,3 +221,22 @@ def test_pipeline_without_languages_rejects_texts_without_letters_alone(spark, d
     rows = [(1, prose(8100, 20)), (2, "12 34 !!"), (3, None), (4, "12 \u00e9"), (5, "")]
     unknown = docs(rows).withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r.doc_id for r in c.identify_language(spark, unknown, "").collect()) == [1, 4]
+
+
+def test_a_path_meets_its_sizes_once(spark):
+    """Nodes of one large bucket at all levels: a row a node and run, not one for each level."""
+    n, runs = 300, 2
+    rows = [(i, bytes(128), [1, 2, 3 + i % 2, 4, 5, 6]) for i in range(n)]
+    df = jaccard_join.propose(spark.createDataFrame(rows, "node long, sketch binary, keys array<long>"), runs)
+    df.collect()
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if "QueryStageExec" in name:
+            return walk(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in name and "rekeyed" in plan.simpleString(100) else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    assert 0 < walk(df._jdf.queryExecution().executedPlan()) <= n * runs
