@@ -226,7 +226,7 @@ def test_pipeline_without_languages_rejects_texts_without_letters_alone(spark, d
 def test_a_path_meets_its_sizes_once(spark):
     """Nodes of one large bucket at all levels: a row a node and run, not one for each level."""
     n, runs = 300, 2
-    rows = [(i, bytes(128), [1, 2, 3 + i % 2, 4, 5, 6]) for i in range(n)]
+    rows = [(i, bytes([1, 0]) * 64, [1, 2, 10 + i % 2, 4, 5, 20 + i % 2]) for i in range(n)]
     df = jaccard_join.propose(spark.createDataFrame(rows, "node long, sketch binary, keys array<long>"), runs)
     df.collect()
 
