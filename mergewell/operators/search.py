@@ -7,12 +7,21 @@ request's features, rarest first, are looked up only as long as those that are l
 reach it, so frequent ones lead to no rows. Titles are looked up or artists, whichever are rarer
 in a request. Equal requests are answered once, and rows of equal title and artist are one entry
 with its first ids.
+
+Entries are dealt into blocks of bounded size. A request goes to the blocks that hold one of the
+features it looks up; there it is weighed against the block's distinct titles and artists through
+postings, and its best entries alone leave the block. So what moves is requests by blocks, also
+where few words make up all titles and nearly every entry shares half of every request.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +29,23 @@ from mergewell.functions.text import normalize_text
 from mergewell.operators.cut import checkpointed
 
 LIMIT, SHARE, DEPTH = 5, 50, 100
+#: Entries of a block, and the most requests that meet it in one task.
+ENTRIES, REQUESTS = 1 << 15, 1 << 15
 _KEY = ("title", "artist")
 
 
 @dataclass
 class Index:
-    """`entries` (title, artist, ids, features and weight of each), `postings` (field, feature,
-    title, artist), `weights` (field, feature, df, w) and the number of entries."""
+    """`entries` (title, artist, ids, features and weight of each, block), `postings` (field, feature,
+    title, artist), `weights` (field, feature, df, w), `places` (field, feature, block), the number
+    of entries and of blocks."""
 
     entries: DataFrame
     postings: DataFrame
     weights: DataFrame
+    places: DataFrame
     n: int
+    blocks: int
     depth: int
 
 
@@ -48,15 +62,92 @@ def weight(df: Column, n: int) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(1000 * F.log(F.lit(float(n + 1)) / (df + F.lit(0.5)))))
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
+def _exploded(rows: DataFrame, *more: str) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_features").alias("features")) for f in _KEY])
-    return rows.select(*_KEY, F.explode(fields).alias("x")).select(*_KEY, "x.field", F.explode("x.features").alias("feature"))
-
-
-def _shared(asked: Column, held: Column) -> Column:
-    """Weight of the asked features (feature, w) that are held."""
-    both = F.filter(asked, lambda x: F.array_contains(held, x["feature"]))
-    return F.aggregate(both, F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
+    return rows.select(*_KEY, *more, F.explode(fields).alias("x")).select(*_KEY, *more, "x.field", F.explode("x.features").alias("feature"))
+
+
+class _Held:
+    """The distinct titles or artists of a block, with postings of their features."""
+
+    def __init__(self, texts: pa.Array, features: pa.Array, weight: np.ndarray) -> None:
+        self.of = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # by entry
+        _, first = np.unique(self.of, return_index=True)
+        own, self.n, self.weight = features.take(pa.array(first)), len(first), weight[first]
+        flat = own.flatten()
+        self.names = flat.unique()
+        at = pc.index_in(flat, self.names).to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), own.value_lengths().to_numpy(zero_copy_only=False))[order]
+        self.start = np.searchsorted(at[order], np.arange(len(self.names) + 1))
+
+    def met(self, at: np.ndarray, w: np.ndarray, lead: np.ndarray, total: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """(texts that share enough with a request of features `at`, -1 if none has them, parts of
+        the score): the leading features name them, the others are added where they are met."""
+        got = np.zeros(self.n, np.int64)
+        known = at >= 0
+        for f, x in zip(at[known & lead].tolist(), w[known & lead].tolist(), strict=True):
+            got[self.owner[self.start[f] : self.start[f + 1]]] += x
+        found = np.flatnonzero(got)
+        for f, x in zip(at[known & ~lead].tolist(), w[known & ~lead].tolist(), strict=True):
+            post = self.owner[self.start[f] : self.start[f + 1]]
+            if len(post) > 8 * len(found):
+                spot = np.minimum(np.searchsorted(post, found), len(post) - 1)
+                post = found[post[spot] == found]
+            got[post] += x
+        found = found[got[found] * 100 >= total * share]
+        return found, 2000 * got[found] // (total + self.weight[found])
+
+
+class _Asked:
+    """The asked features of requests, as they stand in a block."""
+
+    def __init__(self, lists: pa.Array, held: _Held) -> None:
+        flat = lists.flatten()
+        self.at = pc.fill_null(pc.index_in(flat.field("feature"), held.names), -1).to_numpy(zero_copy_only=False)
+        self.w, self.lead = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("w", "lead"))
+        self.start = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = slice(self.start[i], self.start[i + 1])
+        return self.at[own], self.w[own], self.lead[own]
+
+
+def _best(requests: pa.Table, entries: pa.Table, share: int, reach: int) -> pa.Table:
+    """The best `reach` entries of a block for each of the requests, by score, then first id."""
+    n = len(entries)
+    col = lambda t, c: pa.concat_arrays(t.column(c).chunks) if t.column(c).num_chunks else pa.array([], t.schema.field(c).type)
+    requests = requests.sort_by("q_title")  # equal titles are weighed once
+    num = lambda t, c: col(t, c).to_numpy(zero_copy_only=False)
+    title, artist = (_Held(col(entries, f), col(entries, f"{f}_features"), num(entries, f"{f}_weight")) for f in _KEY)
+    asked, by = _Asked(col(requests, "title_asked"), title), _Asked(col(requests, "artist_asked"), artist)
+    totals, artist_totals = num(requests, "title_total"), num(requests, "artist_total")
+    later = n - 1 - np.argsort(pc.sort_indices(col(entries, "first")).to_numpy(zero_copy_only=False))  # larger for smaller ids
+    order = np.argsort(title.of, kind="stable")
+    start = np.searchsorted(title.of[order], np.arange(title.n + 1))
+    artists: dict[str, np.ndarray] = {}
+    last, rows, part, out = None, None, None, []
+    for i, (q, a) in enumerate(zip(requests.column("q_title").to_pylist(), requests.column("q_artist").to_pylist(), strict=True)):
+        if q != last:
+            found, each = title.met(*asked.of(i), totals[i], share)
+            size = start[found + 1] - start[found]
+            rows = order[np.arange(size.sum()) + np.repeat(start[found] - (np.cumsum(size) - size), size)]
+            last, part = q, np.repeat(each, size)
+        at, score = rows, part
+        if artist_totals[i] > 0:
+            if a not in artists:
+                artists[a] = np.full(artist.n, -1, np.int64)
+                found, each = artist.met(*by.of(i), artist_totals[i], share)
+                artists[a][found] = each
+            more = artists[a][artist.of[at]]
+            at, score = at[more >= 0], (score + more)[more >= 0]
+        if len(at):
+            key = score * n + later[at]
+            top = np.argpartition(key, len(key) - reach)[-reach:] if len(key) > reach else np.arange(len(key))
+            out.append((np.full(len(top), i), at[top], score[top]))
+    q, e, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    asks, hits = requests.select(["q_title", "q_artist"]).take(pa.array(q)), entries.select([*_KEY, "first"]).take(pa.array(e))
+    return pa.table([*asks.columns, *hits.columns, pa.array(score)], names=["q_title", "q_artist", *_KEY, "first", "score"])
 
 
 def build(rows: DataFrame, id_col: str = "mbid", depth: int = DEPTH) -> Index:
@@ -67,11 +158,14 @@ def build(rows: DataFrame, id_col: str = "mbid", depth: int = DEPTH) -> Index:
     entries = first.groupBy(*_KEY).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = checkpointed(entries.withColumns({f"{f}_features": features(F.col(f)) for f in _KEY}))
     n = entries.count()
+    blocks = max(1, math.ceil(n / ENTRIES))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64(*_KEY), F.lit(blocks)).cast("int"))
     postings = _exploded(entries)
     weights = checkpointed(postings.groupBy("field", "feature").agg(F.count("*").alias("df")).withColumn("w", weight(F.col("df"), n)))
     totals = [F.coalesce(F.sum(F.when(F.col("field") == f, F.col("w"))), F.lit(0)).alias(f"{f}_weight") for f in _KEY]
     weighed = entries.join(postings.join(weights, ["field", "feature"]).groupBy(*_KEY).agg(*totals), list(_KEY))
-    return Index(checkpointed(weighed), postings, weights, n, depth)
+    places = checkpointed(_exploded(entries, "block").select("field", "feature", "block").distinct())
+    return Index(checkpointed(weighed), postings, weights, places, n, blocks, depth)
 
 
 def find(requests: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0, share: int = SHARE) -> DataFrame:
@@ -91,7 +185,7 @@ def find(requests: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0,
     rest = F.sum("w").over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     led = checkpointed(known.withColumns({"total": F.sum("w").over(own), "lead": rest * 100 >= F.sum("w").over(own) * share}))
     of = lambda f, what: F.when(F.col("field") == f, what)
-    pair = F.struct("feature", "w")
+    pair = F.struct("feature", "w", "lead")
     whole = led.groupBy(*_KEY).agg(
         *[F.collect_list(of(f, pair)).alias(f"{f}_asked") for f in _KEY],
         *[F.coalesce(F.max(of(f, F.col("total"))), F.lit(0)).alias(f"{f}_total") for f in _KEY],
@@ -100,13 +194,18 @@ def find(requests: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0,
     whole = checkpointed(whole.drop("title_cost", "artist_cost"))
     named = {f: f"q_{f}" for f in _KEY}
     chosen = led.where("lead").join(whole.select(*_KEY, F.col("by").alias("field")), [*_KEY, "field"]).select("field", "feature", *[F.col(f).alias(q) for f, q in named.items()])
-    pairs = chosen.join(index.postings, ["field", "feature"]).select(*named.values(), *_KEY).distinct()
-    met = pairs.join(whole.withColumnsRenamed(named), list(named.values())).join(index.entries, list(_KEY))
-    for f in _KEY:
-        met = met.withColumn(f"{f}_shared", _shared(F.col(f"{f}_asked"), F.col(f"{f}_features"))).where(F.col(f"{f}_shared") * 100 >= F.col(f"{f}_total") * share)
-    part = lambda f: F.when(F.col(f"{f}_total") > 0, F.floor(2000 * F.col(f"{f}_shared") / (F.col(f"{f}_total") + F.col(f"{f}_weight")))).otherwise(0)
-    scored = met.select(*named.values(), (part("title") + part("artist")).cast("long").alias("score"), "ids")
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*named.values()).orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("_n") <= reach)
+    sent = chosen.join(index.places, ["field", "feature"]).select(*named.values(), "block").distinct()
+    # Requests are dealt finely enough for all tasks, and never more of them than one task holds.
+    parts = max(math.ceil(whole.count() / REQUESTS), math.ceil(2 * asked.sparkSession.sparkContext.defaultParallelism / index.blocks))
+    dealt = F.pmod(F.xxhash64(F.lit(7), *named.values()), F.lit(parts)).cast("int")
+    sent = checkpointed(sent.join(whole.drop("by").withColumnsRenamed(named), list(named.values())).withColumn("part", dealt))
+    goals = sent.select(F.col("block").alias("to_block"), F.col("part").alias("to_part")).distinct()
+    held = index.entries.join(F.broadcast(goals), F.col("block") == F.col("to_block")).select("to_block", "to_part", *_KEY, *[f"{f}_{x}" for f in _KEY for x in ("features", "weight")], F.col("ids")[0].alias("first"))
+    kind = held.schema["first"].dataType.simpleString()
+    together = sent.groupBy("block", "part").cogroup(held.groupBy("to_block", "to_part"))
+    scored = together.applyInArrow(lambda left, right: _best(left, right, share, reach), f"q_title string, q_artist string, title string, artist string, first {kind}, score long")
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*named.values()).orderBy(F.desc("score"), "first"))).where(F.col("_n") <= reach)
+    best = best.join(index.entries.select(*_KEY, "ids"), list(_KEY))
     rows = best.select(*named.values(), "score", F.explode(F.slice("ids", 1, reach)).alias("id"))
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*named.values()).orderBy(F.desc("score"), "id"))).where(f"_n > {offset} and _n <= {reach}")
     answers = ranked.select(*[F.col(q).alias(f) for f, q in named.items()], (F.col("_n") - 1 - offset).alias("ord"), "id", "score")

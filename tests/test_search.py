@@ -8,6 +8,7 @@ import pytest
 
 from mergewell.functions.text import normalize_one
 from mergewell.operators import search as S
+from tests.test_sources import joined
 
 ROWS = "mbid string, title string, artist string"
 ASKED = "request_id long, title string, artist string"
@@ -91,6 +92,20 @@ def test_frequent_features_lead_nowhere(spark):
     assert sorted(tuple(r) for r in got) == model([(1, "the record 01234", None)], rows)
 
 
+def test_titles_of_few_words_meet_in_blocks(spark, monkeypatch):
+    """Nearly every entry shares half of every request, and no join makes these pairs."""
+    first, second = "large small hot cold".split(), "ring bolt plate".split()
+    rows = [(f"m{i:04}", f"{first[i % 4]} {second[i % 3]} {i % 50}", [None, "Brand 1", "Brand 22"][i % 7 % 3]) for i in range(900)]
+    asked = [(i, f"{first[i % 4]} {second[i % 3]}" + f" {i % 41}" * (i % 2), [None, "brand 1", "brand"][i % 5 % 3]) for i in range(0, 600, 2)]
+    asked += [(i, f"{second[i % 3]} {first[i % 4]} {i % 60}", "brand 22") for i in range(1001, 1200)]
+    monkeypatch.setattr(S, "ENTRIES", 200)
+    index = S.build(spark.createDataFrame(rows, ROWS))
+    assert index.blocks > 2
+    got = S.find(spark.createDataFrame(asked, ASKED), index, limit=4, offset=1)
+    assert sorted(tuple(r) for r in got.collect()) == model(asked, rows, 4, 1)
+    assert joined(got) <= len(asked) * 5 * (index.blocks + 2)
+
+
 def test_nothing_to_find(spark):
     assert found(spark, [(1, "a", None)], []) == []
     assert found(spark, [], [("m", "a", None)]) == []
