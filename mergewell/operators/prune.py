@@ -21,42 +21,43 @@ SMALL = 16 << 20
 UNKNOWN = 1 << 60
 #: Keys that are broadcast as they are; a key is some 100 bytes.
 EXACT = 20_000
-#: Bits of a filter for each key, rounded up to a power of two, and the most of all (8 MB).
-BITS_PER_KEY, MOST_BITS = 16, 1 << 26
+#: Bits of a filter for each key, rounded up to a power of two, and the most of all (2 MB): a filter
+#: is part of every task that reads the store, and the driver holds some copies of it.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 24
 #: A store of less than so many bytes for each key of the batch has few more rows than the batch:
-#: a filter would let most of it pass.
-BYTES_PER_KEY = 16
-#: Beyond so many keys a filter of MOST_BITS lets more than a sixth of all strangers pass; such a
+#: a filter would let most of it pass. From MANY keys on a filter is large, and so must the store be.
+BYTES_PER_KEY, MANY, BYTES_PER_KEY_OF_MANY = 16, 1 << 18, 256
+#: Beyond so many keys a filter of MOST_BITS lets more than a fifth of all strangers pass; such a
 #: batch is not small beside any store.
 MOST_KEYS = MOST_BITS // 4
-#: Seeds of the places that a key has in a filter.
-_SEEDS = (11, 23, 37, 53)
+#: Bits that a key sets in its word of 64.
+_SET = 5
 
 
-def _place(seed: int, by: list[str], bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(bits))
+def _word(by: list[str], words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), *by), F.lit(words)).cast("int")
+
+
+def _mask(by: list[str]) -> Column:
+    h = F.xxhash64(F.lit(23), *by)
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * i), F.lit(64)).cast("int"))
+    return reduce(Column.bitwiseOR, map(one, range(_SET)))
 
 
 def bloom(keys: DataFrame, by: list[str], n: int) -> Column:
-    """A condition on the columns `by`: true for all of the n `keys`, and for few others. The
-    filter is put together on the executors as words of bits; these come to the driver, at most
-    MOST_BITS whatever the number of keys, and are the value of a scalar subquery: a literal would
-    be printed in hexadecimal, four times, wherever Spark tells a plan."""
-    bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_PER_KEY * n - 1).bit_length()))
-    places = keys.select(F.explode(F.array(*[_place(s, by, bits) for s in _SEEDS])).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))
-    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(bit).alias("set"))
-    raw = np.zeros(bits // 32, "<u4")
-    for batch in words.toArrow().to_batches():
-        raw[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).astype("<u4")
-    held = keys.sparkSession.createDataFrame(pa.table({"bits": [raw.tobytes()]})).scalar()
-
-    def there(seed: int) -> Column:
-        at = _place(seed, by, bits)
-        byte = F.conv(F.hex(F.substr(held, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.pmod(F.call_function("shiftright", byte, (at % 8).cast("int")), F.lit(2)) == 1
-
-    return reduce(Column.__and__, map(there, _SEEDS))
+    """A condition on the columns `by`: true for all of the n `keys`, and for few others. A key has
+    a few bits in one word, so that the filter stands in the condition once. It is put together on
+    the executors as words of bits; these come to the driver, at most MOST_BITS whatever the number
+    of keys, and are the value of a scalar subquery: a literal would be printed in hexadecimal
+    wherever Spark tells a plan."""
+    words = min(MOST_BITS, max(1 << 10, 1 << (BITS_PER_KEY * n - 1).bit_length())) // 64
+    held = keys.groupBy(_word(by, words).alias("word")).agg(F.bit_or(_mask(by)).alias("set"))
+    raw = np.zeros(words, ">i8")
+    for batch in held.toArrow().to_batches():
+        raw[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).astype(">i8")
+    bits = keys.sparkSession.createDataFrame(pa.table({"bits": [raw.tobytes()]})).scalar()
+    own = F.conv(F.hex(F.substr(bits, _word(by, words) * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return own.bitwiseAND(_mask(by)) == _mask(by)
 
 
 def _size(df: DataFrame) -> float:
@@ -87,4 +88,5 @@ def meeting(stored: DataFrame, batch: DataFrame, by: list[str]) -> DataFrame:
     n = keys.count()  # with repeats, which only makes the filter larger
     if n <= EXACT:
         return stored.join(F.broadcast(keys), by, "left_semi")
-    return stored if n > min(MOST_KEYS, read / BYTES_PER_KEY) else stored.where(bloom(keys, by, n))
+    few = read / (BYTES_PER_KEY if n < MANY else BYTES_PER_KEY_OF_MANY)
+    return stored if n > min(MOST_KEYS, few) else stored.where(bloom(keys, by, n))

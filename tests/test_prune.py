@@ -117,3 +117,19 @@ def test_too_many_keys_make_no_filter(spark, store, large, monkeypatch):
     monkeypatch.setattr(prune, "MOST_KEYS", 99)
     assert prune.meeting(store["ids"], store["ids"].limit(99), ["value"]) is not store["ids"]
     assert prune.meeting(store["ids"], store["ids"].limit(100), ["value"]) is store["ids"]
+
+
+def test_a_filter_stands_once_in_the_plan(spark, store, large, monkeypatch):
+    """Every place of it is a copy in each task and on the driver."""
+    monkeypatch.setattr(prune, "EXACT", 10)
+    got = prune.meeting(store["ids"], store["ids"].limit(99), ["value"])
+    told = got._jdf.queryExecution().optimizedPlan().toString()
+    assert next(line for line in told.splitlines() if "Filter" in line).count("scalar-subquery") == 1
+
+
+def test_many_keys_make_a_filter_only_for_a_much_larger_store(spark, store, large, monkeypatch):
+    monkeypatch.setattr(prune, "EXACT", 10)
+    some = store["ids"].limit(20_000)
+    assert prune.meeting(store["ids"], some, ["value"]) is not store["ids"]
+    monkeypatch.setattr(prune, "MANY", 20_000)
+    assert prune.meeting(store["ids"], some, ["value"]) is store["ids"]
