@@ -315,10 +315,11 @@ def _codec(key: str, ranks: dict[bytes, int]) -> Codec:
     return _state["codec"]
 
 
-def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Columns `id_col`, `ids` (array of int) and, if asked for, `decoded` (binary: the ids
     turned back into bytes through the vocabulary). One narrow stage, no shuffle; the rank
-    file is read on the driver and broadcast (its size does not depend on the data).
+    file is read on the driver and broadcast (its size does not depend on the data). A worker
+    cuts `slice_bytes` of text at a time; less takes less memory and more time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -326,7 +327,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         codec = _codec(rank_path, shared.value)
         for batch in batches:
-            for part in vec.slices(batch, "text", SLICE_BYTES):
+            for part in vec.slices(batch, "text", slice_bytes):
                 data, off = vec.valid_utf8(*vec.text_bytes(part.column(1)))
                 ids, rows = codec.encode(data, off)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))]

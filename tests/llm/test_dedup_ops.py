@@ -205,6 +205,24 @@ def test_pipeline(spark, docs, corpus, prose, tmp_path):
     assert [len(s) for s in c.STAGES] == [2] * 5
 
 
+def test_pipeline_sends_small_batches_to_workers(spark, docs, prose, monkeypatch):
+    import corpus_pipeline as c
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(c, "SLICE_BYTES", 50, raising=False)  # a text a slice
+    rows = docs([(i, prose(i, 40)) for i in range(30)])
+    spark.conf.unset(key)
+    try:
+        small = sorted(tuple(r) for r in c.encode(spark, rows, "").collect())
+        assert int(spark.conf.get(key)) == c.BATCH_ROWS < 10_000
+        spark.conf.set(key, 7)
+        monkeypatch.undo()
+        assert sorted(tuple(r) for r in c.encode(spark, rows, "").collect()) == small
+        assert int(spark.conf.get(key)) == 7
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_keeps_one_row_of_a_class(spark, docs, prose):
     import corpus_pipeline as c
 
