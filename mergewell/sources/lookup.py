@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergewell.functions.text import normalize_title
+from mergewell.operators.cut import checkpointed
 from mergewell.operators.keys import first_in_window
+from mergewell.operators.prune import meeting
 
 SEARCH_LIMIT, BROWSE_LIMIT = 5, 25
 
@@ -66,9 +68,20 @@ def release_candidates(recordings: DataFrame, known: DataFrame, listed: DataFram
     asked = recordings.withColumnRenamed("recording_id", "request_id")
     hit = by_id(asked.select("request_id", "mbid").where("mbid is not null"), known).where("found").select("request_id", F.col("resolved").alias("mbid"))
     rest = asked.join(hit.select("request_id"), "request_id", "left_anti")
-    found = search(rest.select("request_id", "title", "artist"), known).select("request_id", "mbid")
-    every = hit.unionByName(found).join(listed, "mbid").withColumnRenamed("request_id", "recording_id")
-    return first_in_window(every, ["recording_id", "release_mbid"], ["pos", "mbid"])
+    # Equal texts are looked up once.
+    text = rest.select("request_id", F.struct("title", F.coalesce("artist", F.lit("")).alias("artist")).alias("text"))
+    found = search(text.select(F.col("text").alias("request_id"), "text.title", "text.artist").distinct(), known)
+    found = text.join(found.select(F.col("request_id").alias("text"), "mbid"), "text").select("request_id", "mbid")
+    # Recordings that lead to the same ids share their releases, so what is put in order is each list
+    # once, not every recording with all of it; the rows of the result leave the last join as they are.
+    asks = hit.unionByName(found).groupBy(F.col("request_id").alias("recording_id")).agg(F.array_sort(F.collect_set("mbid")).alias("mbids"))
+    asks = checkpointed(asks)
+    once = first_in_window(listed.repartition("mbid"), ["mbid", "release_mbid"], ["pos"])
+    direct = asks.where(F.size("mbids") == 1).select("recording_id", F.col("mbids")[0].alias("mbid")).join(once, "mbid")
+    several = asks.where(F.size("mbids") > 1)
+    each = checkpointed(several.select("mbids").distinct().select("mbids", F.explode("mbids").alias("mbid")))
+    lists = first_in_window(each.join(meeting(listed, each, ["mbid"]), "mbid"), ["mbids", "release_mbid"], ["pos", "mbid"])
+    return direct.unionByName(several.join(lists, "mbids").drop("mbids"))
 
 
 def artist_names(releases: DataFrame) -> DataFrame:

@@ -28,6 +28,19 @@ def test_release_candidates_fall_back_to_search(spark):
     assert got == [("x", "rel1", "R1"), ("y", "rel2", "R2")]
 
 
+def test_recordings_of_equal_texts_share_their_releases(spark):
+    known = spark.createDataFrame([("m1", "Song", "A"), ("m2", "song", "A"), ("m3", "Else", "B")], "mbid string, title string, artist string")
+    listed = spark.createDataFrame([("m1", "rel1", "a", 3, 4), ("m2", "rel1", "b", 3, 2), ("m2", "rel2", "c", 1, 0), ("m3", "rel3", "d", 1, 9), ("m3", "rel1", "e", 1, 1)], "mbid string, release_mbid string, title string, track_count int, pos int")
+    recs = spark.createDataFrame([("x", None, "SONG", "A"), ("y", "gone", "Song", None), ("z", "m3", "Song", "A"), ("z", "m1", "Song", "A"), ("w", "m1", None, None)], "recording_id string, mbid string, title string, artist string")
+    df = lookup.release_candidates(recs, known, listed)
+    assert sorted((r.recording_id, r.release_mbid, r.mbid, r.title) for r in df.collect()) == [
+        ("w", "rel1", "m1", "a"), ("x", "rel1", "m2", "b"), ("x", "rel2", "m2", "c"), ("y", "rel1", "m2", "b"), ("y", "rel2", "m2", "c"), ("z", "rel1", "m3", "e"), ("z", "rel3", "m3", "d"),
+    ]
+    # Lists are put in order before recordings meet them, not once for each recording.
+    ordered = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert ordered and not any("recording_id" in line for line in ordered)
+
+
 def test_artist_names_keep_their_order(spark):
     df = spark.createDataFrame([("r", 2, "B"), ("r", 1, "A"), ("r", 3, "B"), ("r", 4, "C")], "release_id string, ord int, artist string")
     assert lookup.artist_names(df).first().artists == ["A", "B", "C"]
