@@ -88,6 +88,8 @@ def resolve_entities(claims: DataFrame, claim_ids: DataFrame, keys: DataFrame, e
     met = claims.select("claim_id", "entity_type").join(ext, "claim_id", "left").join(by_keys(keys, sidecar), "claim_id", "left")
     found = F.when(F.col("ext").isNotNull(), F.array("ext")).otherwise(F.coalesce("candidates", F.array().cast("array<string>")))
     met = met.select("claim_id", "entity_type", found.alias("candidate_ids"), F.when(F.col("ext").isNull(), F.col("matched_key")).alias("matched_key"), F.when(F.col("ext").isNotNull(), "external_id").when(F.size(found) > 0, "key").alias("match_kind"))
+    # Read several times below and again by what decides; a plan would hold all of the above each time.
+    met = checkpointed(met)
     pairs = met.select("claim_id", F.explode("candidate_ids").alias("entity_id"))
     bad = namespace_conflicts(claim_ids, pairs, external_ids, closure).withColumn("_conflict", F.lit(True))
     out, wrong = met.join(bad, "claim_id", "left"), F.lit(False)

@@ -114,6 +114,18 @@ def test_resolution_states(spark):
     assert told["d"] == ("conflict", "candidate_type_mismatch", None) and told["a"] == ("resolved", "exact_match", "E1") and told["b"][0] == "new"
 
 
+def test_decisions_do_not_plan_the_search_for_candidates_again(spark):
+    claims = spark.createDataFrame([("a", "recording"), ("b", "recording")], "claim_id string, entity_type string")
+    cid = spark.createDataFrame([("a", "recording", 0, "isrc", "1")], "claim_id string, entity_type string, pos int, namespace string, value string")
+    ext = spark.createDataFrame([("isrc", "1", "recording", "E1")], "namespace string, value string, owner_type string, owner_id string")
+    keys = spark.createDataFrame([("b", "recording", 0, "k1")], "claim_id string, entity_type string, key_ord int, key string")
+    side = spark.createDataFrame([("recording", "k1", "E1")], "entity_type string, key string, entity_id string")
+    red = spark.createDataFrame([], "namespace string, source_value string, target_value string")
+    decided = P.decide_entities(R.resolve_entities(claims, cid, keys, ext, red, side).withColumn("confidence", F.lit(None).cast("double")))
+    assert {r.claim_id: r.strategy for r in decided.collect()} == {"a": "merge", "b": "noop"}
+    assert "key_ord" not in decided._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_policy(spark):
     rows = [("b", "recording", "resolved", "T", None, "exact_match"), ("a", "recording", "resolved", "T", None, "exact_match"), ("c", "recording", "resolved", "T", 0.0, "exact_match"), ("d", "recording", "new", None, None, None), ("e", "recording", "ambiguous", None, None, "multiple_exact_matches")]
     df = spark.createDataFrame(rows, "claim_id string, entity_type string, status string, target_id string, confidence double, reason string").withColumn("candidate_ids", F.array(F.lit("x"), F.lit("x")))
