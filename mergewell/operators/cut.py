@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, without their lineage."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def collected(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. What plans of a long run leave behind else fills the heap
+    to its limit first, and shuffle files and checkpoints that nothing refers to stay as long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -80,23 +80,47 @@ class _Held:
         order = np.argsort(at, kind="stable")
         self.owner = np.repeat(np.arange(self.n), own.value_lengths().to_numpy(zero_copy_only=False))[order]
         self.start = np.searchsorted(at[order], np.arange(len(self.names) + 1))
+        self.got = np.zeros(self.n, np.int64)  # shared weight by text; zero again after each request
 
     def met(self, at: np.ndarray, w: np.ndarray, lead: np.ndarray, total: int, share: int) -> tuple[np.ndarray, np.ndarray]:
         """(texts that share enough with a request of features `at`, -1 if none has them, parts of
         the score): the leading features name them, the others are added where they are met."""
-        got = np.zeros(self.n, np.int64)
-        known = at >= 0
-        for f, x in zip(at[known & lead].tolist(), w[known & lead].tolist(), strict=True):
-            got[self.owner[self.start[f] : self.start[f + 1]]] += x
-        found = np.flatnonzero(got)
-        for f, x in zip(at[known & ~lead].tolist(), w[known & ~lead].tolist(), strict=True):
-            post = self.owner[self.start[f] : self.start[f + 1]]
-            if len(post) > 8 * len(found):
-                spot = np.minimum(np.searchsorted(post, found), len(post) - 1)
-                post = found[post[spot] == found]
+        got, known = self.got, at >= 0
+        posts = [self.owner[self.start[f] : self.start[f + 1]] for f in at[known & lead].tolist()]
+        for post, x in zip(posts, w[known & lead].tolist(), strict=True):
             got[post] += x
-        found = found[got[found] * 100 >= total * share]
-        return found, 2000 * got[found] // (total + self.weight[found])
+        rest = np.flatnonzero(known & ~lead)
+        if 8 * sum(map(len, posts)) >= self.n:
+            found = np.flatnonzero(got)
+            for f, x in zip(at[rest].tolist(), w[rest].tolist(), strict=True):
+                post = self.owner[self.start[f] : self.start[f + 1]]
+                if len(post) > 8 * len(found):
+                    spot = np.minimum(np.searchsorted(post, found), len(post) - 1)
+                    post = found[post[spot] == found]
+                got[post] += x
+            sums = got[found]
+            got[:] = 0
+        else:  # few of the block's texts: only those are looked at, as long as what is left can lift them to the floor
+            found = np.unique(np.concatenate(posts)) if posts else np.zeros(0, np.int64)
+            sums = got[found]
+            got[found] = 0
+            every = self.start[at[rest] + 1] - self.start[at[rest]] == self.n  # features of all texts of the block
+            sums += w[rest[every]].sum()
+            rest = rest[~every]
+            rest = rest[np.argsort(-w[rest])]
+            left = w[rest].sum()
+            for f, x in zip(at[rest].tolist(), w[rest].tolist(), strict=True):
+                if len(found) > 4:
+                    can = (sums + left) * 100 >= total * share
+                    found, sums = found[can], sums[can]
+                if not len(found):
+                    break
+                post = self.owner[self.start[f] : self.start[f + 1]]
+                sums[post[np.minimum(post.searchsorted(found), len(post) - 1)] == found] += x
+                left -= x
+        enough = sums * 100 >= total * share
+        found = found[enough]
+        return found, 2000 * sums[enough] // (total + self.weight[found])
 
 
 class _Asked:

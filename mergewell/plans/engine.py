@@ -237,7 +237,7 @@ def reconcile(claims: DataFrame, rels: DataFrame, state: State) -> Outcome:
     # Fresh endpoints are looked up among the batch's own edges, as they were before rewiring.
     fresh = rels.select("kind", F.col("src_claim_id").alias("src_id"), F.col("dst_claim_id").alias("dst_id"), F.col("rel_id").alias("edge_id"))
     known = fresh.unionByName(edges.select("kind", "src_id", "dst_id", "edge_id"))
-    ends = R.endpoints(wired, decided)
+    ends = D.checkpointed(R.endpoints(wired, decided))
     is_link = F.col("kind").isin(*schemas.LINKS)
     found = R.resolve_associations(ends.where(~is_link), known).withColumn("candidate_ids", F.array().cast("array<string>"))
     # A stored edge takes the payload that is given, where it differs.

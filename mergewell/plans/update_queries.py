@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergewell import schemas
-from mergewell.operators.cut import folder
+from mergewell.operators.cut import checkpointed, folder
 from mergewell.operators.persist import Store
 from mergewell.plans.catalogue import query, table
 from mergewell.plans.engine import State
@@ -48,7 +48,9 @@ def release_updates_in_order(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.concat(F.lit("g"), "k").alias("id"), F.col("s_name").alias("title")).alias("release-group"),
         F.array(F.struct(F.lit(1).alias("position"), F.array(track).alias("tracks"))).alias("media"),
     )).alias("json"))
-    graph = release_graph(landed.select(F.from_json("json", payloads.METADATA_RELEASE).alias("p")).select("p.*"))
+    # Parsed once, by as many tasks as there is text for: all frames of the graph are made from it.
+    parsed = checkpointed(landed.repartition("json").select(F.from_json("json", payloads.METADATA_RELEASE).alias("p")).select("p.*"))
+    graph = release_graph(parsed)
 
     store = Store(spark, f"{folder(spark)}/updates-{uuid.uuid4().hex}")
     empty = State.empty(spark)

@@ -24,7 +24,7 @@ from mergewell.operators import merge as M
 from mergewell.operators import persist as X
 from mergewell.operators import resolve as R
 from mergewell.operators import search as S
-from mergewell.operators.cut import checkpointed
+from mergewell.operators.cut import checkpointed, collected
 from mergewell.plans.engine import State, claim_keys, conform
 from mergewell.plans.workflows import release_claims, update_releases
 from mergewell.schemas import FACTS
@@ -88,11 +88,12 @@ def choose(local: DataFrame, state: State, landed: Landed) -> DataFrame:
     best of those of their recordings if it is sure, else the best of a search."""
     graph = landed.graph
     own = _ids(state, "release", "musicbrainz:release", "release_id").join(local.select("release_id"), "release_id").withColumn("ord", F.lit(0))
+    own = checkpointed(own)  # like the other sources it is read twice below, and the best of all again
 
     group = _ids(state, "release_set", "musicbrainz:release-group", "set_id").withColumnRenamed("mbid", "group")
     listed = graph["release_set"].select(F.col("mbid").alias("group"), F.col("release_mbid").alias("mbid"))
     asked = local.join(group, "set_id").select(F.col("release_id").alias("request_id"), "group")
-    browsed = lookup.browse(asked, listed, "group").select(F.col("request_id").alias("release_id"), "mbid", "ord")
+    browsed = checkpointed(lookup.browse(asked, listed, "group").select(F.col("request_id").alias("release_id"), "mbid", "ord"))
 
     tracks = _tracks(state)
     names = state.entities.where("entity_type = 'recording'").select(F.col("entity_id").alias("recording_id"), F.col("name").alias("title"))
@@ -102,19 +103,19 @@ def choose(local: DataFrame, state: State, landed: Landed) -> DataFrame:
     on = graph["track"].select("recording_mbid", F.col("release_mbid").alias("mbid")).distinct()
     direct = recordings.withColumnRenamed("mbid", "recording_mbid").join(on, "recording_mbid").select("release_id", "recording_id", "mbid")
     unknown = recordings.join(direct.select("recording_id").distinct(), "recording_id", "left_anti")
-    hits = S.find(unknown.select(F.col("recording_id").alias("request_id"), "title", "artist").distinct(), landed.recordings, FOUND)
+    hits = checkpointed(S.find(unknown.select(F.col("recording_id").alias("request_id"), "title", "artist").distinct(), landed.recordings, FOUND))
     by_text = hits.select(F.col("request_id").alias("recording_id"), F.col("id").alias("recording_mbid")).join(on, "recording_mbid").join(unknown.select("release_id", "recording_id"), "recording_id").select("release_id", "recording_id", "mbid").distinct()
     facts = graph["release"].select("mbid", "title", "track_count")
     found = direct.unionByName(by_text).join(facts, "mbid").withColumn("ord", F.col("mbid"))
     ranked = C.rank(C.aggregate_hits(found), local.select("release_id", F.col("title").alias("local_title"), "n_tracks"))
-    sure = C.confident(ranked).select("release_id", "mbid", F.lit(0).alias("ord"))
+    sure = checkpointed(C.confident(ranked).select("release_id", "mbid", F.lit(0).alias("ord")))
 
     rest = local
     for df in (own, browsed, sure):
         rest = rest.join(df.select("release_id"), "release_id", "left_anti")
     asked = rest.select(F.col("release_id").alias("request_id"), "title", "artist")
     searched = S.find(asked, landed.releases, FOUND).select(F.col("request_id").alias("release_id"), F.col("id").alias("mbid"), "ord")
-    best = C.waterfall([df.select("release_id", "mbid", F.col("ord").cast("int").alias("ord")) for df in (own, browsed, sure, searched)])
+    best = checkpointed(C.waterfall([df.select("release_id", "mbid", F.col("ord").cast("int").alias("ord")) for df in (own, browsed, sure, searched)]))
     met = lookup.by_id(best.select(F.col("release_id").alias("request_id"), "mbid"), graph["release"], landed.moved.where("namespace = 'musicbrainz:release'")).where("found")
     return best.select("release_id", "level").join(met.select(F.col("request_id").alias("release_id"), "requested", "resolved"), "release_id")
 
@@ -124,9 +125,10 @@ def conflicts(picks: DataFrame, local: DataFrame, state: State, graph: dict[str,
     the choice of any of `local` depends on, where it is shared."""
     only = lambda df, c: df.join(picks.select(F.col("resolved").alias(c)).distinct(), c, "left_semi")
     some = {"release": only(graph["release"], "mbid"), **{n: only(graph[n], "release_mbid") for n in ("release_set", "label", "track")}}
+    some = {name: checkpointed(df) for name, df in some.items()}  # they feed many claims
     heard = some["track"].select(F.col("recording_mbid").alias("owner")).distinct()
     credit = graph["credit"]
-    some["credit"] = only(credit.where("owner_type = 'release_set'"), "owner").unionByName(credit.where("owner_type = 'recording'").join(heard, "owner", "left_semi"))
+    some["credit"] = checkpointed(only(credit.where("owner_type = 'release_set'"), "owner").unionByName(credit.where("owner_type = 'recording'").join(heard, "owner", "left_semi")))
     claims, rels = release_claims(some)
     claims = conform(claims, f"facts {FACTS}").where("entity_type <> 'artist'")  # landed artists are one each
     said = F.xxhash64("entity_type", "name", "artist", "duration_ms", F.to_json("ids"), F.to_json("child_ids"), F.to_json("facts"))
@@ -142,7 +144,8 @@ def conflicts(picks: DataFrame, local: DataFrame, state: State, graph: dict[str,
     linked = rels.join(ends.select(F.col("claim_id").alias("src_claim_id"), F.col("said").alias("a")), "src_claim_id").join(ends.select(F.col("claim_id").alias("dst_claim_id"), F.col("said").alias("b")), "dst_claim_id", "left")
     payload = F.xxhash64("role", "credit_order", "disc_number", "track_number", "credited_as", "join_phrase", "title_override", "duration_ms")
     linked = linked.select(F.split("rel_id", r"\|")[1].alias("resolved"), F.concat_ws(" ", F.lit("edge"), "kind", "a", F.coalesce(F.col("b").cast("string"), F.col("dst_claim_id"))).alias("key"), payload.alias("said"))
-    shared = shared.unionByName(linked.join(picks.select("release_id", "resolved"), "resolved").select("release_id", "key", "said"))
+    linked = linked.join(picks.select("release_id", "resolved"), "resolved").select("release_id", "key", "said")
+    shared = checkpointed(shared).unionByName(checkpointed(linked))
     me = F.xxhash64("release_id").alias("said")
     anchors = picks.select("release_id", F.explode(F.array_distinct(F.array("requested", "resolved"))).alias("v")).select("release_id", F.concat(F.lit("anchor "), "v").alias("key"), me)
     # What a release is updated from can depend on the ids that its set and its recordings get.
@@ -180,6 +183,7 @@ def update_in_order(store: X.Store, graph: dict[str, DataFrame], moved: DataFram
     state = State.load(store)
     moved = state.redirects if moved is None else state.redirects.select(*moved.columns).unionByName(moved)
     landed = Landed.of(graph, moved.select("namespace", "source_value", "target_value").distinct())
+    collected(store.spark)
     todo = checkpointed(local_releases(state, provider).select("release_id"))
     todo = todo if limit is None else checkpointed(todo.orderBy("release_id").limit(limit))
     applied, review, counts, layers = [], [], [], 0
@@ -188,18 +192,25 @@ def update_in_order(store: X.Store, graph: dict[str, DataFrame], moved: DataFram
         if local.isEmpty():
             break
         picks = checkpointed(choose(local, state, landed))
+        collected(store.spark)
         layer = checkpointed(first_layer(local, conflicts(picks, local, state, landed.graph), width))
+        collected(store.spark)
         todo = checkpointed(todo.join(layer, "release_id", "left_anti"))
         now = checkpointed(picks.join(layer, "release_id"))
         if now.isEmpty():  # no candidates; those that wait behind them look again
             continue
-        done = update_releases(state, now, landed.graph, provider)
+        done = update_releases(state, now, landed.graph, provider, idle=False)
         at = F.lit(layers).alias("layer")
         applied.append(checkpointed(now.join(done.accepted.select("release_id"), "release_id").select("release_id", "requested", "resolved", "level", at)))
         review.append(checkpointed(done.review.select("release_id", "reason", at)))
-        counts.append(checkpointed(done.outcome.counters))
-        done.outcome.state.save(store)
-        state, layers = State.load(store), layers + 1
+        layers += 1
+        if done.outcome is not None:  # else all of them are under review and the store stays as it is
+            counts.append(checkpointed(done.outcome.counters))
+            collected(store.spark)
+            done.outcome.state.save(store)
+            state = State.load(store)
+        del done
+        collected(store.spark)
     spark = todo.sparkSession
     every = lambda dfs, ddl: _union(dfs) if dfs else spark.createDataFrame([], ddl)
     names = "subject string, applied long, created long, merged long, skipped long, manual_review long"

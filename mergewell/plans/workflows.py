@@ -121,7 +121,7 @@ def release_claims(graph: dict[str, DataFrame], source: str = "musicbrainz") ->
 
 @dataclass
 class Updates:
-    outcome: Outcome
+    outcome: Outcome | None
     accepted: DataFrame
     review: DataFrame
 
@@ -130,7 +130,7 @@ def _asking(rows: DataFrame, owner_type: str, namespace: str, owner: Column, val
     return rows.select("release_id", F.lit(owner_type).alias("owner_type"), owner.alias("owner_id"), F.lit(namespace).alias("namespace"), value.alias("value"))
 
 
-def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame], provider: str = "musicbrainz", limit: int | None = None) -> Updates:
+def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame], provider: str = "musicbrainz", limit: int | None = None, idle: bool = True) -> Updates:
     """Stored releases that the provider has not confirmed, updated from fetched metadata.
 
     picks: release_id, requested, resolved (the id that the fetch ended at). A release without an
@@ -138,7 +138,8 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     group, if it has none. An id that another release or set holds, or an earlier pick of the batch
     wants, sends the release to review, with the first reason there is. A root must then resolve to
     its release; others go to review too. What is under review leaves no ids; redirects are kept
-    of accepted picks only."""
+    of accepted picks only. Where all go to review nothing changes; unless `idle`, such a batch is
+    not reconciled and has no outcome."""
     releases = state.entities.where("entity_type = 'release'")
     due = C.without_source(releases, provider, limit).select(F.col("entity_id").alias("release_id"))
     by_ns = ["namespace", "owner_type", "owner_id"]
@@ -159,6 +160,9 @@ def update_releases(state: State, picks: DataFrame, graph: dict[str, DataFrame],
     third = set_anchors.where(~F.col("accepted"))
     good = wanted.join(third.select("release_id"), "release_id", "left_anti").select("release_id", "value", F.lit("release").alias("owner_type"), F.col("release_id").alias("owner_id"), F.lit("musicbrainz:release").alias("namespace"))
     good = D.checkpointed(good)
+    if not idle and good.isEmpty():
+        none = good.select("release_id", F.concat(F.lit("release|"), "value").alias("claim_id"), "value")
+        return Updates(None, none, first.unionByName(second).unionByName(third).select("release_id", "reason"))
     new_ids = X.insert_or_ignore(state.external_ids, good.select("namespace", "value", "owner_type", "owner_id", F.lit(provider).alias("provider")), ["namespace", "value", "owner_type"], ["owner_id"])
     # A release has one id of the namespace: what it was fetched by gives way to where that led.
     ids = state.external_ids.join(good.select(*by_ns), by_ns, "left_anti")

@@ -4,6 +4,8 @@ import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from mergewell.functions.text import normalize_one
@@ -111,3 +113,24 @@ def test_nothing_to_find(spark):
     assert found(spark, [], [("m", "a", None)]) == []
     with pytest.raises(ValueError, match="results reach to 3"):
         S.find(spark.createDataFrame([], ASKED), S.build(spark.createDataFrame([], ROWS), depth=3), limit=2, offset=2)
+
+
+def test_met_of_few_and_of_many():
+    """Texts are weighed alike whether a request names few of a block or most, one request after another."""
+    rnd = random.Random(5)
+    texts = [f"s {i:04d}" for i in range(400)]
+    held = S._Held(pa.array(texts), pa.array([sorted(feats(t)) for t in texts]), np.full(len(texts), 9000))
+    df = collections.Counter(f for t in texts for f in feats(t))
+    for _ in range(200):
+        asked = sorted(feats(rnd.choice(texts)) | feats(rnd.choice(("0123 x", "s", "99"))))
+        w = np.array([max(1, math.floor(1000 * math.log(401 / (df[f] + 0.5)))) for f in asked])
+        order = sorted(range(len(asked)), key=lambda i: -w[i])
+        lead, total = np.zeros(len(asked), bool), int(w.sum())
+        for k, i in enumerate(order):
+            lead[i] = sum(w[j] for j in order[k:]) * 100 >= total * 50
+        at = np.array([held.names.index(f).as_py() for f in asked])
+        got, score = held.met(at, w, lead, total, 50)
+        both = [sum(int(x) for f, x in zip(asked, w, strict=True) if f in feats(t)) for t in texts]
+        want = [i for i, b in enumerate(both) if b * 100 >= total * 50]
+        assert got.tolist() == want and score.tolist() == [2000 * both[i] // (total + 9000) for i in want]
+        assert not held.got.any()

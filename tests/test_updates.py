@@ -1,6 +1,7 @@
 """Release updates layer by layer, one by one, and against what a loop would do."""
 
 import json
+import sys
 
 from mergewell import schemas
 from mergewell.operators.persist import Store
@@ -93,3 +94,25 @@ def test_layers_equal_one_by_one(spark, tmp_path):
     layered, one_by_one = run(spark, tmp_path / "a", few), run(spark, tmp_path / "b", few, width=1)
     assert (layered[0].layers, one_by_one[0].layers) == (1, 2)
     assert layered[1:] == one_by_one[1:]
+
+
+def test_layer_under_review_is_not_committed(spark, tmp_path):
+    """Of a layer all of which goes to review nothing is reconciled; before, it was committed like others."""
+    done, state, applied, review = run(spark, tmp_path, {"r4", "r4b"})
+    assert applied == [("r4", "m4", "m4", 0)] and review == [("r4b", "musicbrainz_redirect_collision")]
+    assert done.layers == 2 and Store(spark, str(tmp_path)).last().number == 2  # what was there, and r4
+    assert ("musicbrainz:release", "m4x", "release", ("release", "four b")) in state["ids"]
+
+
+def test_plans_stay_small(spark, tmp_path, monkeypatch):
+    """What the driver plans at once: no plan holds the ways to a candidate or the claims several times."""
+    longest = {}
+
+    def cut(df, real=updates.checkpointed):
+        of = sys._getframe(1).f_code.co_name
+        longest[of] = max(longest.get(of, 0), len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df)
+
+    monkeypatch.setattr(updates, "checkpointed", cut)
+    run(spark, tmp_path, {"r1", "r3"})
+    assert {of: n for of, n in longest.items() if of in ("choose", "conflicts", "update_in_order") and n > 24_000} == {}
